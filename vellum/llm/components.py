@@ -148,8 +148,8 @@ def link_components(edges: DataFrame, scratch: Scratch, solver: Callable = strip
     return scratch.keep(least_labels(roots, scratch))
 
 
-def group_memberships(members: DataFrame, scratch: Scratch, solver: Callable = strip_and_compress) -> DataFrame:
-    """(item, label) of every item: items that share a group, directly or through others, share ``label``.
+def group_labels(members: DataFrame, scratch: Scratch, solver: Callable = strip_and_compress) -> tuple[DataFrame, DataFrame]:
+    """(item, grp) with each item's least group, and (grp, label) of the groups that items link to other groups.
 
     ``members``: distinct (item, grp). In the graph of items and groups, items in one group are vertices of degree one: they
     are stripped first and get their label back last; items in two are compressed to a link between the groups, items in
@@ -160,5 +160,11 @@ def group_memberships(members: DataFrame, scratch: Scratch, solver: Callable = s
     hot = [r[0] for r in items.where(F.col("n") >= HEAVY_ROWS).orderBy(F.desc("n")).limit(HEAVY_SHARE).select("item").collect()]
     links = join_on_unique(members.withColumnRenamed("grp", "b"), many, "item", "inner", hot).select("a", "b")
     labels = link_components(links, scratch, solver).select(F.col("v").alias("grp"), "label")
+    return items.select("item", "grp"), labels
+
+
+def group_memberships(members: DataFrame, scratch: Scratch, solver: Callable = strip_and_compress) -> DataFrame:
+    """(item, label) of every item: items that share a group, directly or through others, share ``label``, their least group."""
+    items, labels = group_labels(members, scratch, solver)
     heavy = heavy_keys(items, "grp", items.count())
-    return join_on_unique(items.select("item", "grp"), labels, "grp", "left", heavy).select("item", F.coalesce("label", "grp").alias("label"))
+    return join_on_unique(items, labels, "grp", "left", heavy).select("item", F.coalesce("label", "grp").alias("label"))

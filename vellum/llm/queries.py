@@ -2,17 +2,25 @@
 
 from __future__ import annotations
 
-from vellum.llm import consolidate, near_images
+from vellum.llm import consolidate, mixture, near_images, splits, tokens
 
 
 def queries() -> dict:
     return {
         "p1_found": near_images.p1_found,
         "p1_groups": near_images.p1_groups,
+        "p2_found": splits.p2_found,
+        "p2_splits": splits.p2_splits,
+        "p2_shares": splits.p2_shares,
         "p3_found": consolidate.p3_found,
         "p3_groups": consolidate.p3_groups,
         "p5_found": near_images.p5_found,
         "p5_report": near_images.p5_report,
+        "p6_ids": tokens.p6_ids,
+        "p6_decoded": tokens.p6_decoded,
+        "p7_found": mixture.p7_found,
+        "p7_mixture": mixture.p7_mixture,
+        "p7_shares": mixture.p7_shares,
     }
 
 
