@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from vellum.llm import consolidate, mixture, near_images, splits, tokens
+from vellum.llm import consolidate, mixture, near_images, spam, splits, tokens
 
 
 def queries() -> dict:
@@ -21,6 +21,8 @@ def queries() -> dict:
         "p7_found": mixture.p7_found,
         "p7_mixture": mixture.p7_mixture,
         "p7_shares": mixture.p7_shares,
+        "p8_found": spam.p8_found,
+        "p8_scores": spam.p8_scores,
     }
 
 
