@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from vellum.plans import profile_queries, scoring_queries
+from vellum.plans import profile_queries, relational_queries, scoring_queries
 
-MODULES = (profile_queries, scoring_queries)
+MODULES = (profile_queries, relational_queries, scoring_queries)
 
 
 def queries() -> dict:
