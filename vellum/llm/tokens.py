@@ -76,7 +76,9 @@ def encode_documents(docs: DataFrame, scratch: Scratch, path: str = DEFAULT_TOKE
     held = scratch.keep(rows.select("_block", F.explode(F.array_distinct(words_of(F.col("text")))).alias("word")).distinct())
     encoded = encode_words(held.select("word").distinct(), path)
     lexicon = held.join(encoded, "word")
-    lists = rows.select(*keep, "_block", words_of(F.col("text")).alias("_words"))
+    # the texts are shuffled, not their words, which take several times the room: they are split again behind the exchange
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    lists = rows.repartition(max(parts, blocks // 4), "_block").select(*keep, "_block", words_of(F.col("text")).alias("_words"))
     out = rows.select(*keep).schema.add("n_tokens", T.LongType()) if counts_only else rows.select(*keep).schema.add("ids", T.ArrayType(T.IntegerType()))
 
     def lay(left: pa.Table, right: pa.Table) -> pa.Table:
