@@ -15,7 +15,7 @@ SQL: dict[str, str] = {}
 #: A vector's 256-bit hash: is each of its 64 entries above four thresholds?
 CUTS = (-0.1, 0.0, 0.1, 0.2)
 #: Wider than the 16 bits of image hashes: these vectors have no copies, and a query should find something.
-RADIUS = 54
+RADIUS = 58
 
 
 def query(sql: str | None = None):
