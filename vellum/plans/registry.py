@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from vellum.plans import profile_queries, relational_queries, resampling_queries, scoring_queries, split_queries, statistics_queries
+from vellum.plans import audit_queries, profile_queries, relational_queries, resampling_queries, scoring_queries, split_queries, statistics_queries
 
-MODULES = (profile_queries, relational_queries, resampling_queries, scoring_queries, split_queries, statistics_queries)
+MODULES = (audit_queries, profile_queries, relational_queries, resampling_queries, scoring_queries, split_queries, statistics_queries)
 
 
 def queries() -> dict:

@@ -249,9 +249,9 @@ def count_kinds(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "duplicate_groups").groupBy("listed_by").agg(F.count(F.lit(1)).alias("n_rows"), F.count("phash").alias("n_phash"), F.countDistinct("image_id").alias("n_images"))
 
 
-@query("SELECT l_suppkey, min(l_orderkey) AS first_order, arg_min(l_quantity, (l_orderkey, l_linenumber)) AS first_quantity FROM lineitem GROUP BY 1")
+@query("SELECT l_suppkey, min(l_orderkey) AS first_order, arg_min(l_quantity, (l_orderkey, l_linenumber, l_quantity)) AS first_quantity FROM lineitem GROUP BY 1")
 def first_per_group(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "lineitem").groupBy("l_suppkey").agg(F.min("l_orderkey").alias("first_order"), F.min_by("l_quantity", F.struct("l_orderkey", "l_linenumber")).alias("first_quantity"))
+    return table(spark, d, "lineitem").groupBy("l_suppkey").agg(F.min("l_orderkey").alias("first_order"), F.min_by("l_quantity", F.struct("l_orderkey", "l_linenumber", "l_quantity")).alias("first_quantity"))
 
 
 @query(f"WITH {FEATURES_SQL}, c AS (SELECT DISTINCT category FROM features WHERE n_words IS NOT NULL) SELECT c.category AS held_out, count(*) AS n, round(avg(n_words), 6) AS mean, round(stddev_samp(n_words), 6) AS std, round(quantile_cont(n_words, 0.5), 6) AS median FROM c JOIN features f ON f.category <> c.category AND n_words IS NOT NULL GROUP BY 1")

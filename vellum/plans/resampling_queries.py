@@ -57,13 +57,13 @@ def cluster_bootstrap_ci(spark: SparkSession, d: str) -> DataFrame:
     return rounded(resample.percentile_interval(draws, "rho"), "low", "high", places=5)
 
 
-@query(f"SELECT a.draw, round(a.rho - b.rho, 5) AS delta FROM ({_boot('digit_share', 'n_words')}) a JOIN ({_boot('punct_share', 'n_words')}) b USING (draw)")
+@query(f"SELECT a.draw, round(a.rho - b.rho, 6) AS delta FROM ({_boot('digit_share', 'n_words')}) a JOIN ({_boot('punct_share', 'n_words')}) b USING (draw)")
 def paired_delta_bootstrap(spark: SparkSession, d: str) -> DataFrame:
     """Difference of two correlations on the same resamples."""
     df = features(spark, d)
     a = rounded(resample.cluster_bootstrap_spearman(df, "digit_share", "n_words", "cluster", DRAWS), "rho")
     b = rounded(resample.cluster_bootstrap_spearman(df, "punct_share", "n_words", "cluster", DRAWS), "rho").withColumnRenamed("rho", "other")
-    return a.join(b, "draw").select("draw", F.round(F.col("rho") - F.col("other"), 5).alias("delta"))
+    return a.join(b, "draw").select("draw", F.round(F.col("rho") - F.col("other"), 6).alias("delta"))
 
 
 def _poisson_sql(u: str) -> str:
