@@ -49,16 +49,25 @@ def _resolve(pointers: list[DataFrame], scratch: Scratch) -> DataFrame | None:
     return done
 
 
+def _shortcut(parent: DataFrame, scratch: Scratch) -> DataFrame:
+    """Parents replaced by grandparents until all point to a root: as many rounds as the logarithm of the longest path."""
+    while True:
+        up = parent.select(F.col("v").alias("to"), F.col("to").alias("_up"))
+        heavy = heavy_keys(parent, "to", parent.count())
+        jumped = scratch.keep(join_on_unique(parent, up, "to", "left", heavy).select("v", F.coalesce("_up", "to").alias("to"), (F.coalesce("_up", "to") != F.col("to")).alias("moved")))
+        scratch.drop(parent)
+        parent = jumped
+        if parent.where("moved").isEmpty():
+            return parent.select("v", "to")
+
+
 def _hook_rounds(edges: DataFrame, scratch: Scratch) -> list[DataFrame]:
-    """Pointer tables (v, to), one a round, until no edge is left."""
+    """Pointer tables (v, to) of the vertices that each round hooks onto another, until no edge is left."""
     pointers, n = [], edges.count()
     while n:
         least = _both_ways(edges).groupBy("v").agg(F.min("u").alias("u"))
-        parent = scratch.keep(least.select("v", F.least("v", "u").alias("to")))
-        for _ in range(2):  # shortcut: parent of parent
-            up = parent.select(F.col("v").alias("to"), F.col("to").alias("_up"))
-            parent = scratch.keep(join_on_unique(parent, up, "to", "left", heavy_keys(parent, "to", parent.count())).select("v", F.coalesce("_up", "to").alias("to")))
-        pointers.append(scratch.keep(parent.where("v != to")))
+        parent = _shortcut(scratch.keep(least.select("v", F.least("v", "u").alias("to"))), scratch)
+        pointers.append(parent.where("v != to"))
         moved = edges
         for end in ("a", "b"):
             at = parent.select(F.col("v").alias(end), F.col("to").alias("_to"))
@@ -71,26 +80,8 @@ def _hook_rounds(edges: DataFrame, scratch: Scratch) -> list[DataFrame]:
 
 
 def hook_and_shortcut(edges: DataFrame, scratch: Scratch) -> DataFrame | None:
-    """(v, root): every vertex with an edge that isn't its component's representative. None without edges.
-
-    A hooked vertex may point to one that is itself hooked in that round, so labels are handed down until nothing moves.
-    """
-    return _settle(_hook_rounds(scratch.keep(_tidy(edges)), scratch), scratch)
-
-
-def _settle(pointers: list[DataFrame], scratch: Scratch) -> DataFrame | None:
-    """Like _resolve, for pointers that may chain within a round: pointer jumping inside each round first."""
-    flat = []
-    for step in pointers:
-        while True:
-            up = step.select(F.col("v").alias("to"), F.col("to").alias("_up"))
-            jumped = scratch.keep(join_on_unique(step, up, "to", "left", heavy_keys(step, "to", step.count())).select("v", F.coalesce("_up", "to").alias("to"), F.col("_up").isNotNull().alias("moved")))
-            again = not jumped.where("moved").isEmpty()
-            step = jumped.drop("moved")
-            if not again:
-                break
-        flat.append(step)
-    return _resolve(flat, scratch)
+    """(v, root): every vertex with an edge that isn't its component's representative. None without edges."""
+    return _resolve(_hook_rounds(scratch.keep(_tidy(edges)), scratch), scratch)
 
 
 def strip_and_compress(edges: DataFrame, scratch: Scratch) -> DataFrame | None:
@@ -126,10 +117,7 @@ def strip_and_compress(edges: DataFrame, scratch: Scratch) -> DataFrame | None:
         n = edges.count()
         scratch.drop(old)
         scratch.drop(stats)
-    core = _settle(_hook_rounds(edges, scratch), scratch) if n else None
-    if core is not None:
-        pointers.append(core.select("v", F.col("root").alias("to")))
-    return _resolve(pointers, scratch)
+    return _resolve(pointers + (_hook_rounds(edges, scratch) if n else []), scratch)
 
 
 def least_labels(roots: DataFrame, scratch: Scratch) -> DataFrame:
