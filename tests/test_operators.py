@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vellum.functions import distributions, exprs
-from vellum.operators import dedup, generate, health, joins, manifest, models, ranks, resample, scoring, skew, stats
+from vellum.operators import dedup, generate, health, joins, manifest, models, quantiles, ranks, resample, scoring, skew, stats
 from vellum.session import Scratch
 from vellum.sources import io
 
@@ -58,7 +58,7 @@ def test_scores_stay_in_bounds_and_dead_input_is_named(spark):
 
 def test_fill_policies(spark):
     df = spark.createDataFrame([(1.0,), (3.0,), (None,)], "x double")
-    constants = scoring.fit_constants(df, ["x"])
+    constants = scoring.fit_constants(df, ["x"], median=True)
     last = {fill: [r["x_z"] for r in scoring.standardise(df, ["x"], constants, fill).collect()][2] for fill in ("none", "zero", "raw_median")}
     assert last == {"none": None, "zero": 0.0, "raw_median": 2.0}
     with pytest.raises(ValueError, match="fill"):
@@ -286,3 +286,16 @@ def test_sources_and_reports(spark, tmp_path):
     assert io.read_config(str(tmp_path / "m.json")) == {"a": 2, "b": 1}
     assert io.rename_first(df, ["path", "name"], "relative_path").columns == ["relative_path", "x"]
     assert io.config_relation(spark, {"m": {"f": 1}}).collect()[0] == ("m", "f", 1.0)
+
+
+@pytest.mark.parametrize("n", [1, 2, 10, 671, 2001, 9000])
+def test_exact_quantiles_interpolate_like_numpy(spark, n):
+    rng = np.random.default_rng(n)
+    x, y = rng.normal(size=n), rng.integers(0, 5, n).astype(float)
+    rows = [(float(a), float(b), "g" if i % 3 else None) for i, (a, b) in enumerate(zip(x, y, strict=True))]
+    df = spark.createDataFrame([*rows, (None, float("nan"), "g"), (float("inf"), None, "empty")], "x double, y double, g string")
+    p = [0.0, 0.005, 0.25, 0.5, 0.995, 1.0]
+    r = quantiles.exact_quantiles(df, ["x", "y"], p).first()
+    assert np.allclose(r["x_q"], np.quantile(x, p)) and np.allclose(r["y_q"], np.quantile(y, p))
+    by = {r["g"]: r["x_q"] for r in quantiles.exact_quantiles(df, ["x"], p, "g").collect()}
+    assert np.allclose(by[None], np.quantile(x[::3], p)) and "empty" not in by

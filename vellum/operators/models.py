@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vellum.functions.exprs import clip, total
+from vellum.operators.quantiles import exact_quantiles
 
 BOUND = 8.0
 
@@ -25,9 +26,9 @@ class Ridge:
 
 
 def robust_scaling(df: DataFrame, columns: list[str]) -> tuple[tuple[float, ...], tuple[float, ...]]:
-    """(median, interquartile range; 1 where that is 0) of each column, exact, in one aggregate."""
-    row = df.agg(*[F.percentile(c, [0.25, 0.5, 0.75]).alias(c) for c in columns]).first()
-    q = [row[c] or [0.0, 0.0, 0.0] for c in columns]
+    """(median, interquartile range; 1 where that is 0) of each column, exact."""
+    row = exact_quantiles(df, columns, [0.25, 0.5, 0.75]).first()
+    q = [[0.0 if x is None else x for x in row[f"{c}_q"]] for c in columns] if row else [[0.0, 0.0, 0.0]] * len(columns)
     return tuple(x[1] for x in q), tuple((x[2] - x[0]) or 1.0 for x in q)
 
 

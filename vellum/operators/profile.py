@@ -13,13 +13,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from vellum.operators.skew import HEAVY_ROWS, HEAVY_SHARE, join_on_unique
+from vellum.operators.quantiles import exact_quantiles, finite
+from vellum.operators.skew import HEAVY_ROWS, HEAVY_SHARE
 from vellum.session import Scratch
 from vellum.sources.footers import column_chunks
 
-#: A load's sketch brackets its median this many parts in either direction; ranks inside the bracket are exact.
-SKETCH = 1000
-PROFILE = "column_name string, n_rows bigint, n_nulls bigint, n_distinct bigint, lo_num double, hi_num double, lo_text string, hi_text string"
 
 
 def _is_number(kind: T.DataType) -> bool:
@@ -98,35 +96,6 @@ class Rule:
     step: float = 0.25
 
 
-def exact_medians(values: DataFrame, key: str, names: list[str], stats: DataFrame) -> DataFrame:
-    """(key, <name>_median): exact medians of the finite values of several columns, however many rows a key has.
-
-    ``stats``: a row for each key with n_rows and, for each name, n (finite values), lo and hi as sketched brackets. Rows below
-    a bracket are counted, only those inside are ranked: about 4 / SKETCH of a key's rows.
-    """
-    n_rows = stats.agg(F.sum("n_rows")).first()[0] or 0
-    heavy = [r[0] for r in stats.where(F.col("n_rows") >= max(HEAVY_ROWS, n_rows // HEAVY_SHARE)).select(key).collect()] if n_rows >= HEAVY_ROWS else []
-    wanted = stats.select(key, *[f"{c}_{x}" for c in names for x in ("n", "lo", "hi")])
-    rows = join_on_unique(values.select(key, *names).where(F.col(key).isNotNull()), wanted, key, "inner", heavy)
-    long = rows.select(
-        key, F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.when(_finite(F.col(c)), F.col(c)).cast("double").alias("v"), F.col(f"{c}_n").alias("n"), F.col(f"{c}_lo").cast("double").alias("lo"), F.col(f"{c}_hi").cast("double").alias("hi")) for c in names])).alias("e")
-    ).select(key, "e.*").where("v is not null and v <= hi")
-    counted = long.groupBy(key, "c", F.when(F.col("v") >= F.col("lo"), F.col("v")).alias("v")).agg(F.count(F.lit(1)).alias("m"), F.first("n").alias("n"))
-    w = Window.partitionBy(key, "c").orderBy(F.col("v").asc_nulls_first())
-    upto = F.sum("m").over(w.rowsBetween(Window.unboundedPreceding, 0))
-    ranked = counted.withColumn("upto", upto).withColumn("before", F.col("upto") - F.col("m"))
-    a, b = F.expr("(n - 1) div 2"), F.expr("n div 2")
-    middle = ranked.groupBy(key, "c").agg(
-        F.max(F.when((F.col("before") <= a) & (a < F.col("upto")), F.col("v"))).alias("x"), F.max(F.when((F.col("before") <= b) & (b < F.col("upto")), F.col("v"))).alias("y")
-    )
-    return middle.groupBy(key).agg(*[F.max(F.when(F.col("c") == c, (F.col("x") + F.col("y")) / 2)).alias(f"{c}_median") for c in names])
-
-
-def _finite(c: Column) -> Column:
-    x = c.cast("double")
-    return x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))
-
-
 def _told_by_footers(chunks: DataFrame, columns: list[str]) -> DataFrame:
     """Row groups of one load of which every column is known: one value throughout, or NULL throughout."""
     one_num = (F.col("lo_num") == F.col("hi_num")) & ~F.coalesce("has_nan", F.lit(True)) & (F.col("n_nulls") == 0)
@@ -149,12 +118,12 @@ def load_values(spark: SparkSession, path: str, columns: list[str], key: str = "
     scan = [f for f in files if f not in told]
     kinds = {f.name: f.dataType.simpleString() for f in df.schema}
     picked = chunks.where(F.col("file").isin(sorted(told))) if told else chunks.where(F.lit(False))
-    pivot = picked.groupBy("file", "row_group").agg(
-        F.first("key_lo").alias(key), F.first("n_rows").alias("n"),
+    pivot = picked.groupBy(F.col("file").alias("_file"), F.col("row_group").alias("_group")).agg(
+        F.first("key_lo").alias(key), F.first("n_rows").alias("_n"),
         *[F.max(F.when((F.col("column_name") == c) & (F.col("n_nulls") == 0), F.col("lo_text") if kinds[c] == "string" else F.col("lo_num"))).cast(kinds[c]).alias(c) for c in columns],
     )
     rest = spark.read.schema(df.schema).parquet(*scan) if scan else df.where(F.lit(False))
-    again = F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("n")))  # a row group's rows, all alike
+    again = F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_n")))  # a row group's rows, all alike
     return rest.select(key, *columns).unionByName(pivot.select(key, *columns, again.alias("_i")).drop("_i"))
 
 
@@ -175,21 +144,21 @@ def load_issues(spark: SparkSession, path: str, rules: list[Rule], key: str = "r
             aggs.append(F.count_if(c.isNotNull() & ~c.isin(*r.allowed)).alias(f"{r.column}_odd"))
             aggs.append(F.count_if(c == r.allowed[0]).alias(f"{r.column}_first"))
             continue
-        bad = ~_finite(c) if dict(rows.dtypes)[r.column] in ("double", "float") else F.lit(False)
+        bad = ~finite(c) if dict(rows.dtypes)[r.column] in ("double", "float") else F.lit(False)
         bad = bad | (c < r.low) if r.low is not None else bad
         bad = bad | (c > F.col(r.high)) if r.high else bad
-        finite = F.when(_finite(c), c.cast("double"))
+        solid = F.when(finite(c), c.cast("double"))
         aggs.append(F.count_if(c.isNotNull() & F.coalesce(bad, F.lit(False))).alias(f"{r.column}_out"))
-        aggs.append(F.count_if(_finite(c)).alias(f"{r.column}_n"))
-        aggs.append(F.min(finite).alias(f"{r.column}_min"))
-        aggs.append(F.max(finite).alias(f"{r.column}_max"))
-        aggs.append(F.percentile_approx(finite, [0.5 - 2 / SKETCH, 0.5 + 2 / SKETCH], SKETCH).alias(f"{r.column}_at"))
-    stats = rows.groupBy(key).agg(*aggs)
-    for r in numeric:
-        stats = stats.withColumn(f"{r.column}_lo", F.col(f"{r.column}_at")[0]).withColumn(f"{r.column}_hi", F.col(f"{r.column}_at")[1])
+        aggs.append(F.count_if(finite(c)).alias(f"{r.column}_n"))
+        aggs.append(F.min(solid).alias(f"{r.column}_min"))
+        aggs.append(F.max(solid).alias(f"{r.column}_max"))
+    stats = Scratch(spark, "loads").keep(rows.groupBy(key).agg(*aggs))
     if numeric:
-        stats = Scratch(spark, "loads").keep(stats)
-        stats = stats.join(exact_medians(rows, key, [r.column for r in numeric], stats), key, "left")
+        total = stats.agg(F.sum("n_rows")).first()[0] or 0
+        least = max(HEAVY_ROWS, total // HEAVY_SHARE)
+        heavy = [r[0] for r in stats.where(F.col("n_rows") >= least).select(key).collect()] if total >= HEAVY_ROWS else []
+        medians = exact_quantiles(rows, [r.column for r in numeric], [0.5], key, heavy=heavy)
+        stats = stats.join(medians.select(key, *[F.col(f"{r.column}_q")[0].alias(f"{r.column}_median") for r in numeric]), key, "left")
     first = Window.partitionBy("line").orderBy(key)
     issues = []
     for r in rules:

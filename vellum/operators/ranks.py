@@ -12,13 +12,17 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from vellum.functions.exprs import pearson_agg
+from vellum.session import Scratch
 
 BUCKETS = 64
 
 
-def mid_ranks(df: DataFrame, value: str, *by: str) -> DataFrame:
-    """(by, value, n, rank): each distinct non-null value with its count and its average rank among the rows of ``by``."""
-    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("n"))
+def mid_ranks(df: DataFrame, value: str, *by: str, weight: str | None = None) -> DataFrame:
+    """(by, value, n, rank): each distinct non-null value with its count and its average rank among the rows of ``by``.
+
+    With ``weight``, a row stands for so many.
+    """
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg((F.sum(weight) if weight else F.count(F.lit(1))).alias("n"))
     cuts = counts.groupBy(*by).agg(F.percentile_approx(value, [i / BUCKETS for i in range(1, BUCKETS)], 1000).alias("_cuts"))
     # without ``by`` it is one row; with it, a row for each group, which Spark broadcasts only if it is small
     cut = counts.join(cuts, list(by)) if by else counts.crossJoin(F.broadcast(cuts))
@@ -47,16 +51,17 @@ def with_rank(df: DataFrame, value: str, *by: str, out: str = "rank") -> DataFra
 def spearman(df: DataFrame, x: str, y: str, *by: str) -> DataFrame:
     """(by, n, rho) over the rows with both values. A constant input has rho NULL (undefined, not zero)."""
     rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*by, F.col(x).alias("_x"), F.col(y).alias("_y"))
-    pairs = rows.groupBy(*by, "_x", "_y").agg(F.count(F.lit(1)).alias("_n"))
-    rx = mid_ranks(rows, "_x", *by).select(*by, "_x", F.col("rank").alias("_rx"))
-    ry = mid_ranks(rows, "_y", *by).select(*by, "_y", F.col("rank").alias("_ry"))
+    # distinct pairs with their counts are all that the ranks and the sums need; written once, the input is computed once
+    pairs = Scratch(df.sparkSession, "pairs").keep(rows.groupBy(*by, "_x", "_y").agg(F.count(F.lit(1)).alias("_n")))
+    rx = mid_ranks(pairs, "_x", *by, weight="_n").select(*by, "_x", F.col("rank").alias("_rx"))
+    ry = mid_ranks(pairs, "_y", *by, weight="_n").select(*by, "_y", F.col("rank").alias("_ry"))
     joined = pairs.join(rx, [*by, "_x"]).join(ry, [*by, "_y"])
     return joined.groupBy(*by).agg(F.sum("_n").alias("n"), pearson_agg(F.col("_rx"), F.col("_ry"), F.col("_n")).alias("rho"))
 
 
 def rank_correlations(df: DataFrame, columns: list[str], *by: str) -> DataFrame:
     """(by, a, b, rho) for all ordered pairs of ``columns`` over the rows where all of them are present."""
-    rows = df.dropna(subset=columns).select(*by, F.monotonically_increasing_id().alias("_id"), *columns)
+    rows = Scratch(df.sparkSession, "ranks").keep(df.dropna(subset=columns).select(*by, F.monotonically_increasing_id().alias("_id"), *columns))
     long = rows.select(*by, "_id", F.explode(F.array(*[F.struct(F.lit(c).alias("_c"), F.col(c).cast("double").alias("_v")) for c in columns])).alias("e")).select(*by, "_id", "e.*")
     ranked = long.join(mid_ranks(long, "_v", *by, "_c").drop("n"), [*by, "_c", "_v"])
     wide = ranked.groupBy(*by, "_id").pivot("_c", columns).agg(F.first("rank"))

@@ -202,8 +202,13 @@ def perceptual_hash(img: np.ndarray) -> np.ndarray:
     return c > np.median(c)
 
 
+def basic_features(img: np.ndarray) -> dict[str, float]:
+    """Colour, texture and composition: what the audits of transforms look at."""
+    return colour_features(img) | texture_features(img) | composition_features(img)
+
+
 def all_features(img: np.ndarray) -> dict[str, float]:
-    return colour_features(img) | texture_features(img) | composition_features(img) | projection_features(img) | saliency_features(img)
+    return basic_features(img) | projection_features(img) | saliency_features(img)
 
 
 def fast_features(img: np.ndarray) -> dict[str, float]:

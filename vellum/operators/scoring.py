@@ -12,19 +12,24 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vellum.functions.exprs import clip, total
+from vellum.operators.quantiles import exact_quantiles
 
 Spec = Mapping[str, Mapping[str, tuple[float, str]]]
 CLIP = 4.0
 
 
-def fit_constants(df: DataFrame, columns: list[str], fit_on: Column | str | None = None) -> DataFrame:
-    """One row: mean, std (sample; 0 and undefined become 1) and median of each column over the rows ``fit_on``."""
+def fit_constants(df: DataFrame, columns: list[str], fit_on: Column | str | None = None, median: bool = False) -> DataFrame:
+    """One row: mean, std (sample; 0 and undefined become 1) and, if asked for, median of each column over the rows ``fit_on``."""
     rows = df if fit_on is None else df.where(fit_on)
     aggs = []
     for c in columns:
         std = F.stddev_samp(c)
-        aggs += [F.avg(c).alias(f"{c}_mean"), F.when((std > 0) & ~F.isnan(std), std).otherwise(1.0).alias(f"{c}_std"), F.percentile(c, 0.5).alias(f"{c}_median")]
-    return rows.agg(*aggs)
+        aggs += [F.avg(c).alias(f"{c}_mean"), F.when((std > 0) & ~F.isnan(std), std).otherwise(1.0).alias(f"{c}_std")]
+    out = rows.agg(*aggs)
+    if not median:
+        return out
+    mid = exact_quantiles(rows, columns, [0.5])
+    return out.crossJoin(F.broadcast(mid.select(*[F.col(f"{c}_q")[0].alias(f"{c}_median") for c in columns])))
 
 
 def standardise(df: DataFrame, columns: list[str], constants: DataFrame, fill: str = "none", bound: float = CLIP) -> DataFrame:
@@ -55,7 +60,8 @@ def composite_raw(df: DataFrame, spec: Spec, contributions: bool = False, withou
 
 def fit_bounds(df: DataFrame, metrics: list[str], fit_on: Column | str | None = None, low: float = 0.005, high: float = 0.995) -> DataFrame:
     rows = df if fit_on is None else df.where(fit_on)
-    return rows.agg(*[F.percentile(f"{m}_raw", q).alias(f"{m}_{k}") for m in metrics for k, q in (("low", low), ("high", high))])
+    q = exact_quantiles(rows, [f"{m}_raw" for m in metrics], [low, high])
+    return q.select(*[F.col(f"{m}_raw_q")[i].alias(f"{m}_{k}") for m in metrics for i, k in enumerate(("low", "high"))])
 
 
 def rescale(df: DataFrame, metrics: list[str], bounds: DataFrame, epsilon: float = 1e-10) -> DataFrame:
@@ -71,7 +77,7 @@ def rescale(df: DataFrame, metrics: list[str], bounds: DataFrame, epsilon: float
 def score(df: DataFrame, spec: Spec, fit_on: Column | str | None = None, fill: str = "zero", epsilon: float = 1e-10, contributions: bool = False) -> DataFrame:
     """Composite scores of all rows with constants and bounds of the rows ``fit_on``: z columns, raw, open and clipped scores."""
     columns = sorted({c for terms in spec.values() for c in terms})
-    z = standardise(df, columns, fit_constants(df, columns, fit_on), fill)
+    z = standardise(df, columns, fit_constants(df, columns, fit_on, fill == "raw_median"), fill)
     raw = composite_raw(z, spec, contributions)
     return rescale(raw, list(spec), fit_bounds(raw, list(spec), fit_on), epsilon)
 

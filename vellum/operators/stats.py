@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vellum.functions.distributions import chi2_upper, f_quantile, f_upper, normal_quantile
+from vellum.operators.quantiles import exact_quantiles
 from vellum.operators.ranks import mid_ranks
 
 
@@ -57,7 +58,7 @@ def anova(df: DataFrame, value: str, group: str) -> DataFrame:
 
 def levene(df: DataFrame, value: str, group: str) -> DataFrame:
     """Levene's test around group medians: an analysis of variance of absolute deviations."""
-    centre = df.groupBy(group).agg(F.percentile(value, 0.5).alias("_centre"))
+    centre = exact_quantiles(df, [value], [0.5], group).select(group, F.col(f"{value}_q")[0].alias("_centre"))
     return anova(df.join(centre, group).withColumn("_dev", F.abs(F.col(value) - F.col("_centre"))), "_dev", group)
 
 
@@ -173,7 +174,7 @@ def histogram(df: DataFrame, value: str, bins: int, low: float, high: float, *by
 def quantile_bins(df: DataFrame, value: str, bins: int, mean_of: str) -> DataFrame:
     """(bin, n, mean_x, mean_y) of quantile bins, right-closed, edges that coincide dropped."""
     rows = df.where(F.col(value).isNotNull())
-    edges = rows.agg(F.array_distinct(F.percentile(value, [i / bins for i in range(bins + 1)])).alias("edges"))
+    edges = exact_quantiles(rows, [value], [i / bins for i in range(bins + 1)]).select(F.array_distinct(f"{value}_q").alias("edges"))
     at = F.greatest(F.size(F.filter("edges", lambda e: e < F.col(value))) - 1, F.lit(0))
     return rows.crossJoin(F.broadcast(edges)).groupBy(at.alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean_x"), F.avg(mean_of).alias("mean_y"))
 

@@ -9,7 +9,7 @@ from vellum.functions.reading import read_label
 from vellum.operators import generate, manifest, raster
 from vellum.plans.base import FEATURES_SQL, features
 from vellum.plans.scoring_queries import rounded
-from vellum.session import Scratch, shared_dir, table
+from vellum.session import Scratch, shared_dir, spread, table
 from vellum.sources import io
 from vellum.streaming import events as windows
 
@@ -79,9 +79,7 @@ def _rasters(spark: SparkSession, d: str) -> DataFrame:
     pixels = F.zip_with(e, F.reverse(e), lambda a, b: F.concat(F.hex(a + 256), F.hex(b + 256), F.hex(F.abs(a - 127) + 256)))
     # each byte is written as three digits of 256 + value, of which the first is dropped
     text = F.regexp_replace(F.array_join(pixels, ""), "1(..)", "$1")
-    # describing a raster is work for the CPU: it is spread over all cores however few files hold the rasters
-    spread = table(spark, d, "embeddings").repartition(spark.sparkContext.defaultParallelism, "vec_id")
-    return spread.select("vec_id", F.unhex(text).alias("data"), F.lit(8).alias("height"), F.lit(8).alias("width"))
+    return spread(table(spark, d, "embeddings")).select("vec_id", F.unhex(text).alias("data"), F.lit(8).alias("height"), F.lit(8).alias("width"))
 
 
 @query()
@@ -104,7 +102,7 @@ def operational_descriptors(spark: SparkSession, d: str) -> DataFrame:
 def image_stability(spark: SparkSession, d: str) -> DataFrame:
     """Per benign transform and level: mean and median absolute change of a few descriptors."""
     cols = ["saturation_mean", "lightness_contrast", "gradient_energy", "symmetry"]
-    pick = lambda img: {c: v for c, v in raster.all_features(img).items() if c in cols}
+    pick = lambda img: {c: v for c, v in raster.basic_features(img).items() if c in cols}
     base = raster.describe(_rasters(spark, d), "vec_id", pick)
     changed = raster.variants(_rasters(spark, d), "vec_id", raster.STABILITY).withColumn("id", F.concat_ws("|", "vec_id", "transform", "level"))
     after = raster.describe(changed, "id", pick).select(F.split_part("id", F.lit("|"), F.lit(1)).cast("bigint").alias("vec_id"), F.split_part("id", F.lit("|"), F.lit(2)).alias("transform"), F.split_part("id", F.lit("|"), F.lit(3)).alias("level"), *[F.col(c).alias(f"{c}_new") for c in cols])
@@ -117,7 +115,7 @@ def image_stability(spark: SparkSession, d: str) -> DataFrame:
 def image_sensitivity(spark: SparkSession, d: str) -> DataFrame:
     """Per manipulation and severity: share of rasters whose descriptor moves the expected way, and the mean change."""
     wanted = sorted({c for _, signs in raster.SENSITIVITY.values() for c in signs})
-    pick = lambda img: {c: v for c, v in raster.all_features(img).items() if c in wanted}
+    pick = lambda img: {c: v for c, v in raster.basic_features(img).items() if c in wanted}
     transforms = {(name, str(s)): (lambda img, f=f, s=s: f(img, s)) for name, (f, _) in raster.SENSITIVITY.items() for s in (1, 2, 3)}
     base = raster.describe(_rasters(spark, d), "vec_id", pick)
     changed = raster.variants(_rasters(spark, d), "vec_id", transforms).withColumn("id", F.concat_ws("|", "vec_id", "transform", "level"))

@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 
 from vellum.functions import exprs
 from vellum.operators import joins
+from vellum.operators.quantiles import exact_quantiles
 from vellum.plans.base import FEATURES_SQL, features
 from vellum.session import table
 
@@ -53,7 +54,7 @@ def filter_masks(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {FEATURES_SQL}, m AS (SELECT quantile_cont(n_words, 0.5) AS mid FROM features) SELECT CASE WHEN n_words > mid THEN 'dense' ELSE 'sparse' END AS level, count(*) AS n, round(avg(digit_share), 6) AS digit_share FROM features CROSS JOIN m WHERE n_words IS NOT NULL GROUP BY 1")
 def conditional_by_median(spark: SparkSession, d: str) -> DataFrame:
     df = features(spark, d).where("n_words is not null")
-    mid = df.agg(F.percentile("n_words", 0.5).alias("mid"))
+    mid = exact_quantiles(df, ["n_words"], [0.5]).select(F.col("n_words_q")[0].alias("mid"))
     level = F.when(F.col("n_words") > F.col("mid"), "dense").otherwise("sparse")
     return df.crossJoin(F.broadcast(mid)).groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("digit_share"), 6).alias("digit_share"))
 
@@ -239,8 +240,10 @@ _AGG = "count(*) AS n, round(avg({c}), 6) AS mean, round(stddev_samp({c}), 6) AS
 @query(f"WITH {FEATURES_SQL} SELECT category, {_AGG.format(c='n_words')} FROM features WHERE n_words IS NOT NULL GROUP BY category")
 def category_summary(spark: SparkSession, d: str) -> DataFrame:
     c = "n_words"
-    aggs = [F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.percentile(c, 0.5).alias("median"), F.min(c).alias("lo"), F.max(c).alias("hi")]
-    out = features(spark, d).where("n_words is not null").groupBy("category").agg(F.count(F.lit(1)).alias("n"), *aggs)
+    aggs = [F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.min(c).alias("lo"), F.max(c).alias("hi")]
+    rows = features(spark, d).where("n_words is not null")
+    mid = exact_quantiles(rows, [c], [0.5], "category").select("category", F.col("n_words_q")[0].alias("median"))
+    out = rows.groupBy("category").agg(F.count(F.lit(1)).alias("n"), *aggs).join(mid, "category")
     return out.withColumns({k: F.round(k, 6) for k in ("mean", "std", "median", "lo", "hi")})
 
 
@@ -275,8 +278,8 @@ def mode_per_group(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT l_returnflag, round(quantile_cont(l_extendedprice, 0.25), 3) AS q25, round(quantile_cont(l_extendedprice, 0.75), 3) AS q75, round(quantile_cont(l_extendedprice, 0.995), 3) AS q995 FROM lineitem GROUP BY 1")
 def quantile_vector(spark: SparkSession, d: str) -> DataFrame:
-    q = table(spark, d, "lineitem").groupBy("l_returnflag").agg(F.percentile("l_extendedprice", [0.25, 0.75, 0.995]).alias("q"))
-    return q.select("l_returnflag", *[F.round(F.col("q")[i], 3).alias(k) for i, k in enumerate(("q25", "q75", "q995"))])
+    q = exact_quantiles(table(spark, d, "lineitem"), ["l_extendedprice"], [0.25, 0.75, 0.995], "l_returnflag")
+    return q.select("l_returnflag", *[F.round(F.col("l_extendedprice_q")[i], 3).alias(k) for i, k in enumerate(("q25", "q75", "q995"))])
 
 
 @query("SELECT o_custkey, o_orderkey, o_totalprice FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS k FROM orders) WHERE k <= 3")

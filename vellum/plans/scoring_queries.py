@@ -66,7 +66,7 @@ def composite_score_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _zscores(fill: str):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         df = features(spark, sf_dir)
-        z = scoring.standardise(df, NAMES, scoring.fit_constants(df, NAMES, DEV), fill)
+        z = scoring.standardise(df, NAMES, scoring.fit_constants(df, NAMES, DEV, median=fill == "raw_median"), fill)
         return rounded(z.select("doc_id", *[f"{c}_z" for c in NAMES]), *[f"{c}_z" for c in NAMES])
 
     return query

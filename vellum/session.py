@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import os
 import shutil
 import tempfile
 import uuid
@@ -71,9 +70,10 @@ class Scratch:
         target.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores if it comes in fewer partitions than there are, as a small table in one file does; else unchanged.
 
-
-def local_cpus(default: int = 8) -> int:
-    return int(os.environ.get("BENCH_CPUS", default))
+    For stages whose cost lies in the CPU; tables of many files or row groups are never shuffled by it.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
