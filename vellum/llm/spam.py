@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.session import table
+from vellum.session import spread, table
 
 #: Function words of English, German, French and Spanish without accents, and of Chinese as characters.
 FUNCTION_WORDS = frozenset(
@@ -161,7 +161,7 @@ def stuffing_scores(docs: DataFrame, key: str = "doc_id") -> DataFrame:
             share = [stuffing_share(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(share, pa.float64())], [key, "share"])
 
-    rows = docs.select(key, "text")
+    rows = spread(docs.select(key, "text"))
     return rows.mapInArrow(run, f"{key} {rows.schema[key].dataType.simpleString()}, share double")
 
 
