@@ -299,3 +299,22 @@ def test_exact_quantiles_interpolate_like_numpy(spark, n):
     assert np.allclose(r["x_q"], np.quantile(x, p)) and np.allclose(r["y_q"], np.quantile(y, p))
     by = {r["g"]: r["x_q"] for r in quantiles.exact_quantiles(df, ["x"], p, "g").collect()}
     assert np.allclose(by[None], np.quantile(x[::3], p)) and "empty" not in by
+
+
+def test_experiment_grid_equals_single_fits(spark):
+    rng = np.random.default_rng(8)
+    rows = [(*map(float, r), float(r[0] - 2 * r[1] + e), "dev" if i % 4 else "validation") for i, (r, e) in enumerate(zip(rng.normal(size=(200, 3)), rng.normal(size=200) * 0.3, strict=True))]
+    df = spark.createDataFrame(rows, "a double, b double, c double, y double, split string")
+    grid = {(r["features"], r["alpha"]): r for r in models.experiment_grid(df, {"two": ["a", "b"], "one": ["c"]}, "y", "split", (1.0, 10.0)).collect()}
+    assert len(grid) == 4
+    model = models.fit_ridge(df.where("split = 'dev'"), ["a", "b"], "y", 10.0)
+    m = stats.error_metrics(F.col("y"), F.col("prediction"))
+    want = models.predict(df.where("split = 'validation'"), model).agg(m["r2"]).first()[0]
+    assert abs(grid["two", 10.0]["r2_validation"] - want) < 1e-9 and grid["one", 1.0]["r2_validation"] < 0.2
+
+
+def test_trees_learn_a_step(spark):
+    df = spark.createDataFrame([(float(i % 10), 1.0 if i % 10 > 4 else 0.0) for i in range(200)] + [(None, 0.0)], "a double, y double")
+    for kind in ("forest", "boosted"):
+        out = models.fit_trees(df, ["a"], "y", kind, trees=5).transform(df.fillna(0.0, subset=["a"]))
+        assert out.agg(F.max(F.abs(F.col("y") - F.col("prediction")))).first()[0] < 0.3

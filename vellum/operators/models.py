@@ -106,3 +106,44 @@ def calibration_slope(x: str, y: str, alpha: float = 1.0):
     sxx, sxy = F.sum(F.col(x) * F.col(x)) - sx * sx / n, F.sum(F.col(x) * F.col(y)) - sx * sy / n
     slope = sxy / (sxx + alpha)
     return slope, sy / n - slope * sx / n
+
+
+def experiment_grid(df: DataFrame, sets: dict[str, list[str]], target: str, split: str, alphas: tuple[float, ...] = (0.1, 1.0, 10.0, 100.0)) -> DataFrame:
+    """(features, alpha, n_features, r2_dev, r2_validation) of every set of columns and every ridge strength.
+
+    Two Gram matrices over all columns, of development and of validation rows, answer the whole grid: a model's squared error is a
+    form in its coefficients.
+    """
+    columns = sorted({c for s in sets.values() for c in s})
+    dev = df.where(F.col(split) == "dev")
+    centre, scale = robust_scaling(dev, columns)
+    inputs = _scaled(columns, centre, scale)
+    grams = {k: gram(df.where(F.col(split) == k), inputs, target) for k in ("dev", "validation")}
+    rows = []
+    for name, chosen in sorted(sets.items()):
+        keep = [0, *[columns.index(c) + 1 for c in sorted(chosen)], len(columns) + 1]
+        small = {k: g[np.ix_(keep, keep)] for k, g in grams.items()}
+        for a in alphas:
+            b = np.append(solve_ridge(small["dev"], a), -1.0)
+            r2 = []
+            for k in ("dev", "validation"):
+                g = small[k]
+                spread = g[-1, -1] - g[0, -1] ** 2 / g[0, 0] if g[0, 0] else 0.0
+                r2.append(float(1 - b @ g @ b / spread) if spread > 1e-12 * g[-1, -1] else None)
+            rows.append((name, float(a), len(chosen), *r2))
+    return df.sparkSession.createDataFrame(rows, "features string, alpha double, n_features int, r2_dev double, r2_validation double")
+
+
+def fit_trees(df: DataFrame, columns: list[str], target: str, kind: str = "forest", trees: int = 20, depth: int = 5, seed: int = 7):
+    """A random forest or boosted trees of ``pyspark.ml`` on the rows with a target; missing inputs count as 0. The model predicts into ``prediction``."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
+
+    makers = {
+        "forest": lambda: RandomForestRegressor(featuresCol="_features", labelCol=target, numTrees=trees, maxDepth=depth, seed=seed),
+        "boosted": lambda: GBTRegressor(featuresCol="_features", labelCol=target, maxIter=trees, maxDepth=min(depth, 3), seed=seed),
+    }
+    assembler = VectorAssembler(inputCols=columns, outputCol="_features", handleInvalid="error")
+    rows = df.where(F.col(target).isNotNull()).fillna(0.0, subset=columns)
+    return Pipeline(stages=[assembler, makers[kind]()]).fit(rows)

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from vellum.functions.exprs import hash_int, hash_uniform
+from vellum.session import Scratch
 
 #: The cluster bootstrap of rank correlations keeps sums per cluster triple: 50 clusters are 3 x 125,000 numbers.
 MOST_CLUSTERS = 50
@@ -38,8 +39,8 @@ def cluster_bootstrap_mean(df: DataFrame, value: str, cluster: str, draws: int,
 
 
 def _rows_below(df: DataFrame, value: str, cluster: str, names: list) -> DataFrame:
-    """(value, below): for each distinct value, the rows of each cluster below it plus half of those equal to it, as an array."""
-    counts = df.groupBy(value).pivot(cluster, names).agg(F.count(F.lit(1)))
+    """(value, below): for each distinct value, the rows (``n`` each) of each cluster below it plus half of those equal to it, as an array."""
+    counts = df.groupBy(value).pivot(cluster, names).agg(F.sum("n"))
     cols = [f"_c{i}" for i in range(len(names))]
     counts = counts.select(value, *[F.coalesce(F.col(f"`{n}`"), F.lit(0)).alias(c) for n, c in zip(names, cols, strict=True)])
     cuts = counts.agg(F.percentile_approx(value, [i / BUCKETS for i in range(1, BUCKETS)], 1000).alias("_cuts"))
@@ -61,6 +62,8 @@ def cluster_bootstrap_spearman(df: DataFrame, x: str, y: str, cluster: str, draw
     """
     spark = df.sparkSession
     rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull() & F.col(cluster).isNotNull()).select(F.col(x).alias("x"), F.col(y).alias("y"), F.col(cluster).alias("c"))
+    # distinct points with their counts are all that is needed; written once, the input is computed once
+    rows = Scratch(spark, "points").keep(rows.groupBy("x", "y", "c").agg(F.count(F.lit(1)).alias("n")))
     names = [r["c"] for r in rows.select("c").distinct().orderBy("c").limit(MOST_CLUSTERS + 1).collect()]
     if len(names) > MOST_CLUSTERS:
         raise ValueError(f"more than {MOST_CLUSTERS} clusters: use cluster_bootstrap_mean or fewer clusters")
@@ -75,7 +78,7 @@ def cluster_bootstrap_spearman(df: DataFrame, x: str, y: str, cluster: str, draw
             mult[r["draw"], at[r["cluster"]]] = r["mult"]
     else:
         mult = draws
-    ranked = rows.groupBy("x", "y", "c").agg(F.count(F.lit(1)).alias("n")).join(_rows_below(rows, "x", "c", names).withColumnRenamed("below", "bx"), "x").join(_rows_below(rows, "y", "c", names).withColumnRenamed("below", "by"), "y")
+    ranked = rows.join(_rows_below(rows, "x", "c", names).withColumnRenamed("below", "bx"), "x").join(_rows_below(rows, "y", "c", names).withColumnRenamed("below", "by"), "y")
     index = F.array_position(F.array(*[F.lit(n) for n in names]), F.col("c")) - 1
     schema = "part binary"
 

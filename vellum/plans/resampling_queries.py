@@ -221,3 +221,78 @@ def hash_normal_noise(spark: SparkSession, d: str) -> DataFrame:
     u = hash_uniform(F.concat(F.lit("a:"), F.col("doc_id").cast("string")))
     v = hash_uniform(F.concat(F.lit("b:"), F.col("doc_id").cast("string")))
     return table(spark, d, "documents").select("doc_id", F.round(F.sqrt(-2 * F.ln(1 - u)) * F.cos(6.283185307179586 * v), 6).alias("noise"))
+
+
+_SETS = {"size": ["n_letters", "n_words"], "symbols": ["digit_share", "punct_share", "bracket_share"], "case": ["upper_share"], "all": ["n_letters", "n_words", "digit_share", "punct_share", "bracket_share", "upper_share"]}
+
+
+@query()
+def experiment_grid(spark: SparkSession, d: str) -> DataFrame:
+    """Every feature set and ridge strength from two Gram matrices; tests hold it against single fits."""
+    return models.experiment_grid(features(spark, d).where("n_words is not null"), _SETS, "vowel_share", "split")
+
+
+@query()
+def tree_probe(spark: SparkSession, d: str) -> DataFrame:
+    """A forest and boosted trees on development rows, judged on test rows. Trees differ between versions, so there is no SQL."""
+    df = features(spark, d).where("n_words is not null")
+    out = None
+    for kind in ("forest", "boosted"):
+        test = models.fit_trees(df.where("split = 'dev'"), _INPUTS, "vowel_share", kind, trees=10).transform(df.where("split = 'test'").fillna(0.0, subset=_INPUTS))
+        m = stats.error_metrics(F.col("vowel_share"), F.col("prediction"))
+        part = test.agg(*[v.alias(k) for k, v in m.items()]).withColumn("model", F.lit(kind))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+_SAT = "('0x' || substr(md5('images:' || draw || ':' || doc_id), 1, 8))::BIGINT"
+
+
+@query(f"WITH {FEATURES_SQL}, k AS (SELECT draw, digit_share AS x, punct_share AS y, row_number() OVER (PARTITION BY draw, category ORDER BY {_SAT}, draw || ':' || doc_id) AS r FROM features CROSS JOIN range(10) t(draw) WHERE n_words IS NOT NULL), s AS (SELECT * FROM k WHERE r <= 15), v AS (SELECT draw, {mid_rank_sql('x', 'draw')} AS rx, {mid_rank_sql('y', 'draw')} AS ry FROM s) SELECT draw, count(*) AS n, round(corr(rx, ry), 6) AS rho FROM v GROUP BY draw")
+def image_saturation(spark: SparkSession, d: str) -> DataFrame:
+    """Correlation in stratified subsets of 15 documents per category, over draws without replacement."""
+    from vellum.operators.order import hashed_rank
+
+    df = features(spark, d).where("n_words is not null").select("doc_id", "category", "digit_share", "punct_share")
+    long = df.crossJoin(F.broadcast(spark.range(10).toDF("draw"))).withColumn("key", F.concat_ws(":", "draw", "doc_id"))
+    picked = hashed_rank(long, "key", "images:", "draw", "category").where("rank <= 15")
+    return rounded(ranks.spearman(picked, "digit_share", "punct_share", "draw"), "rho")
+
+
+_CAL = "('0x' || substr(md5('labels:' || draw || ':' || p_partkey), 1, 8))::BIGINT"
+
+
+@query(f"WITH k AS (SELECT draw, p_size::DOUBLE AS x, p_retailprice AS y, row_number() OVER (PARTITION BY draw ORDER BY {_CAL}, draw || ':' || p_partkey) <= 40 AS fit FROM part CROSS JOIN range(10) t(draw)), s AS (SELECT draw, count(*) AS n, sum(x) AS sx, sum(y) AS sy, sum(x * x) AS sxx, sum(x * y) AS sxy FROM k WHERE fit GROUP BY draw), b AS (SELECT draw, (sxy - sx * sy / n) / (sxx - sx * sx / n + 1) AS slope, sx / n AS mx, sy / n AS my FROM s) SELECT draw, round(slope, 6) AS slope, round(avg(abs(y - (my + slope * (x - mx)))), 4) AS mae FROM k JOIN b USING (draw) WHERE NOT fit GROUP BY draw, slope")
+def calibration_efficiency(spark: SparkSession, d: str) -> DataFrame:
+    """A one-input ridge on 40 labels, judged on all other rows, over draws."""
+    from vellum.operators.order import hashed_rank
+
+    p = table(spark, d, "part").select("p_partkey", F.col("p_size").cast("double").alias("x"), F.col("p_retailprice").alias("y"))
+    long = p.crossJoin(F.broadcast(spark.range(10).toDF("draw"))).withColumn("key", F.concat_ws(":", "draw", "p_partkey"))
+    dealt = hashed_rank(long, "key", "labels:", "draw")
+    slope, intercept = models.calibration_slope("x", "y")
+    fit = dealt.where("rank <= 40").groupBy("draw").agg(slope.alias("slope"), intercept.alias("intercept"))
+    rest = dealt.where("rank > 40").join(F.broadcast(fit), "draw")  # a row per draw
+    return rest.groupBy("draw", F.round("slope", 6).alias("slope")).agg(F.round(F.avg(F.abs(F.col("y") - F.col("intercept") - F.col("slope") * F.col("x"))), 4).alias("mae"))
+
+
+@query(f"{SCORED} SELECT count(*) AS n, true AS agree FROM scored")
+def recomputation_audit(spark: SparkSession, d: str) -> DataFrame:
+    """Composites summed from long contributions against the wide projection: they agree to 1e-10."""
+    df = scored(spark, d)
+    parts = scoring.long_contributions(df, "doc_id", COMPOSITES).groupBy("doc_id").pivot("metric", list(COMPOSITES)).agg(F.sum("contribution"))
+    wide = df.select("doc_id", *[f"{m}_raw" for m in COMPOSITES])
+    diff = F.greatest(*[F.coalesce(F.max(F.abs(F.col(m) - F.col(f"{m}_raw"))), F.lit(0.0)) for m in COMPOSITES])
+    return wide.join(parts, "doc_id").agg(F.count(F.lit(1)).alias("n"), (diff < 1e-10).alias("agree"))
+
+
+@query()
+def association_intervals(spark: SparkSession, d: str) -> DataFrame:
+    """Correlation of each descriptor with the length of the text and its cluster-bootstrap interval (2000 draws)."""
+    df = features(spark, d).where("n_words is not null")
+    out = None
+    for c in ("digit_share", "punct_share", "upper_share"):
+        draws = resample.cluster_bootstrap_spearman(df, c, "n_letters", "cluster", 2000)
+        part = ranks.spearman(df, c, "n_letters").crossJoin(F.broadcast(resample.percentile_interval(draws, "rho"))).withColumn("feature", F.lit(c))
+        out = part if out is None else out.unionByName(part)
+    return out
