@@ -15,6 +15,7 @@ cap or sample is involved.
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Iterator
 
@@ -49,6 +50,7 @@ MAX_GAP, LINK, HAN = 8.0, 3.0, 0.5
 MIN_LIST = 4.0
 #: Positional autocorrelation: terms in a window, longest lag, share of equal terms that is unnatural.
 WINDOW, MAX_LAG, REGULAR = 30, 12, 0.45
+LAGS, WIDE = np.arange(1, MAX_LAG + 1), 50_000
 #: Share of function words in a window from which its repetition is that of like sentences.
 PROSE = 0.36
 #: Share of numbers, digests and paths from which a line is a record.
@@ -58,47 +60,81 @@ FIGURES = 0.15
 #: Share of a document's characters in marked terms from which it is a case.
 MOST = 0.5
 
-TERM = regex.compile(
-    r"(?P<link><a\s[^<>]*>|(?:https?|hxxps?)://[^\s<>\"')\]|]+|www\.[^\s<>\"')\]|]+|[\w-]+(?:\[\.\]|\.)(?:example|test|invalid|com|net|org)\b[^\s<>\"')\]|]*)"
-    r"|(?P<num>[\w-]+(?:/[\w-]+)+\.\w{2,4}\b|\b(?=\w*\d)[0-9a-f]{12,}\b|\#(?=\w*\d)[0-9a-f]{6}\b|(?<!\p{L})[+-]?\d+(?:[.,:]\d+)*%?)"
-    r"|(?P<han>\p{Han})"
-    r"|(?P<word>(?:\p{Lu}?\p{Ll}+|\p{Lu}+|[\p{Lo}--\p{Han}]+)\d{0,2}(?:['’](?:\p{Ll}+|\p{Lu}+)|-(?:\p{Lu}?\p{Ll}+|\p{Lu}+))*)",
-    regex.V1,
+_LINK = (
+    r"<a\s[^<>]*>|(?:https?|hxxps?)://[^\s<>\"')\]|]+|www\.[^\s<>\"')\]|]+"
+    r"|[\w-]+(?:\[\.\]|\.)(?:example|test|invalid|com|net|org)\b[^\s<>\"')\]|]*"
 )
+_NUMBER = r"[\w-]+(?:/[\w-]+)+\.\w{2,4}\b|\b(?=\w*\d)[0-9a-f]{12,}\b|\#(?=\w*\d)[0-9a-f]{6}\b|(?<!\p{L})[+-]?\d+(?:[.,:]\d+)*%?"
+_WORD = r"(?:\p{Lu}?\p{Ll}+|\p{Lu}+|[\p{Lo}--\p{Han}]+)\d{0,2}(?:['’](?:\p{Ll}+|\p{Lu}+)|-(?:\p{Lu}?\p{Ll}+|\p{Lu}+))*"
+KIND = regex.compile(rf"(?P<link>{_LINK})|(?P<num>{_NUMBER})|(?P<han>\p{{Han}})|(?P<word>{_WORD})", regex.V1)
+TERMS = regex.compile(rf"({_LINK}|{_NUMBER}|\p{{Han}}|{_WORD})", regex.V1)
+#: The same without links, for texts that hold none of what a link needs.
+PLAIN_TERMS = regex.compile(rf"({_NUMBER}|\p{{Han}}|{_WORD})", regex.V1)
+LINKISH = re.compile(r"://|www\.|<a\s|(?:\[\.\]|\.)(?:example|test|invalid|com|net|org)")
 #: Marks of offers: an article number, a price, a link in markup.
 OFFER = regex.compile(r"\b(?:sku|no|art\.?|ref)\s*\d{4,}|[$€£]\s?\d|\beur\s?\d|<a\s|\]\(|https?:|hxxp|www\.", regex.I)
 MARKS = regex.compile(r"[\p{M}\p{Cf}]+")
 CLOSING = regex.compile(r"</\w+\s*>")
 #: Digits that stand for letters inside a word.
 LEET = str.maketrans("01345", "oieas")
+LEETISH = re.compile(r"[^\W\d_][01345][^\W\d_]")
 LEET_WORD = regex.compile(r"\b(?![0-9a-f]+\b)\p{L}+(?:[01345]\p{L}+)+\b", regex.I)
 SENTENCE_END = regex.compile(r"[.!?。！？][\"')»”]*(?=\s|$)|[。！？]|[\r\n]+")
 
 
-def stuffing_share(text: str | None) -> float:
+class Lexicon(dict):
+    """Term -> index into arrays of what a term is. A process meets the same terms again and again, so each is judged once.
+
+    It starts afresh when it holds MOST_TERMS, between texts: a bound on memory that changes no result.
+    """
+
+    MOST_TERMS = 300_000
+
+    def __init__(self):
+        super().__init__()
+        self.lowers: dict[str, int] = {}
+        self.arrays = tuple(np.zeros(1024, t) for t in (np.int64, float, bool, bool, bool))
+
+    def __missing__(self, term: str) -> int:
+        m = KIND.fullmatch(term)
+        kind, low = m.lastgroup if m else "word", term.lower()
+        k = len(self)
+        if k == len(self.arrays[0]):
+            self.arrays = tuple(np.concatenate([x, np.zeros_like(x)]) for x in self.arrays)
+        function = (kind == "han" and low in FUNCTION_CHARS) or (kind == "word" and (low in FUNCTION_WORDS or low.startswith(ELIDED)))
+        told = (self.lowers.setdefault(low, len(self.lowers)), {"link": LINK, "num": 0.5, "han": HAN, "word": 1.0}[kind], kind == "num", function, low == "no")
+        for x, v in zip(self.arrays, told, strict=True):
+            x[k] = v
+        self[term] = k
+        return k
+
+    def read(self, terms: list[str]) -> tuple[np.ndarray, ...]:
+        """(code, weight, is a number, is a function word, is the word no) of the terms of one text."""
+        if len(self) > self.MOST_TERMS:
+            self.clear()
+            self.__init__()
+        at = np.fromiter(map(self.__getitem__, terms), np.int64, len(terms))
+        return tuple(a[at] for a in self.arrays)
+
+
+def stuffing_share(text: str | None, lexicon: Lexicon | None = None) -> float:
     """Share of the characters (blanks aside) that lie in lists or unnaturally regular repetition; 0 for nothing to read."""
     if not text:
         return 0.0
     text = MARKS.sub("", unicodedata.normalize("NFKD", text)).replace("’", "'")
-    text = LEET_WORD.sub(lambda m: m.group().translate(LEET), CLOSING.sub(" ", text))
-    starts, kinds, terms = [], [], []
-    for m in TERM.finditer(text):
-        starts.append(m.start())
-        kinds.append(m.lastgroup)
-        terms.append(m.group())
+    text = CLOSING.sub(" ", text) if "</" in text else text
+    text = LEET_WORD.sub(lambda m: m.group().translate(LEET), text) if LEETISH.search(text) else text
+    parts = (TERMS if LINKISH.search(text) else PLAIN_TERMS).split(text)  # gap, term, gap, ..., gap
+    terms = parts[1::2]
     n = len(terms)
     if not n:
         return 0.0
-    at = np.array(starts)
+    ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)))
+    at = ends[0:-1:2]
     solid = np.cumsum(np.frombuffer(text.encode("utf-32-le"), np.uint32) > 32)  # characters that aren't blanks, so far
     size = np.diff(np.append(solid[at] - 1, solid[-1]))
-    number = np.array([k == "num" for k in kinds])
-    weight = np.array([{"link": LINK, "num": 0.5, "han": HAN, "word": 1.0}[k] for k in kinds])
-    lower = [t.lower() for t in terms]
-    function = np.array(
-        [(k == "han" and t in FUNCTION_CHARS) or (k == "word" and (t in FUNCTION_WORDS or t.startswith(ELIDED))) for t, k in zip(lower, kinds, strict=True)]
-    )
-    function[:-1] &= ~(number[1:] & np.array([t == "no" for t in lower[:-1]], dtype=bool))  # an article number's mark
+    code, weight, number, function, no = (Lexicon() if lexicon is None else lexicon).read(terms)
+    function[:-1] &= ~(number[1:] & no[:-1])  # an article number's mark
     # lines of records
     breaks = np.array([m.start() for m in regex.finditer(r"[\r\n]+", text)], dtype=np.int64)
     line = np.searchsorted(breaks, at)
@@ -121,31 +157,31 @@ def stuffing_share(text: str | None) -> float:
     numbers = np.concatenate([[0], np.cumsum(number)])
     # the first term of each sentence: the rest of the sentence a function word stands in isn't part of the list beside it
     heads = np.unique(np.searchsorted(at, [m.end() for m in SENTENCE_END.finditer(text)]))
-    for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-        if plain[b] - plain[a + 1] > MAX_GAP:
-            inner = heads[np.searchsorted(heads, a + 1) : np.searchsorted(heads, b, side="right")]
-            if a >= 0 and len(inner) and plain[inner[0]] - plain[a + 1] <= MAX_GAP:
-                a = inner[0] - 1
-            if b < n and len(inner) and inner[-1] > a and plain[b] - plain[inner[-1]] <= MAX_GAP:
-                b = inner[-1]
-            if plain[b] - plain[a + 1] <= MIN_LIST:
-                continue
-            # readings and log heads hold numbers; so do offers, with an article number, a price or a link
-            figures = numbers[b] - numbers[a + 1] >= FIGURES * (b - a - 1)
-            marked[a + 1 : b] = not figures or OFFER.search(text, at[a + 1], at[b] if b < n else len(text)) is not None
-    # regular repetition: lag windows over term positions
+    long = plain[bounds[1:]] - plain[bounds[:-1] + 1] > MAX_GAP
+    for a, b in zip(bounds[:-1][long], bounds[1:][long], strict=True):
+        inner = heads[np.searchsorted(heads, a + 1) : np.searchsorted(heads, b, side="right")]
+        if a >= 0 and len(inner) and plain[inner[0]] - plain[a + 1] <= MAX_GAP:
+            a = inner[0] - 1
+        if b < n and len(inner) and inner[-1] > a and plain[b] - plain[inner[-1]] <= MAX_GAP:
+            b = inner[-1]
+        if plain[b] - plain[a + 1] <= MIN_LIST:
+            continue
+        # readings and log heads hold numbers; so do offers, with an article number, a price or a link
+        figures = numbers[b] - numbers[a + 1] >= FIGURES * (b - a - 1)
+        marked[a + 1 : b] = not figures or OFFER.search(text, at[a + 1], at[b] if b < n else len(text)) is not None
+    # regular repetition: lag windows over term positions, all lags at once unless the text is long
     if n >= WINDOW:
         prose = np.concatenate([[0], np.cumsum(function)])
-        code = np.unique(np.array(lower, dtype=object), return_inverse=True)[1]
-        for lag in range(1, MAX_LAG + 1):
-            same = np.concatenate([np.zeros(lag), code[lag:] == code[:-lag]])
-            total = np.concatenate([[0.0], np.cumsum(same)])
-            regular = ((total[WINDOW:] - total[:-WINDOW]) >= REGULAR * WINDOW) & (prose[WINDOW:] - prose[:-WINDOW] <= PROSE * WINDOW)
+        loose = prose[WINDOW:] - prose[:-WINDOW] <= PROSE * WINDOW
+        for lags in [LAGS] if n <= WIDE else LAGS[:, None]:
+            back = np.arange(n) - lags[:, None]
+            same = (code[back] == code) & (back >= 0)
+            total = np.zeros((len(lags), n + 1), np.int32)
+            np.cumsum(same, axis=1, out=total[:, 1:])
+            regular = ((total[:, WINDOW:] - total[:, :-WINDOW]) >= REGULAR * WINDOW).any(axis=0) & loose
             if regular.any():
-                cover = np.zeros(n + 1)
                 first = np.flatnonzero(regular)
-                np.add.at(cover, first, 1)
-                np.add.at(cover, first + WINDOW, -1)
+                cover = np.bincount(first, minlength=n + 1) - np.bincount(first + WINDOW, minlength=n + 1)
                 marked |= np.cumsum(cover[:-1]) > 0
     return float(size[marked & ~record].sum() / solid[-1])
 
@@ -157,8 +193,9 @@ def stuffing_scores(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lexicon = Lexicon()
         for batch in batches:
-            share = [stuffing_share(t) for t in batch.column(1).to_pylist()]
+            share = [stuffing_share(t, lexicon) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(share, pa.float64())], [key, "share"])
 
     rows = spread(docs.select(key, "text"))
