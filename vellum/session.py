@@ -49,6 +49,7 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self.made = 0
+        atexit.register(self.clear)  # results are lazy: only the end of the driver shows that nobody reads them any more
 
     def keep(self, df: DataFrame) -> DataFrame:
         """Write ``df`` as parquet and read it back."""
@@ -63,17 +64,27 @@ class Scratch:
     def drop(self, df: DataFrame) -> None:
         """Delete a kept table that no later plan reads."""
         path = getattr(df, "_vellum_path", None)
-        if path is None:
+        if path is not None:
+            self._delete(path)
+
+    def clear(self) -> None:
+        """Delete all tables of this scratch space; a session that has ended already is let be."""
+        try:
+            self._delete(self.root)
+        except Exception:  # noqa: BLE001
             return
-        jvm = self.spark._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
+
+    def _delete(self, path: str) -> None:
+        target = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         target.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """``df`` over all cores if it comes in fewer partitions than there are, as a small table in one file does; else unchanged.
+    """``df`` over all cores if by its estimated size it fits into one scan partition, as a small table in one file does; else unchanged.
 
-    For stages whose cost lies in the CPU; tables of many files or row groups are never shuffled by it.
+    For stages whose cost lies in the CPU. Nothing runs to find out, and larger tables are never shuffled by it.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    spark = df.sparkSession
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    most = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
+    return df.repartition(spark.sparkContext.defaultParallelism) if size <= most else df
