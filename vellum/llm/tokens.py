@@ -30,6 +30,8 @@ WORD_PATTERN = (
 )
 #: Characters of text that one block should hold.
 BLOCK_CHARS = 4_000_000
+#: Blocks that share a task at most: a partition holds about 128 million characters.
+BLOCKS_A_TASK = 32
 
 
 def words_of(text: Column) -> Column:
@@ -78,7 +80,7 @@ def encode_documents(docs: DataFrame, scratch: Scratch, path: str = DEFAULT_TOKE
     lexicon = held.join(encoded, "word")
     # the texts are shuffled, not their words, which take several times the room: they are split again behind the exchange
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    lists = rows.repartition(max(parts, blocks // 4), "_block").select(*keep, "_block", words_of(F.col("text")).alias("_words"))
+    lists = rows.repartition(max(parts, blocks // BLOCKS_A_TASK), "_block").select(*keep, "_block", words_of(F.col("text")).alias("_words"))
     out = rows.select(*keep).schema.add("n_tokens", T.LongType()) if counts_only else rows.select(*keep).schema.add("ids", T.ArrayType(T.IntegerType()))
 
     def lay(left: pa.Table, right: pa.Table) -> pa.Table:
