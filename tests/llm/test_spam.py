@@ -58,3 +58,26 @@ def test_rows(spark):
     got = sorted((r["doc_id"] or 0, r["share"] > spam.MOST) for r in spam.stuffing_scores(df).collect())
     assert got == [(0, False), (1, True), (1, True), (2, False), (3, False)]
     assert spam.stuffing_scores(df.where("false")).count() == 0
+
+
+BLOCK = "cheap banner shop buy for discount poster deal premium sale in outlet margin ticket "
+UNEVEN = "deal sale poster deal gift banner sale for gift deal banner poster sale gift deal in poster banner deal gift sale poster banner with " * 4
+RECURRING = {"a block of 14": BLOCK * 40, "twice": BLOCK * 2, "sentences": BLOCK.strip().join(["", ". "] * 5), "uneven gaps": UNEVEN, "few terms": "cheap banner " * 4}
+
+
+@pytest.mark.parametrize("name", sorted(RECURRING))
+def test_terms_recur_at_any_gap(name):
+    assert spam.stuffing_share(RECURRING[name]) > spam.MOST
+
+
+def test_a_long_block_is_found_beside_prose():
+    """Words of a block of 40 that holds a preposition after each seventh recur at lag 40 alone."""
+    words = [f"{a}{b}" for a in ("bar", "kel", "mon", "tir", "sul") for b in ("da", "fo", "gi", "ku", "le", "ma", "no")]
+    block = " ".join(w + (" for" if i % 7 == 6 else "") for i, w in enumerate(words)) + " "
+    assert spam.stuffing_share(block) == 0 and spam.stuffing_share(block * 3) == 1
+    assert 0.4 < spam.stuffing_share(PROSE * 6 + block * 3) < 0.6
+
+
+@pytest.mark.parametrize("text", ["Der zweite Durchlauf hat die Textzeile neu gefärbt und 26 Bilder notiert. " * 2, "安静的背景在两栏之间,调色板变窄时尤其如此。安静的横幅在两栏之间,调色板变窄时尤其如此。", "Really, really"])
+def test_like_sentences_are_left_aside(text):
+    assert spam.stuffing_share(text) <= spam.MOST

@@ -5,8 +5,10 @@ A text is a sequence of terms with positions. Two signs mark terms as stuffing:
 * *Lists without function words.* Function words recur in any prose after a few terms. A stretch between two of them that holds
   more than ``MAX_GAP`` terms is a list: of nouns, tags, menu entries, products or links.
 * *Unnaturally regular repetition.* Within a window of ``WINDOW`` terms, the positional autocorrelation (the share of terms equal to
-  the term ``lag`` positions back, for lags up to ``MAX_LAG``) reaches ``REGULAR``, so terms recur at a constant gap; like
-  sentences in a row, which hold more function words than ``PROSE``, are left aside.
+  the term ``lag`` positions back) reaches ``REGULAR``, so terms recur at a constant gap; like sentences in a row, which hold more
+  function words than ``PROSE``, are left aside. Lags are all up to ``MAX_LAG`` and beyond them those of the terms' own recurrence
+  gaps, whatever their length. Where ``RECURRING`` of a window's terms recur within ``WINDOW`` terms, the gaps may be uneven. These
+  two need windows with fewer function words than ``SPARSE`` and fewer numbers than readings hold. A text of fewer terms is one window.
 
 Lines of measurements, files, colours and the like are records, not stuffing. A document is a case if more than half of its
 characters lie in marked terms. Texts are read whole; each is judged by itself, so nothing is shuffled and no corpus statistic,
@@ -18,6 +20,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -48,11 +51,17 @@ ELIDED = ("l'", "d'", "qu'", "s'", "n'", "c'", "j'")
 MAX_GAP, LINK, HAN = 8.0, 3.0, 0.5
 #: Terms that are left of such a stretch, from which it is a list, without the ends of the sentences beside it.
 MIN_LIST = 4.0
-#: Positional autocorrelation: terms in a window, longest lag, share of equal terms that is unnatural.
+#: Positional autocorrelation: terms in a window, longest lag that is tried whether or not it is a gap, share of equal terms that is unnatural.
 WINDOW, MAX_LAG, REGULAR = 30, 12, 0.45
 LAGS, WIDE = np.arange(1, MAX_LAG + 1), 50_000
+#: Longer lags are the gaps to the MAX_ORDER last occurrences of a term; one that recurs oftener within a period recurs nearby.
+MAX_ORDER = 8
+#: Share of a window's terms that come again within WINDOW terms, other than function words, that is unnatural.
+RECURRING = 0.7
 #: Share of function words in a window from which its repetition is that of like sentences.
 PROSE = 0.36
+#: The same for recurrence at uneven gaps and at longer lags, which sentences on one subject show as well.
+SPARSE = 0.2
 #: Share of numbers, digests and paths from which a line is a record.
 RECORD = 0.25
 #: Share of numbers from which a stretch without function words tells readings.
@@ -93,7 +102,7 @@ class Lexicon(dict):
     def __init__(self):
         super().__init__()
         self.lowers: dict[str, int] = {}
-        self.arrays = tuple(np.zeros(1024, t) for t in (np.int64, float, bool, bool, bool))
+        self.arrays = tuple(np.zeros(1024, t) for t in (np.int64, float, bool, bool, bool, bool))
 
     def __missing__(self, term: str) -> int:
         m = KIND.fullmatch(term)
@@ -102,14 +111,14 @@ class Lexicon(dict):
         if k == len(self.arrays[0]):
             self.arrays = tuple(np.concatenate([x, np.zeros_like(x)]) for x in self.arrays)
         function = (kind == "han" and low in FUNCTION_CHARS) or (kind == "word" and (low in FUNCTION_WORDS or low.startswith(ELIDED)))
-        told = (self.lowers.setdefault(low, len(self.lowers)), {"link": LINK, "num": 0.5, "han": HAN, "word": 1.0}[kind], kind == "num", function, low == "no")
+        told = (self.lowers.setdefault(low, len(self.lowers)), {"link": LINK, "num": 0.5, "han": HAN, "word": 1.0}[kind], kind == "num", function, low == "no", kind == "han")
         for x, v in zip(self.arrays, told, strict=True):
             x[k] = v
         self[term] = k
         return k
 
     def read(self, terms: list[str]) -> tuple[np.ndarray, ...]:
-        """(code, weight, is a number, is a function word, is the word no) of the terms of one text."""
+        """(code, weight, is a number, is a function word, is the word no, is a Chinese character) of the terms of one text."""
         if len(self) > self.MOST_TERMS:
             self.clear()
             self.__init__()
@@ -117,6 +126,16 @@ class Lexicon(dict):
         return tuple(a[at] for a in self.arrays)
 
 
+def recurrences(code: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Positions in order of term and place, and for k = 1, 2, ... MAX_ORDER the gap of each, from the k-th on, to the k-th before it.
+
+    Where that is another term or none, the gap is the number of terms, which no gap within the text reaches.
+    """
+    order = np.argsort(code, kind="stable")
+    ranked, n = code[order], len(code)
+    return order, [np.where(ranked[k:] == ranked[:-k], order[k:] - order[:-k], n + WINDOW) for k in range(1, MAX_ORDER + 1)]
+
+
 def stuffing_share(text: str | None, lexicon: Lexicon | None = None) -> float:
     """Share of the characters (blanks aside) that lie in lists or unnaturally regular repetition; 0 for nothing to read."""
     if not text:
@@ -133,7 +152,7 @@ def stuffing_share(text: str | None, lexicon: Lexicon | None = None) -> float:
     at = ends[0:-1:2]
     solid = np.cumsum(np.frombuffer(text.encode("utf-32-le"), np.uint32) > 32)  # characters that aren't blanks, so far
     size = np.diff(np.append(solid[at] - 1, solid[-1]))
-    code, weight, number, function, no = (Lexicon() if lexicon is None else lexicon).read(terms)
+    code, weight, number, function, no, han = (Lexicon() if lexicon is None else lexicon).read(terms)
     function[:-1] &= ~(number[1:] & no[:-1])  # an article number's mark
     # lines of records
     breaks = np.array([m.start() for m in regex.finditer(r"[\r\n]+", text)], dtype=np.int64)
@@ -169,20 +188,48 @@ def stuffing_share(text: str | None, lexicon: Lexicon | None = None) -> float:
         # readings and log heads hold numbers; so do offers, with an article number, a price or a link
         figures = numbers[b] - numbers[a + 1] >= FIGURES * (b - a - 1)
         marked[a + 1 : b] = not figures or OFFER.search(text, at[a + 1], at[b] if b < n else len(text)) is not None
-    # regular repetition: lag windows over term positions, all lags at once unless the text is long
-    if n >= WINDOW:
-        prose = np.concatenate([[0], np.cumsum(function)])
-        loose = prose[WINDOW:] - prose[:-WINDOW] <= PROSE * WINDOW
-        for lags in [LAGS] if n <= WIDE else LAGS[:, None]:
-            back = np.arange(n) - lags[:, None]
-            same = (code[back] == code) & (back >= 0)
-            total = np.zeros((len(lags), n + 1), np.int32)
-            np.cumsum(same, axis=1, out=total[:, 1:])
-            regular = ((total[:, WINDOW:] - total[:, :-WINDOW]) >= REGULAR * WINDOW).any(axis=0) & loose
-            if regular.any():
-                first = np.flatnonzero(regular)
-                cover = np.bincount(first, minlength=n + 1) - np.bincount(first + WINDOW, minlength=n + 1)
-                marked |= np.cumsum(cover[:-1]) > 0
+    # regular repetition: lag windows over term positions, all short lags at once unless the text is long
+    window = min(WINDOW, n)
+    least = max(ceil(REGULAR * window), 2)
+    prose = np.concatenate([[0], np.cumsum(function)])
+    in_window = prose[window:] - prose[:-window]
+    read = np.concatenate([[0.0], np.cumsum(np.where(han, function / HAN, function))])  # one in a Chinese word of two characters
+    sparse = (read[window:] - read[:-window] <= SPARSE * window) & (numbers[window:] - numbers[:-window] < FIGURES * window)
+    loose = in_window <= PROSE * window if n >= WINDOW else sparse
+    regular = np.zeros(n - window + 1, bool)
+    for lags in [LAGS[: n - 1]] if n <= WIDE else LAGS[:, None]:
+        back = np.arange(n) - lags[:, None]
+        same = (code[back] == code) & (back >= 0)
+        total = np.zeros((len(lags), n + 1), np.int32)
+        np.cumsum(same, axis=1, out=total[:, 1:])
+        regular |= ((total[:, window:] - total[:, :-window]) >= least).any(axis=0) & loose
+    cover = np.zeros(n + 1, np.int64)
+    if sparse.any():
+        # recurrence at uneven gaps: terms other than function words, numbers and single characters that come again nearby
+        order, gaps = recurrences(code)
+        again = np.zeros(n, bool)
+        near = gaps[0] <= WINDOW
+        again[order[1:][near]] = again[order[:-1][near]] = True
+        total = np.concatenate([[0], np.cumsum(again & ~function & ~number & ~han)])
+        regular |= (total[window:] - total[:-window] >= max(RECURRING * window, 3)) & sparse
+        # longer lags, those of the gaps that occur: a run of equal gaps within a window, and where its terms come from
+        far = [(g > MAX_LAG) & (g < n) for g in gaps]
+        lag = np.concatenate([g[f] for g, f in zip(gaps, far, strict=True)])
+        often = np.bincount(lag, minlength=n)[lag] >= least
+        if often.any():
+            place = np.concatenate([order[k:][f] for k, f in enumerate(far, 1)])[often]
+            lag = lag[often]
+            by_lag = np.lexsort((place, lag))
+            place, lag = place[by_lag], lag[by_lag]
+            a, b, lag, other = place[: 1 - least], place[least - 1 :], lag[: 1 - least], lag[least - 1 :]
+            run = (lag == other) & (b - a < window) & sparse[np.minimum(a, n - window)] & sparse[np.maximum(b + 1 - window, 0)]
+            for back in (0, lag[run]):
+                np.add.at(cover, a[run] - back, 1)
+                np.add.at(cover, b[run] + 1 - back, -1)
+    first = np.flatnonzero(regular)
+    np.add.at(cover, first, 1)
+    np.add.at(cover, first + window, -1)
+    marked |= np.cumsum(cover[:-1]) > 0
     return float(size[marked & ~record].sum() / solid[-1])
 
 
