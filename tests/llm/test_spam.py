@@ -81,3 +81,25 @@ def test_a_long_block_is_found_beside_prose():
 @pytest.mark.parametrize("text", ["Der zweite Durchlauf hat die Textzeile neu gefärbt und 26 Bilder notiert. " * 2, "安静的背景在两栏之间,调色板变窄时尤其如此。安静的横幅在两栏之间,调色板变窄时尤其如此。", "Really, really"])
 def test_like_sentences_are_left_aside(text):
     assert spam.stuffing_share(text) <= spam.MOST
+
+
+SHOPS = "moebel mein-rahmen druck24 poster bilder kunst karten plakat leinwand galerie bordure tienda".split()
+HOSTS = {
+    "de": " ".join(f"{w}.de" for w in SHOPS),
+    "es": "\n".join(f"www2.{w}.es" for w in SHOPS),
+    "paths": "\n".join(f"{w}.de/angebote.html" for w in SHOPS),
+    "capitals": " ".join(f"{w}.AM".upper() for w in SHOPS),
+    "broken": " ".join(f"{w}[.]co[.]uk" for w in SHOPS),
+}
+
+
+@pytest.mark.parametrize("name", sorted(HOSTS))
+def test_hosts_of_any_ending_are_links(name):
+    assert spam.stuffing_share(HOSTS[name]) > spam.MOST
+    terms = spam.TERMS.findall(HOSTS[name])
+    assert len(terms) == len(SHOPS) and {spam.KIND.fullmatch(t).lastgroup for t in terms} == {"link"}
+
+
+@pytest.mark.parametrize("text", ["It drops.It is", "drops.they go", "e.g. this", "np.random.rand(3)", "x = img.shape", "images/flyer/00001.png", "render.png", "12.seite", "a 0.4085"])
+def test_names_with_dots_that_are_no_hosts(text):
+    assert all(spam.KIND.fullmatch(t).lastgroup != "link" for t in spam.TERMS.findall(text))

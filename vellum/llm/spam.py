@@ -69,9 +69,19 @@ FIGURES = 0.15
 #: Share of a document's characters in marked terms from which it is a case.
 MOST = 0.5
 
+#: Endings that make a name with a dot a file (unless a path follows) or two sentences without a blank between, not a host.
+_FILES = "png jpe?g gif svg webp tiff? bmp pdf txt csv tsv json ya?ml toml xml html? css js ts py ipynb java cpp md rst tex log cfg ini sh sql parquet np[yz] pkl zip gz tar exe docx? xlsx? pptx? mp[34] avi"
+_NO_HOST = rf"(?:{_FILES.replace(' ', '|')})(?![\w/])|(?:{'|'.join(sorted(w for w in FUNCTION_WORDS if len(w) > 2 and w.isalpha()))})\b"
+#: Labels joined by dots, one with a letter before an ending of letters, and what follows; not a call, an assignment or part of a path.
+_HOST = (
+    r"(?<![[\w./@\-]--\p{Han}])(?<!=\s?)(?=[\d_.\-]*+\p{L}[[\w\-]--\p{Han}]*+(?:\[\.\]|\.))(?:[[\w\-]--\p{Han}]++(?:\[\.\]|\.))++"
+    rf"(?!(?i:{_NO_HOST}))(?:[a-z]{{2,24}}|(?<=[\p{{Lu}}\d](?:\[\.\]|\.))[A-Z]{{2,24}})"
+    r"(?![[\w\-]--\p{Han}]|\.\w|\s*[=(]|\[(?!\.))(?::\d+)?(?:[/?\#][^\s<>\"')\]|]*)?"
+)
 _LINK = (
     r"<a\s[^<>]*>|(?:https?|hxxps?)://[^\s<>\"')\]|]+|www\.[^\s<>\"')\]|]+"
     r"|[\w-]+(?:\[\.\]|\.)(?:example|test|invalid|com|net|org)\b[^\s<>\"')\]|]*"
+    rf"|{_HOST}"
 )
 _NUMBER = r"[\w-]+(?:/[\w-]+)+\.\w{2,4}\b|\b(?=\w*\d)[0-9a-f]{12,}\b|\#(?=\w*\d)[0-9a-f]{6}\b|(?<!\p{L})[+-]?\d+(?:[.,:]\d+)*%?"
 _WORD = r"(?:\p{Lu}?\p{Ll}+|\p{Lu}+|[\p{Lo}--\p{Han}]+)\d{0,2}(?:['’](?:\p{Ll}+|\p{Lu}+)|-(?:\p{Lu}?\p{Ll}+|\p{Lu}+))*"
@@ -79,7 +89,7 @@ KIND = regex.compile(rf"(?P<link>{_LINK})|(?P<num>{_NUMBER})|(?P<han>\p{{Han}})|
 TERMS = regex.compile(rf"({_LINK}|{_NUMBER}|\p{{Han}}|{_WORD})", regex.V1)
 #: The same without links, for texts that hold none of what a link needs.
 PLAIN_TERMS = regex.compile(rf"({_NUMBER}|\p{{Han}}|{_WORD})", regex.V1)
-LINKISH = re.compile(r"://|www\.|<a\s|(?:\[\.\]|\.)(?:example|test|invalid|com|net|org)")
+LINKISH = re.compile(r"://|www\.|<a\s|(?:\[\.\]|\.)(?:example|test|invalid|com|net|org)|\w(?:\[\.\]|\.)[A-Za-z]{2}")
 #: Marks of offers: an article number, a price, a link in markup.
 OFFER = regex.compile(r"\b(?:sku|no|art\.?|ref)\s*\d{4,}|[$€£]\s?\d|\beur\s?\d|<a\s|\]\(|https?:|hxxp|www\.", regex.I)
 MARKS = regex.compile(r"[\p{M}\p{Cf}]+")
