@@ -103,3 +103,27 @@ def test_hosts_of_any_ending_are_links(name):
 @pytest.mark.parametrize("text", ["It drops.It is", "drops.they go", "e.g. this", "np.random.rand(3)", "x = img.shape", "images/flyer/00001.png", "render.png", "12.seite", "a 0.4085"])
 def test_names_with_dots_that_are_no_hosts(text):
     assert all(spam.KIND.fullmatch(t).lastgroup != "link" for t in spam.TERMS.findall(text))
+
+
+MODELS = {
+    "one line": " ".join(f"iphone {i % 6 + 11} case" for i in range(60)),
+    "lines": "\n".join(" ".join(f"iphone {i} case" for i in range(11, 17)) for _ in range(9)),
+    "years": " ".join(f"calendar {y} planner {y}" for y in range(2019, 2031)),
+    "sizes": "boots 38 sale boots 39 sale boots 40 sale boots 41 sale boots 42 sale boots 43 sale",
+}
+READINGS = {
+    "references": "\n".join(f"[{i}] Notes on saliency spread, vol. {i + 7}. pp. {i + 1}" for i in range(9)),
+    "seeds": "\n".join(f"seed {i} level 3 took {300 + i} ms" for i in range(9)),
+    "units": "\n".join(f"poster {210 + i} mm banner {297 + i} mm margin {9 + i} px" for i in range(9)),
+    "pairs": "\n".join(f"width={i + 3}; height={i + 5}; blocks={i}" for i in range(9)),
+}
+
+
+@pytest.mark.parametrize("name", sorted(MODELS))
+def test_numbers_among_keywords_make_no_record(name):
+    assert spam.stuffing_share(MODELS[name]) > spam.MOST
+
+
+@pytest.mark.parametrize("name", sorted(READINGS))
+def test_numbers_in_fields_make_a_record(name):
+    assert spam.stuffing_share(READINGS[name]) <= spam.MOST

@@ -8,11 +8,12 @@ A text is a sequence of terms with positions. Two signs mark terms as stuffing:
   the term ``lag`` positions back) reaches ``REGULAR``, so terms recur at a constant gap; like sentences in a row, which hold more
   function words than ``PROSE``, are left aside. Lags are all up to ``MAX_LAG`` and beyond them those of the terms' own recurrence
   gaps, whatever their length. Where ``RECURRING`` of a window's terms recur within ``WINDOW`` terms, the gaps may be uneven. These
-  two need windows with fewer function words than ``SPARSE`` and fewer numbers than readings hold. A text of fewer terms is one window.
+  two need windows with fewer function words than ``SPARSE`` and no such numbers as readings hold. A text of fewer terms
+  is one window.
 
-Lines of measurements, files, colours and the like are records, not stuffing. A document is a case if more than half of its
-characters lie in marked terms. Texts are read whole; each is judged by itself, so nothing is shuffled and no corpus statistic,
-cap or sample is involved.
+Lines of measurements, files, colours and the like are records, not stuffing: their numbers stand in fields, with units, separators
+or names. A document is a case if more than half of its characters lie in marked terms. Texts are read whole; each is judged by
+itself, so nothing is shuffled and no corpus statistic, cap or sample is involved.
 """
 
 from __future__ import annotations
@@ -62,8 +63,8 @@ RECURRING = 0.7
 PROSE = 0.36
 #: The same for recurrence at uneven gaps and at longer lags, which sentences on one subject show as well.
 SPARSE = 0.2
-#: Share of numbers, digests and paths from which a line is a record.
-RECORD = 0.25
+#: Share of numbers, digests and paths from which a line is a record, if so many of them are FIELDS of one.
+RECORD, FIELDS = 0.25, 0.5
 #: Share of numbers from which a stretch without function words tells readings.
 FIGURES = 0.15
 #: Share of a document's characters in marked terms from which it is a case.
@@ -92,6 +93,12 @@ PLAIN_TERMS = regex.compile(rf"({_NUMBER}|\p{{Han}}|{_WORD})", regex.V1)
 LINKISH = re.compile(r"://|www\.|<a\s|(?:\[\.\]|\.)(?:example|test|invalid|com|net|org)|\w(?:\[\.\]|\.)[A-Za-z]{2}")
 #: Marks of offers: an article number, a price, a link in markup.
 OFFER = regex.compile(r"\b(?:sku|no|art\.?|ref)\s*\d{4,}|[$€£]\s?\d|\beur\s?\d|<a\s|\]\(|https?:|hxxp|www\.", regex.I)
+#: What makes a number the field of a record: its own form (decimals, times, shares, signs, paths, digests, colours), a separator or
+#: a bracket beside it, a unit behind or a field's name before it. Model numbers, sizes and years among keywords have none of these.
+FORM = regex.compile(r"[.,:%/#]|^[+-]|\p{L}")
+BEFORE = re.compile(r"(?:[=:|\t(\[;/<>~±*][ ]?|,|\b(?:vol|nr|pp?|fig|tab|seed|level|step|run|epoch|page|line|row|id)\b\.?[ ])$", re.I)
+UNITS = "px ms s sec min h hz khz mhz k kb mb gb tb kib mib gib bytes? bits? mm cm m km kg g mg pt dpi deg fps images? bilder? rows? lines? epochs?"
+AFTER = regex.compile(rf"[ ]?(?:[|=%°×;/\]):*]|\t|,(?=\S)|(?:{UNITS.replace(' ', '|')})\b)", regex.I)
 MARKS = regex.compile(r"[\p{M}\p{Cf}]+")
 CLOSING = regex.compile(r"</\w+\s*>")
 #: Digits that stand for letters inside a word.
@@ -146,6 +153,15 @@ def recurrences(code: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
     return order, [np.where(ranked[k:] == ranked[:-k], order[k:] - order[:-k], n + WINDOW) for k in range(1, MAX_ORDER + 1)]
 
 
+def in_fields(text: str, at: np.ndarray, terms: list[str], which: np.ndarray) -> np.ndarray:
+    """Of the numbers at the indices ``which``: is it the field of a record?"""
+    told = [
+        FORM.search(terms[i]) is not None or BEFORE.search(text, max(at[i] - 8, 0), at[i]) is not None or AFTER.match(text, at[i] + len(terms[i])) is not None
+        for i in which.tolist()
+    ]
+    return np.array(told, bool)
+
+
 def stuffing_share(text: str | None, lexicon: Lexicon | None = None) -> float:
     """Share of the characters (blanks aside) that lie in lists or unnaturally regular repetition; 0 for nothing to read."""
     if not text:
@@ -169,6 +185,10 @@ def stuffing_share(text: str | None, lexicon: Lexicon | None = None) -> float:
     line = np.searchsorted(breaks, at)
     in_line = np.bincount(line, minlength=len(breaks) + 1)
     record_line = np.bincount(line, weights=number, minlength=len(breaks) + 1) >= RECORD * np.maximum(in_line, 1)
+    field = np.zeros(n, bool)
+    which = np.flatnonzero(number)
+    field[which] = in_fields(text, at, terms, which)
+    record_line &= np.bincount(line, weights=field, minlength=len(breaks) + 1) >= FIELDS * np.bincount(line, weights=number, minlength=len(breaks) + 1)
     edges = [0, *breaks.tolist(), len(text)]
     for i in np.flatnonzero(record_line & (in_line > 0)):
         if OFFER.search(text, edges[i], edges[i + 1]):
@@ -204,7 +224,9 @@ def stuffing_share(text: str | None, lexicon: Lexicon | None = None) -> float:
     prose = np.concatenate([[0], np.cumsum(function)])
     in_window = prose[window:] - prose[:-window]
     read = np.concatenate([[0.0], np.cumsum(np.where(han, function / HAN, function))])  # one in a Chinese word of two characters
-    sparse = (read[window:] - read[:-window] <= SPARSE * window) & (numbers[window:] - numbers[:-window] < FIGURES * window)
+    fields = np.concatenate([[0], np.cumsum(field)])
+    figures, fields = numbers[window:] - numbers[:-window], fields[window:] - fields[:-window]
+    sparse = (read[window:] - read[:-window] <= SPARSE * window) & ((figures < FIGURES * window) | (fields < FIELDS * figures))
     loose = in_window <= PROSE * window if n >= WINDOW else sparse
     regular = np.zeros(n - window + 1, bool)
     for lags in [LAGS[: n - 1]] if n <= WIDE else LAGS[:, None]:
