@@ -52,3 +52,26 @@ def test_empty_tables(spark, scratch, empty):
     m = plan(spark, scratch, rows(3)[: 0 if empty == "docs" else None], [("big", 0.5, 1)][: 0 if empty == "targets" else None])
     assert m.selection().count() == 0 and m.shares().count() == (1 if empty == "docs" else 0)
     assert m.short().count() == 0  # nothing of no tokens is missing
+
+
+def test_a_long_document_early_in_the_order_doesnt_end_the_selection(spark, scratch):
+    bucket = F.pmod(F.xxhash64("id", F.lit(7)), F.lit(mixture.BUCKETS))
+    order = [r["id"] for r in spark.range(61).orderBy(bucket, F.xxhash64("id", F.lit(7))).collect()]
+    docs = [(i, ["a"], 400 if i == order[0] else 5 + i % 9) for i in range(61)] + [(100 + i, ["b"], 10) for i in range(100)]
+    quota = -(-350 * (sum(d[2] for d in docs)) // 2000)
+    m = plan(spark, scratch, docs, [("a", 0.175, 1), ("b", 0.5, 1)])
+    used = m.selection().where("source = 'a'").collect()
+    left = {d[0]: d[2] for d in docs[:61]}
+    for r in used:
+        assert r["repeats"] == 1 and left.pop(r["doc_id"]) == r["n_tokens"]
+    gap = quota - sum(r["n_tokens"] for r in used)
+    assert 0 <= gap < min(left.values()) and order[0] in left
+    got = {r["source"]: r for r in m.shares().collect()}
+    assert got["a"]["n_missing"] == gap and got["a"]["selection_short"] == (gap > 0) and not got["a"]["falls_short"]
+
+
+def test_no_document_fits_into_the_gap(spark, scratch):
+    """The only document is longer than the quota: the flow says enough, the selection says none."""
+    m = plan(spark, scratch, [(1, ["a"], 100), (2, ["b"], 100)], [("a", 0.2, 1), ("b", 0.5, 1)])
+    got = {r["source"]: r for r in m.shares().collect()}
+    assert not got["a"]["falls_short"] and got["a"]["selection_short"] and got["a"]["n_missing"] == 40 and not got["b"]["selection_short"]

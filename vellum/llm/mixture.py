@@ -9,6 +9,7 @@ a seeded hash order, pattern by pattern, without sorting a pattern in one task.
 from __future__ import annotations
 
 from collections import deque
+from functools import reduce
 from math import ceil
 
 from pyspark.sql import DataFrame, SparkSession
@@ -77,6 +78,18 @@ def min_cost_flow(patterns: dict[tuple[str, ...], int], quotas: dict[str, int],
     return {key: arcs[e ^ 1][1] for key, e in routes.items() if arcs[e ^ 1][1]}
 
 
+def _first_that_fit(rows: DataFrame) -> DataFrame:
+    """``rows`` (pattern, source, bucket, h, doc_id, n_tokens, gap, ...) with ``part``: is it among the first of its pattern and
+    source in seeded order whose tokens together fit into the gap?"""
+    keys = ["pattern", "source"]
+    before = Window.partitionBy(*keys).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    sums = rows.groupBy(*keys, "bucket").agg(F.sum("n_tokens").alias("n"))
+    offsets = sums.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
+    inside = Window.partitionBy(*keys, "bucket").orderBy("h", "doc_id", "n_tokens").rowsBetween(Window.unboundedPreceding, 0)
+    upto = F.col("before") + F.sum("n_tokens").over(inside)
+    return rows.join(offsets, [*keys, "bucket"]).withColumn("part", upto <= F.col("gap")).drop("before")
+
+
 class Mixture:
     """The plan for documents (doc_id, sources array, n_tokens) and targets (source, target_share, max_repeats).
 
@@ -110,34 +123,41 @@ class Mixture:
         """(doc_id, source, repeats, n_tokens) of every document used.
 
         Of a pattern's flow to a source, whole passes use every document. The rest is the first documents in seeded order as
-        far as they fit and then the largest of the others that fits into the gap.
+        far as they fit; then, over and over, the first of the others that are no longer than the gap, until none fits.
         """
-        spark = self.spark
+        spark, keys = self.spark, ["pattern", "source"]
         plan = [(list(p), s, n // self.patterns[p], n % self.patterns[p]) for (p, s), n in sorted(self.flow.items())]
         # a row for each pattern and source with flow: as small as the aggregate that was on the driver already
-        plan = F.broadcast(spark.createDataFrame(plan, "pattern array<string>, source string, passes bigint, rest bigint"))
+        plan = F.broadcast(spark.createDataFrame(plan, "pattern array<string>, source string, passes bigint, gap bigint"))
         dealt = self.docs.withColumn("h", F.xxhash64("doc_id", F.lit(self.seed))).withColumn("bucket", F.pmod("h", F.lit(BUCKETS)))
-        sums = dealt.groupBy("pattern", "bucket").agg(F.sum("n_tokens").alias("n"))
-        before = Window.partitionBy("pattern").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-        offsets = sums.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
-        inside = Window.partitionBy("pattern", "bucket").orderBy("h", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
-        ranked = dealt.join(offsets, ["pattern", "bucket"]).withColumn("upto", F.col("before") + F.sum("n_tokens").over(inside))
-        used = self.scratch.keep(ranked.join(plan, "pattern").withColumn("part", F.col("upto") <= F.col("rest")))
-        gaps = used.groupBy("pattern", "source").agg((F.first("rest") - F.coalesce(F.max(F.when(F.col("part"), F.col("upto"))), F.lit(0))).alias("gap"))
-        fits = used.where("not part").join(F.broadcast(gaps), ["pattern", "source"]).where("n_tokens <= gap and n_tokens > 0")
-        last = fits.groupBy("pattern", "source").agg(F.max(F.struct("n_tokens", "h", "doc_id")).alias("x")).select("pattern", "source", F.col("x.doc_id").alias("doc_id"), F.lit(1).alias("extra"))
-        joined = used.join(F.broadcast(last), ["pattern", "source", "doc_id"], "left")
-        times = F.col("passes") + F.when(F.col("part"), 1).otherwise(F.coalesce("extra", F.lit(0)))
-        return joined.select("doc_id", "source", times.cast("int").alias("repeats"), "n_tokens").where("repeats > 0")
+        rows, done = dealt.join(plan, "pattern"), []
+        while True:
+            tried = self.scratch.keep(_first_that_fit(rows))
+            gaps = tried.groupBy(*keys).agg((F.first("gap") - F.coalesce(F.sum(F.when(F.col("part"), F.col("n_tokens"))), F.lit(0))).alias("gap"))
+            gaps = [tuple(r) for r in gaps.collect()]  # a row for each pattern and source at most
+            left = tried.where("not part").drop("gap", "part").join(F.broadcast(spark.createDataFrame(gaps, "pattern array<string>, source string, gap bigint")), keys)
+            fits = (F.col("n_tokens") > 0) & (F.col("n_tokens") <= F.col("gap"))
+            done += [tried.where("part").withColumn("repeats", F.col("passes") + 1), left.where(~fits).withColumn("repeats", F.col("passes"))]
+            rows = left.where(fits)
+            if rows.isEmpty():
+                break
+        out = reduce(DataFrame.unionByName, [d.select("doc_id", "source", F.col("repeats").cast("int").alias("repeats"), "n_tokens") for d in done])
+        return out.where("repeats > 0")
 
     def shares(self) -> DataFrame:
-        """(source, target_share, n_available, n_quota, n_reached, reached_share, falls_short): what the selection really reaches."""
+        """(source, target_share, n_available, n_quota, falls_short, n_reached, n_missing, selection_short, reached_share).
+
+        ``falls_short`` says that the repetitions can't fill the quota; ``selection_short`` that the documents really selected
+        don't, if only as none of the others fits into the ``n_missing`` tokens left.
+        """
         got = self.selection().groupBy("source").agg(F.sum(F.col("repeats") * F.col("n_tokens")).alias("n_reached"))
         flow = self.reached()
         has = {s: sum(n for p, n in self.patterns.items() if s in p) for s in self.targets}
         rows = [(s, float(self.targets[s][0]), has[s], self.quotas[s], flow[s] < self.quotas[s]) for s in sorted(self.targets)]
         left = self.spark.createDataFrame(rows, "source string, target_share double, n_available bigint, n_quota bigint, falls_short boolean")
         out = left.join(got, "source", "left").withColumn("n_reached", F.coalesce("n_reached", F.lit(0)))
+        missing = F.greatest(F.col("n_quota") - F.col("n_reached"), F.lit(0))
+        out = out.withColumn("n_missing", missing).withColumn("selection_short", F.col("n_missing") > 0)
         # a row for each target: the window over all of them is as small as that table
         return out.withColumn("reached_share", F.round(F.col("n_reached") / F.sum("n_reached").over(Window.partitionBy()), 6))
 
