@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from vellum.functions.exprs import hash_int, hash_uniform, norm
 from vellum.operators import models, ranks, resample, stats
@@ -92,10 +93,13 @@ _NORM = " + ".join(f"abs(w_{c})" for c, _ in _TERMS)
 @query(f"WITH {FEATURES_SQL}, {FIT_SQL}, {_z_sql('zero')}, w AS (SELECT draw, {_PERT} FROM range({DRAWS}) r(draw)), l AS (SELECT draw, round(({' + '.join(f'w_{c} * {c}_z' for c, _ in _TERMS)}) / ({_NORM}), 9) AS x, round({' + '.join(f'({w}::DOUBLE) * {c}_z' for c, (w, _) in _TERMS)}, 9) AS y FROM z CROSS JOIN w WHERE n_letters IS NOT NULL), r AS (SELECT draw, {mid_rank_sql('x', 'draw')} AS rx, {mid_rank_sql('y', 'draw')} AS ry FROM l) SELECT draw, round(corr(rx, ry), 6) AS rho FROM r GROUP BY draw")
 def weight_perturbation(spark: SparkSession, d: str) -> DataFrame:
     """Rank agreement of the composite with itself under weights drawn from 0.9 to 1.1 of theirs and renormalised."""
-    df = features(spark, d)
+    return _perturbed(features(spark, d), DRAWS)
+
+
+def _perturbed(df: DataFrame, n_draws: int) -> DataFrame:
     cols = [c for c, _ in _TERMS]
     z = scoring.standardise(df, cols, scoring.fit_constants(df, cols, DEV), "zero").where("n_letters is not null")
-    draws = spark.range(DRAWS).toDF("draw")
+    draws = df.sparkSession.range(n_draws).toDF("draw")
     for c, (w, _) in _TERMS:
         draws = draws.withColumn(f"w_{c}", w * (0.9 + 0.2 * hash_uniform(F.concat_ws(":", F.lit("weights"), "draw", F.lit(c)))))
     size = sum((F.abs(f"w_{c}") for c in cols), F.lit(0.0))
@@ -296,3 +300,122 @@ def association_intervals(spark: SparkSession, d: str) -> DataFrame:
         part = ranks.spearman(df, c, "n_letters").crossJoin(F.broadcast(resample.percentile_interval(draws, "rho"))).withColumn("feature", F.lit(c))
         out = part if out is None else out.unionByName(part)
     return out
+
+
+#: Subset sizes of D51 (documents) and D52 (labels), each spread evenly over the categories.
+IMAGE_SIZES, LABEL_SIZES = (20, 40, 60, 80, 100), (5, 10, 20, 40, 60)
+#: Draws of the survey: B1, D28, D50 and D51 take 1000, B2 and B3 2000, D52 100 for each number of labels.
+IID_DRAWS, CLUSTER_DRAWS, LABEL_DRAWS = 1000, 2000, 100
+
+
+@query()
+def cluster_bootstrap_ci_full(spark: SparkSession, d: str) -> DataFrame:
+    """``cluster_bootstrap_ci`` with the survey's draws."""
+    draws = resample.cluster_bootstrap_spearman(features(spark, d), "digit_share", "punct_share", "cluster", CLUSTER_DRAWS)
+    return rounded(resample.percentile_interval(draws, "rho"), "low", "high", places=5)
+
+
+@query()
+def paired_delta_bootstrap_full(spark: SparkSession, d: str) -> DataFrame:
+    """``paired_delta_bootstrap`` with the survey's draws: both correlations on the same resamples."""
+    df = features(spark, d)
+    a = resample.cluster_bootstrap_spearman(df, "digit_share", "n_words", "cluster", CLUSTER_DRAWS)
+    b = resample.cluster_bootstrap_spearman(df, "punct_share", "n_words", "cluster", CLUSTER_DRAWS).withColumnRenamed("rho", "other")
+    return a.join(b, "draw").select("draw", F.round(F.col("rho") - F.col("other"), 6).alias("delta"))
+
+
+@query()
+def iid_bootstrap_mean_diff_full(spark: SparkSession, d: str) -> DataFrame:
+    """``iid_bootstrap_mean_diff`` with the survey's draws."""
+    return rounded(resample.iid_bootstrap_mean_difference(features(spark, d), "doc_id", "n_words", F.col("category") == "en", IID_DRAWS), "difference", places=5)
+
+
+@query()
+def weight_perturbation_full(spark: SparkSession, d: str) -> DataFrame:
+    """``weight_perturbation`` with the survey's draws."""
+    return _perturbed(features(spark, d), IID_DRAWS)
+
+
+@query()
+def rater_saturation_full(spark: SparkSession, d: str) -> DataFrame:
+    """Agreement of the mean of m raters with that of all, for every m, over the survey's draws without replacement."""
+    e = table(spark, d, "events").select((F.col("user_id") % 12).alias("rater"), (F.col("event_id") % 40).alias("item"), "value")
+    return rater_grid(e, IID_DRAWS)
+
+
+def rater_grid(e: DataFrame, n_draws: int) -> DataFrame:
+    """(m, n_draws, rho, low, high, mad, overlap, sufficient) of ratings (rater, item, value), medians over the draws of m raters.
+
+    ``overlap`` is the share of the tenth of the items rated lowest and of that rated highest which the draw has as well;
+    ``sufficient`` is the least m with a median rho of .95 and a lower bound of .90.
+    """
+    cells = e.groupBy("rater", "item").agg(F.sum("value").alias("s"), F.count("value").alias("n"))  # rows are read once, draws use cells
+    full = cells.groupBy("item").agg(F.round(F.try_divide(F.sum("s"), F.sum("n")), 9).alias("y")).where("y is not null")
+    raters = cells.select("rater").where("rater is not null").distinct().count()
+    # subsets of a draw are nested: m raters are the first m in its order
+    order = resample.subset_draws(cells, "rater", raters, n_draws, "raters")
+    h = hash_int(F.concat_ws(":", F.lit("raters"), "draw", F.col("rater").cast("string")))
+    order = order.withColumn("k", F.row_number().over(Window.partitionBy("draw").orderBy(h, "rater")))
+    upto = Window.partitionBy("draw", "item").orderBy("m").rowsBetween(Window.unboundedPreceding, 0)
+    grid = order.select("draw", "rater", F.col("k").alias("m")).crossJoin(F.broadcast(full))  # draws x raters x items, cells that are missing too
+    part = grid.join(F.broadcast(cells), ["rater", "item"], "left").withColumn("x", F.round(F.try_divide(F.sum("s").over(upto), F.sum("n").over(upto)), 9))
+    j = part.where("x is not null").select("m", "draw", "item", "x", "y")
+    of_draw = Window.partitionBy("m", "draw")
+    place = lambda c, up: F.row_number().over(of_draw.orderBy(F.col(c) if up else F.col(c).desc(), F.col("item") if up else F.col("item").desc()))
+    least = F.greatest(F.lit(1), F.floor(F.count(F.lit(1)).over(of_draw) / 10))
+    ends = lambda c: (place(c, True) <= least) | (place(c, False) <= least)
+    told = j.withColumns({"in_x": ends("x"), "in_y": ends("y")})
+    draws = told.groupBy("m", "draw").agg(F.avg(F.abs(F.col("x") - F.col("y"))).alias("mad"), (F.count_if(F.col("in_x") & F.col("in_y")) / F.count_if("in_y")).alias("overlap"))
+    rho = ranks.spearman(j, "x", "y", "m", "draw").select("m", "draw", "rho")
+    q = F.percentile("rho", [0.025, 0.5, 0.975])
+    out = rho.join(draws, ["m", "draw"]).groupBy("m").agg(F.count(F.lit(1)).alias("n_draws"), F.round(q[1], 6).alias("rho"), F.round(q[0], 6).alias("low"), F.round(q[2], 6).alias("high"), F.round(F.median("mad"), 6).alias("mad"), F.round(F.median("overlap"), 6).alias("overlap"))
+    enough = F.min(F.when((F.col("rho") >= 0.95) & (F.col("low") >= 0.9), F.col("m"))).over(Window.partitionBy())  # a row for each m
+    return out.withColumn("sufficient", enough)
+
+
+@query()
+def image_saturation_full(spark: SparkSession, d: str) -> DataFrame:
+    """(n, n_draws, full_rho, rho, bias, std, low, high): correlation in stratified subsets of n documents over the survey's draws."""
+    df = features(spark, d).where("n_words is not null").select(F.col("doc_id").alias("key"), "category", F.col("digit_share").alias("x"), F.col("punct_share").alias("y"))
+    return image_grid(df, IMAGE_SIZES, IID_DRAWS)
+
+
+def _dealt(df: DataFrame, sizes: tuple, n_draws: int, salt: str) -> DataFrame:
+    """(size, draw, x, y, picked): in each draw the first ``size`` / categories rows of each category in a seeded order; sizes are nested.
+
+    Categories of fewer rows give all of theirs; a row without a category counts as one more.
+    """
+    from vellum.operators.order import hashed_rank
+
+    df = df.withColumn("category", F.coalesce(F.col("category").cast("string"), F.lit("")))
+    k = df.select("category").distinct().count()
+    long = df.crossJoin(F.broadcast(df.sparkSession.range(n_draws).toDF("draw"))).withColumn("key", F.concat_ws(":", "draw", "key"))
+    rank = hashed_rank(long, "key", salt, "draw", "category")
+    each = F.explode(F.array(*[F.struct(F.lit(n).alias("size"), F.lit(n // k).alias("of_each")) for n in sizes]))
+    return rank.select("draw", "x", "y", "rank", each.alias("s")).select("s.size", "draw", "x", "y", (F.col("rank") <= F.col("s.of_each")).alias("picked"))
+
+
+def image_grid(df: DataFrame, sizes: tuple, n_draws: int) -> DataFrame:
+    rho = ranks.spearman(_dealt(df, sizes, n_draws, "images:").where("picked"), "x", "y", "size", "draw")
+    full = ranks.spearman(df, "x", "y").select(F.col("rho").alias("full_rho"))
+    q = F.percentile("rho", [0.025, 0.5, 0.975])
+    out = rho.groupBy(F.col("size").alias("n")).agg(F.count("rho").alias("n_draws"), q[1].alias("rho"), F.stddev_pop("rho").alias("std"), q[0].alias("low"), q[2].alias("high"))
+    return rounded(out.crossJoin(F.broadcast(full)).withColumn("bias", F.col("rho") - F.col("full_rho")), "full_rho", "rho", "bias", "std", "low", "high")
+
+
+@query()
+def calibration_efficiency_full(spark: SparkSession, d: str) -> DataFrame:
+    """(k, n_draws, frozen_rho, rho, std, gain): a one-input ridge on k labels, ranked against all other rows, over the survey's draws."""
+    p = table(spark, d, "part").select(F.col("p_partkey").alias("key"), F.col("p_brand").alias("category"), F.col("p_size").cast("double").alias("x"), F.col("p_retailprice").alias("y"))
+    return label_grid(p.withColumn("category", F.substring("category", 1, 7)), LABEL_SIZES, LABEL_DRAWS)
+
+
+def label_grid(df: DataFrame, sizes: tuple, n_draws: int) -> DataFrame:
+    dealt = _dealt(df, sizes, n_draws, "labels:")
+    slope, _ = models.calibration_slope("x", "y")
+    fit = dealt.where("picked").groupBy("size", "draw").agg(slope.alias("slope"))
+    # predictions are linear in x: their ranks on the other rows are those of x, or turned round
+    rho = ranks.spearman(dealt.where("not picked"), "x", "y", "size", "draw").join(fit, ["size", "draw"]).withColumn("rho", F.when(F.col("slope") != 0, F.signum("slope") * F.col("rho")))
+    full = ranks.spearman(df, "x", "y").select(F.col("rho").alias("frozen_rho"))
+    out = rho.groupBy(F.col("size").alias("k")).agg(F.count("rho").alias("n_draws"), F.median("rho").alias("rho"), F.stddev_pop("rho").alias("std"))
+    return rounded(out.crossJoin(F.broadcast(full)).withColumn("gain", F.col("rho") - F.col("frozen_rho")), "frozen_rho", "rho", "std", "gain")
