@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from vellum.functions.exprs import entropy_from_counts, hash_int, pearson_agg
-from vellum.operators import ranks, stats
+from vellum.operators import resample, ranks, stats
 from vellum.plans.base import COMPOSITES, FEATURES_SQL, features
 from vellum.plans.scoring_queries import SCORED, mid_rank_sql, rounded, scored
 from vellum.session import table
@@ -281,3 +281,40 @@ def baseline_select_on_dev(spark: SparkSession, d: str) -> DataFrame:
     dev = rho.where("split = 'dev'").orderBy(F.desc(F.abs("rho")), "a").limit(1).select(F.col("a").alias("baseline"), F.col("rho").alias("dev_rho"))
     test = rho.where("split = 'test'").select(F.col("a").alias("baseline"), F.col("rho").alias("test_rho"))
     return rounded(dev.join(test, "baseline"), "dev_rho", "test_rho")
+
+
+@query()
+def decision_status_ladder_full(spark: SparkSession, d: str) -> DataFrame:
+    """``decision_status_ladder`` with a cluster-bootstrap interval for each proxy and family and with q-values over all pairs."""
+    return status_ladder(complete(spark, d), PROXIES, TARGETS, "n_letters", "cluster", "category", ["en", "de", "fr", "es", "zh"], 2000)
+
+
+def status_ladder(df: DataFrame, proxies: list, targets: list, nominal: str, cluster: str, family: str, families: list, draws: int) -> DataFrame:
+    """(proxy, rho, low, q, margin, association, selectivity, family, overall). Families of fewer than 10 rows are left aside."""
+    spark = df.sparkSession
+    pairs = ranks.rank_correlations(df, [*proxies, *targets]).where(F.col("a").isin(proxies) & F.col("b").isin(targets)).select("a", "b", "rho").collect()
+    n = df.dropna(subset=[*proxies, *targets]).count()
+    # a pair without a correlation, a constant input, has p 1
+    tests = spark.createDataFrame([(r["a"], r["b"], r["rho"], ranks.spearman_p(r["rho"], n) if r["rho"] is not None else 1.0) for r in pairs], "proxy string, target string, rho double, p double")
+    told = ranks.benjamini_hochberg(tests, "p")
+    size, is_nominal = F.abs("rho"), F.col("target") == nominal
+    m = told.groupBy("proxy").agg(*[F.max(F.when(is_nominal, F.col(c))).alias(c) for c in ("rho", "q")], (F.max(F.when(is_nominal, size)) - F.max(F.when(~is_nominal, size))).alias("margin"))
+
+    def lower(rows: DataFrame, proxy: str) -> float | None:
+        r = resample.percentile_interval(resample.cluster_bootstrap_spearman(rows, proxy, nominal, cluster, draws), "rho").first()
+        return r["low"] if r else None
+
+    lows = spark.createDataFrame([(p, lower(df, p)) for p in proxies], "proxy string, low double")
+    parts = []
+    for f in families:
+        rows = df.where(F.col(family) == f).dropna(subset=[*proxies, nominal])
+        if rows.count() >= 10:
+            rho = {r["a"]: r["rho"] for r in ranks.rank_correlations(rows, [*proxies, nominal]).where(F.col("b") == nominal).collect()}
+            parts += [(p, rho.get(p), lower(rows, p)) for p in proxies]
+    per = spark.createDataFrame(parts, "proxy string, f_rho double, f_low double").join(m.select("proxy", "q"), "proxy")
+    good = F.coalesce(stats.association_status(F.col("f_rho"), F.col("f_low"), F.col("q")), F.lit("failure")) != "failure"
+    g = per.groupBy("proxy").agg(F.count_if(good).alias("good"), F.count(F.lit(1)).alias("k"))
+    s = m.join(lows, "proxy").join(g, "proxy", "left").fillna(0, subset=["good", "k"])
+    s = s.withColumns({"association": stats.association_status(F.col("rho"), F.col("low"), F.col("q")), "selectivity": stats.selectivity_status(F.col("margin")), "family": stats.family_status(F.col("good"), F.col("k"))})
+    s = s.withColumn("overall", stats.overall_status(F.col("association"), F.col("margin"), F.col("family")))
+    return rounded(s.select("proxy", "rho", "low", "q", "margin", "association", "selectivity", "family", "overall"), "rho", "low", "q", "margin")
