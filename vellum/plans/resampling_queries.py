@@ -383,15 +383,16 @@ def image_saturation_full(spark: SparkSession, d: str) -> DataFrame:
 def _dealt(df: DataFrame, sizes: tuple, n_draws: int, salt: str) -> DataFrame:
     """(size, draw, x, y, picked): in each draw the first ``size`` / categories rows of each category in a seeded order; sizes are nested.
 
-    Categories of fewer rows give all of theirs; a row without a category counts as one more.
+    The first categories give one more where that doesn't divide. Categories of fewer rows give all of theirs; a row without a category counts as one more.
     """
     from vellum.operators.order import hashed_rank
 
     df = df.withColumn("category", F.coalesce(F.col("category").cast("string"), F.lit("")))
-    k = df.select("category").distinct().count()
+    names = sorted(r["category"] for r in df.select("category").distinct().collect())
+    k, at = len(names), F.array_position(F.array(*[F.lit(c) for c in names]), F.col("category"))
     long = df.crossJoin(F.broadcast(df.sparkSession.range(n_draws).toDF("draw"))).withColumn("key", F.concat_ws(":", "draw", "key"))
     rank = hashed_rank(long, "key", salt, "draw", "category")
-    each = F.explode(F.array(*[F.struct(F.lit(n).alias("size"), F.lit(n // k).alias("of_each")) for n in sizes]))
+    each = F.explode(F.array(*[F.struct(F.lit(n).alias("size"), (n // k + (at <= n % k).cast("int")).alias("of_each")) for n in sizes]))
     return rank.select("draw", "x", "y", "rank", each.alias("s")).select("s.size", "draw", "x", "y", (F.col("rank") <= F.col("s.of_each")).alias("picked"))
 
 
