@@ -6,7 +6,6 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from vellum.operators import profile
 from vellum.operators.profile import Rule, load_issues, profile_table
 from vellum.operators.quantiles import exact_quantiles
 from vellum.sources import footers
@@ -54,21 +53,64 @@ def test_issues_dont_depend_on_the_layout(spark, tmp_path, layout):
     assert got == WANT
 
 
-def test_files_told_by_footers_are_left_unread(spark, tmp_path):
+@pytest.fixture
+def read(monkeypatch, tmp_path):
+    """The (file, row group, columns) that are read, in files next to the data: tasks run in other processes."""
+    note = tmp_path / "read"
+    note.mkdir()
+
+    def noting(group, columns, inner=footers.RowGroup.batches):
+        import uuid
+
+        name = uuid.uuid4().hex
+        with open(f"{note}/{name}", "w") as f:
+            f.write(f"{group.source_name}|{group.group}|{','.join(sorted(set(columns)))}")
+        return inner(group, columns)
+
+    monkeypatch.setattr(footers.RowGroup, "batches", noting)
+    return lambda: sorted(tuple(p.read_text().split("|")) for p in note.iterdir())
+
+
+def test_row_groups_that_tell_enough_are_left_unread(spark, tmp_path, read):
+    """Clustered by load: constants, ranges, NULLs, spelling and drifts that extrema decide need no data page."""
     path = tmp_path / "t.parquet"
     write(path / "a.parquet", [("L", "r0", 7, 9, 2.0, "True")] * 5)
-    write(path / "b.parquet", [("L", "r1", 7 + i, 9, 2.0, "True") for i in range(5)])
-    rows = profile.load_values(spark, str(path), ["n", "s", "t", "top", "release_line"])
-    assert rows.count() == 10
-    assert [f.rsplit("/", 1)[1] for f in rows.inputFiles() if f.endswith("b.parquet") or f.endswith("a.parquet")] == ["b.parquet"]
-    assert {tuple(r) for r in load_issues(spark, str(path), RULES).collect()} >= {("n", "r0", "constant"), ("s", "r0", "constant"), ("s", "r1", "constant")}
+    write(path / "b.parquet", [("L", "r1", 70 + i, 90, 2.0 + i / 9, "False") for i in range(5)])  # n drifts for sure, s never, t does
+    write(path / "c.parquet", [("L", "r2", None if i else 8, 9, NAN if i else 2.5, "odd" if i else None) for i in range(5)])
+    write(path / "d.parquet", [("L", "r3", 6 + 3 * i, 90, 2.0, "True") for i in range(5)])  # the median may drift or not
+    got = {tuple(r) for r in load_issues(spark, str(path), RULES).collect()}
+    assert got == {
+        ("n", "r0", "constant"), ("s", "r0", "constant"), ("n", "r1", "drift"), ("t", "r1", "drift"), ("n", "r2", "null_rate"), ("n", "r2", "constant"), ("s", "r2", "range"),
+        ("s", "r2", "constant"), ("t", "r2", "null_rate"), ("t", "r2", "pattern"), ("t", "r2", "drift"), ("s", "r3", "constant"),
+    }
+    assert [(f.rsplit("/", 1)[1], c) for f, _, c in read()] == [("a.parquet", "n,run_id,top"), ("d.parquet", "n,run_id,top")]
+
+
+def test_a_profile_scans_only_chunks_without_a_full_dictionary(spark, tmp_path, read):
+    values = [f"value {i:06d}" for i in range(4000)]
+    pq.write_table(pa.table({"s": values, "k": [i % 7 for i in range(4000)]}), tmp_path / "d.parquet", dictionary_pagesize_limit=1024, row_group_size=2000)
+    out = {r["column_name"]: r for r in profile_table(spark, str(tmp_path / "d.parquet")).collect()}
+    assert (out["s"]["n_distinct"], out["s"]["lo_text"], out["s"]["hi_text"], out["k"]["n_distinct"], out["k"]["hi_int"]) == (4000, values[0], values[-1], 7, 6)
+    assert [(g, c) for _, g, c in read()] == [("0", "s"), ("1", "s")]
+
+
+@pytest.mark.parametrize("options", [{}, {"use_dictionary": False}, {"use_dictionary": False, "write_statistics": False}])
+def test_integers_beyond_doubles(spark, tmp_path, options):
+    """Ids like hashes: a thousand near 2^60 are a thousand values, and two neighbours aren't a constant."""
+    ids = [(1 << 60) + i for i in range(1000)]
+    pq.write_table(pa.table({"id": ids, "neg": [-i for i in ids]}), tmp_path / "i.parquet", **options)
+    out = {r["column_name"]: r for r in profile_table(spark, str(tmp_path / "i.parquet")).collect()}
+    assert (out["id"]["n_distinct"], out["id"]["lo_int"], out["id"]["hi_int"], out["neg"]["lo_int"]) == (1000, ids[0], ids[-1], -ids[-1])
+    write(tmp_path / "t.parquet", [("L", "r0", ids[i], ids[-1], 1.0 + i, "True") for i in (0, 1)] + [("L", "r1", ids[i], ids[i] - 1, 1.0 + i, "True") for i in (0, 1)], **options)
+    got = {tuple(r) for r in load_issues(spark, str(tmp_path / "t.parquet"), RULES).collect()}
+    assert got == {("n", "r1", "range")}
 
 
 def test_empty_table(spark, tmp_path):
     write(tmp_path / "t.parquet", [])
     assert load_issues(spark, str(tmp_path / "t.parquet"), RULES).count() == 0
     out = {r["column_name"]: r for r in profile_table(spark, str(tmp_path / "t.parquet")).collect()}
-    assert len(out) == 9 and all((r["n_rows"], r["n_nulls"], r["n_distinct"], r["lo_num"], r["lo_text"]) == (0, 0, 0, None, None) for r in out.values())
+    assert len(out) == 9 and all((r["n_rows"], r["n_nulls"], r["n_distinct"], r["lo_int"], r["lo_num"], r["lo_text"]) == (0, 0, 0, None, None, None) for r in out.values())
 
 
 @pytest.mark.parametrize("options", [{}, {"row_group_size": 3}, {"use_dictionary": False}, {"compression": "none"}, {"compression": "zstd"}, {"write_statistics": False}, {"data_page_version": "2.0"}, {"dictionary_pagesize_limit": 8}])
@@ -81,11 +123,11 @@ def test_profile_equals_pandas(spark, tmp_path, options):
     table = table.set_column(1, "x", pa.array([NAN if v is None else v for v in x]))
     pq.write_table(table, tmp_path / "p.parquet", **options)
     out = {r["column_name"]: tuple(r)[1:] for r in profile_table(spark, str(tmp_path / "p.parquet")).collect()}
-    day = 86_400_000_000.0
+    day, none = 86_400_000_000, (None, None)
     first = 20454 * day
     assert out == {
-        "i": (5, 0, 3, 1.0, 3.0, None, None), "x": (5, 0, 3, -2.0, 1.5, None, None), "s": (5, 1, 3, None, None, "", "é"), "flag": (5, 1, 2, None, None, None, None),
-        "gone": (5, 5, 0, None, None, None, None), "at": (5, 1, 3, first, first + 2 * day, None, None),
+        "i": (5, 0, 3, 1, 3, *none, *none), "x": (5, 0, 3, *none, -2.0, 1.5, *none), "s": (5, 1, 3, *none, *none, "", "é"), "flag": (5, 1, 2, *none, *none, *none),
+        "gone": (5, 5, 0, *none, *none, *none), "at": (5, 1, 3, first, first + 2 * day, *none, *none),
     }
 
 

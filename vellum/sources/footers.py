@@ -1,26 +1,24 @@
-"""What Parquet files tell without their data pages: footer statistics and dictionaries of column chunks."""
+"""What Parquet files tell without their data pages: footer statistics and dictionaries of column chunks.
+
+Row groups are the unit of work: :func:`row_groups` lists them in tasks, and callers describe or read them one at a time, each
+with only the chunks they need (:class:`RowGroup`).
+"""
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
-from datetime import datetime
+from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.parquet as pq
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
-DICTIONARY_ENCODINGS = ("PLAIN_DICTIONARY", "RLE_DICTIONARY")
-#: Dictionaries with more values than this aren't candidates for distinct counts: their chunk is scanned.
+#: Dictionaries with more values than this aren't read for distinct values: their chunk is scanned.
 MOST_VALUES = 100_000
-
-CHUNKS = (
-    "file string, row_group int, column_name string, n_rows bigint, n_nulls bigint, lo_num double, hi_num double, lo_text string, "
-    "hi_text string, has_nan boolean, num_values array<double>, text_values array<string>, key_lo string, key_hi string, key_nulls bigint"
-)
+#: Rows that a scan of a chunk holds at a time.
+BATCH_ROWS = 65_536
 
 
 def _varint(buf: bytes, at: int) -> tuple[int, int]:
@@ -66,7 +64,7 @@ def _compact_struct(buf: bytes, at: int) -> tuple[dict, int]:
             raise ValueError("unexpected field in a page header")
 
 
-def chunk_dictionary(source, chunk: pq.ColumnChunkMetaData) -> list | None:
+def chunk_dictionary(source, chunk: pq.ColumnChunkMetaData) -> list | np.ndarray | None:
     """All distinct non-null values of a column chunk from its dictionary page; None unless every data page refers to it."""
     if not chunk.has_dictionary_page or chunk.physical_type not in ("BYTE_ARRAY", "INT32", "INT64", "DOUBLE", "FLOAT"):
         return None
@@ -95,7 +93,7 @@ def chunk_dictionary(source, chunk: pq.ColumnChunkMetaData) -> list | None:
                     k += 4 + size
             else:
                 kind = {"INT32": np.int32, "INT64": np.int64, "DOUBLE": np.float64, "FLOAT": np.float32}[chunk.physical_type]
-                values = np.frombuffer(body, kind, count).tolist()
+                values = np.frombuffer(body, kind, count)
         else:
             encoding = (page.get(5) or {}).get(2) if page[1] == 0 else (page.get(8) or {}).get(4)
             if encoding not in (2, 8):  # PLAIN_DICTIONARY, RLE_DICTIONARY: anything else left the dictionary
@@ -104,73 +102,159 @@ def chunk_dictionary(source, chunk: pq.ColumnChunkMetaData) -> list | None:
     return values
 
 
-def _number(v) -> float | None:
-    if isinstance(v, datetime):
-        v = (v.replace(tzinfo=None) - datetime(1970, 1, 1)).total_seconds()
-        return round(v * 1e6)
-    return float(v) if isinstance(v, int | float) and not isinstance(v, bool) else None
+@dataclass
+class Chunk:
+    """What is known of a column chunk. ``kind``: int (also timestamps as microseconds, and dates), float, bool, text or other.
 
-
-def _text(v) -> str | None:
-    if isinstance(v, bytes):
-        try:
-            return v.decode()
-        except UnicodeDecodeError:
-            return None
-    return v if isinstance(v, str) else None
-
-
-def _describe(source, meta: pq.FileMetaData, names: dict[str, int], columns: list[str], key: str | None, file: str) -> Iterator[tuple]:
-    for g in range(meta.num_row_groups):
-        group = meta.row_group(g)
-        key_stats = group.column(names[key]).statistics if key in names else None
-        known = key_stats is not None and key_stats.has_min_max
-        tail = (_text(key_stats.min) if known else None, _text(key_stats.max) if known else None, key_stats.null_count if key_stats is not None and key_stats.has_null_count else None)
-        for name in columns:
-            if name not in names:  # a file without the column: all NULL
-                yield (file, g, name, group.num_rows, group.num_rows, None, None, None, None, False, [], [], *tail)
-                continue
-            chunk = group.column(names[name])
-            stats = chunk.statistics
-            nulls = stats.null_count if stats is not None and stats.has_null_count else None
-            floating = chunk.physical_type in ("DOUBLE", "FLOAT")
-            lo = hi = num_values = text_values = has_nan = None
-            found = chunk_dictionary(source, chunk)
-            if found is not None:
-                if chunk.physical_type == "BYTE_ARRAY":
-                    text_values = [_text(v) for v in found]
-                    text_values = None if None in text_values else text_values
-                else:
-                    has_nan = any(v != v for v in found)
-                    num_values = [float(v) for v in found if v == v]
-                    if floating:
-                        lo, hi = (min(num_values), max(num_values)) if num_values else (None, None)
-            if stats is not None and stats.has_min_max and not floating:  # NaN isn't in a float's statistics: those aren't valid extrema
-                lo, hi = stats.min, stats.max
-            yield (file, g, name, group.num_rows, nulls, _number(lo), _number(hi), _text(lo), _text(hi), has_nan if floating else False, num_values, text_values, *tail)
-
-
-def column_chunks(spark: SparkSession, files: list[str], columns: list[str], key: str | None = None) -> DataFrame:
-    """A row for each column chunk of ``files``: counts, exact extrema where valid, and the distinct values where a dictionary holds them all.
-
-    Footers and dictionary pages are read by tasks, not by the driver. ``key_lo`` and ``key_hi`` are the extrema of the column
-    ``key`` in the same row group. Unknown entries are NULL.
+    ``values``: all distinct non-null values (numpy arrays, a list of bytes for text), ``lo`` and ``hi``: exact extrema, NaN
+    aside; ``nulls``: their exact number. What the file doesn't tell is None.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for uri in batch["file"]:
-                where, path = fs.FileSystem.from_uri(uri)
-                with where.open_input_file(path) as source:
-                    meta = pq.read_metadata(source)
-                    names = {meta.schema.column(i).path: i for i in range(meta.num_columns)}
-                    rows += _describe(source, meta, names, columns, key, uri)
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in CHUNKS.split(", ")]).astype({"n_nulls": "Int64", "key_nulls": "Int64", "has_nan": "boolean"})
+    kind: str
+    rows: int
+    nulls: int | None = None
+    values: np.ndarray | list | None = None
+    lo: object = None
+    hi: object = None
+
+    @property
+    def empty(self) -> bool:
+        return self.nulls is not None and self.nulls == self.rows
+
+
+def _kind(chunk: pq.ColumnChunkMetaData, column) -> tuple[str, int]:
+    """(kind, factor) of a leaf; a negative factor divides, to microseconds."""
+    physical, logical = chunk.physical_type, column.logical_type.type
+    if physical in ("INT32", "INT64") and logical in ("NONE", "INT", "DATE", "TIMESTAMP"):
+        if "isSigned=false" in str(column.logical_type):
+            return "other", 1
+        unit = str(column.logical_type) if logical == "TIMESTAMP" else ""
+        return "int", 1000 if "milli" in unit else -1000 if "nano" in unit else 1
+    if physical in ("DOUBLE", "FLOAT"):
+        return "float", 1
+    if physical == "BOOLEAN":
+        return "bool", 1
+    return ("text" if physical == "BYTE_ARRAY" and logical not in ("DECIMAL",) else "other"), 1
+
+
+def _scaled(v, factor: int):
+    return v * factor if factor > 0 else v // -factor
+
+
+class RowGroup:
+    """One row group of a file: what its footer and dictionaries tell of a column, and its rows by batches."""
+
+    def __init__(self, source, meta: pq.FileMetaData, group: int, source_name: str = ""):
+        self.source, self.meta, self.group, self.source_name = source, meta, group, source_name
+        self.rows = meta.row_group(group).num_rows
+        self.leaves = {meta.schema.column(i).path: i for i in range(meta.num_columns)}
+        self.tops = {p.split(".")[0] for p in self.leaves}
 
-    listed = spark.createDataFrame([(f,) for f in files], "file string")
-    return listed.repartition(max(1, min(len(files), 4096))).mapInPandas(run, CHUNKS)
+    def chunk(self, name: str) -> Chunk:
+        """What is known of a column without its data pages. A file without the column holds NULL throughout."""
+        if name not in self.tops or not self.rows:
+            return Chunk("other", self.rows, self.rows, [])
+        if name not in self.leaves:
+            return Chunk("other", self.rows)
+        at = self.leaves[name]
+        chunk = self.meta.row_group(self.group).column(at)
+        kind, factor = _kind(chunk, self.meta.schema.column(at))
+        stats = chunk.statistics
+        out = Chunk(kind, self.rows, stats.null_count if stats is not None and stats.has_null_count else None)
+        extrema = stats is not None and stats.has_min_max
+        if kind == "bool":
+            if extrema:
+                out.values = np.unique(np.array([stats.min, stats.max], np.int64))
+        elif kind != "other":
+            out.values = chunk_dictionary(self.source, chunk)
+        if out.empty:
+            out.values = [] if kind == "text" else np.zeros(0, np.int64)
+            return out
+        if kind == "int":
+            if out.values is not None:
+                out.values = np.unique(_scaled(out.values.astype(np.int64), factor))
+            if extrema:
+                out.lo, out.hi = _scaled(int(stats.min_raw), factor), _scaled(int(stats.max_raw), factor)
+            elif out.values is not None and len(out.values):
+                out.lo, out.hi = int(out.values[0]), int(out.values[-1])
+        # statistics of floats leave NaN out and those of text may be cut: their extrema are those of the dictionary
+        elif kind == "float" and out.values is not None:
+            out.values = np.unique(out.values.astype(np.float64) + 0.0)
+            solid = out.values[~np.isnan(out.values)]
+            out.lo, out.hi = (float(solid[0]), float(solid[-1])) if len(solid) else (None, None)
+        elif kind == "text" and out.values:
+            out.lo, out.hi = min(out.values), max(out.values)
+        return out
 
+    def batches(self, columns: list[str]) -> Iterator[pa.RecordBatch]:
+        """The rows of the named columns, read a batch at a time; columns that the file lacks are NULL."""
+        held = [c for c in dict.fromkeys(columns) if c in self.tops]
+        file = pq.ParquetFile(self.source, metadata=self.meta)
+        if not held:
+            yield pa.RecordBatch.from_arrays([pa.nulls(self.rows)] * len(columns), columns)
+            return
+        for batch in file.iter_batches(BATCH_ROWS, row_groups=[self.group], columns=held, use_threads=False):
+            arrays = [batch.column(batch.schema.get_field_index(c)) if c in self.tops else pa.nulls(batch.num_rows) for c in columns]
+            yield pa.RecordBatch.from_arrays(arrays, columns)
+
+
+def described(values: pa.Array) -> Chunk:
+    """The same of values that were read."""
+    kind = values.type
+    out = Chunk("other", len(values), values.null_count)
+    solid = values.drop_null()
+    if pa.types.is_timestamp(kind):
+        solid = solid.cast(pa.timestamp("us", kind.tz), safe=False).cast(pa.int64())
+    elif pa.types.is_date32(kind):
+        solid = solid.cast(pa.int32())
+    kind = solid.type
+    if pa.types.is_integer(kind) and kind != pa.uint64():
+        out.kind, out.values = "int", np.unique(solid.to_numpy(zero_copy_only=False).astype(np.int64))
+    elif pa.types.is_floating(kind):
+        out.kind, out.values = "float", np.unique(solid.to_numpy(zero_copy_only=False).astype(np.float64) + 0.0)
+    elif pa.types.is_boolean(kind):
+        out.kind, out.values = "bool", np.unique(solid.to_numpy(zero_copy_only=False).astype(np.int64))
+    elif pa.types.is_string(kind) or pa.types.is_binary(kind) or pa.types.is_large_string(kind) or pa.types.is_large_binary(kind):
+        out.kind, out.values = "text", solid.unique().cast(pa.large_binary()).to_pylist()
+    else:
+        out.values = sorted({repr(v).encode() for v in solid.to_pylist()})
+    if out.kind in ("int", "float"):
+        kept = out.values if out.kind == "int" else out.values[~np.isnan(out.values)]
+        out.lo, out.hi = (kept[0].item(), kept[-1].item()) if len(kept) else (None, None)
+    elif out.kind == "text" and out.values:
+        out.lo, out.hi = min(out.values), max(out.values)
+    return out
+
+
+class Files:
+    """Opens row groups by (file, number); the file last asked for stays open."""
+
+    def __init__(self):
+        self.uri, self.source, self.meta = None, None, None
+
+    def group(self, uri: str, group: int) -> RowGroup:
+        if uri != self.uri:
+            where, path = fs.FileSystem.from_uri(uri)
+            self.uri, self.source = uri, where.open_input_file(path)
+            self.meta = pq.read_metadata(self.source)
+        return RowGroup(self.source, self.meta, group, uri)
+
+
+def count_row_groups(uri: str) -> int:
+    where, path = fs.FileSystem.from_uri(uri)
+    with where.open_input_file(path) as source:
+        return pq.read_metadata(source).num_row_groups
+
+
+def row_groups(spark: SparkSession, files: list[tuple[str, str]]) -> DataFrame:
+    """(table_name, file, row_group) of the files (table name, URI); their footers are read by tasks, not by the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(t, f, g) for t, f in zip(*(batch.column(i).to_pylist() for i in (0, 1)), strict=True) for g in range(count_row_groups(f))]
+            cols = list(zip(*rows, strict=True)) or [[], [], []]
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.int32())], ["table_name", "file", "row_group"])
 
-def is_finite(v: float | None) -> bool:
-    return v is not None and math.isfinite(v)
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(4 * len(files), 20_000))
+    listed = spark.createDataFrame(files, "table_name string, file string").repartition(max(1, min(len(files), 4096)))
+    return listed.mapInArrow(run, "table_name string, file string, row_group int").repartition(parts, "file", "row_group")
