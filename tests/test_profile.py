@@ -101,9 +101,9 @@ def test_integers_beyond_doubles(spark, tmp_path, options):
     pq.write_table(pa.table({"id": ids, "neg": [-i for i in ids]}), tmp_path / "i.parquet", **options)
     out = {r["column_name"]: r for r in profile_table(spark, str(tmp_path / "i.parquet")).collect()}
     assert (out["id"]["n_distinct"], out["id"]["lo_int"], out["id"]["hi_int"], out["neg"]["lo_int"]) == (1000, ids[0], ids[-1], -ids[-1])
-    write(tmp_path / "t.parquet", [("L", "r0", ids[i], ids[-1], 1.0 + i, "True") for i in (0, 1)] + [("L", "r1", ids[i], ids[i] - 1, 1.0 + i, "True") for i in (0, 1)], **options)
+    write(tmp_path / "t.parquet", [("L", "r0", ids[i], ids[-1], 1.0 + i, "True") for i in (0, 1)] + [("L", "r1", ids[i], ids[i] - 1, 1.0 + i, "True") for i in (0, 1)] + [("L", "r2", ids[1], ids[-1], 1.0 + i, "True") for i in (0, 1)], **options)
     got = {tuple(r) for r in load_issues(spark, str(tmp_path / "t.parquet"), RULES).collect()}
-    assert got == {("n", "r1", "range")}
+    assert got == {("n", "r1", "range"), ("n", "r2", "constant")}
 
 
 def test_empty_table(spark, tmp_path):

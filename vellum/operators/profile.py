@@ -22,7 +22,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 from vellum.operators.quantiles import exact_quantiles, finite
 from vellum.operators.skew import HEAVY_ROWS, HEAVY_SHARE, heavy_keys, join_on_unique
 from vellum.session import Scratch
-from vellum.sources.footers import Chunk, Files, described, row_groups
+from vellum.sources.footers import Chunk, Files, described, row_groups, tasks_for
 
 # --- profiles of tables -------------------------------------------------------------------------------------------------
 
@@ -57,8 +57,6 @@ def table_facts(spark: SparkSession, tables: dict[str, str], columns: dict[str,
 
     A row group's insufficient chunks are read in one pass, and no others.
     """
-    files = [(t, f) for t, path in tables.items() for f in spark.read.parquet(path).inputFiles()]
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         opened = Files()
         for batch in batches:
@@ -73,7 +71,7 @@ def table_facts(spark: SparkSession, tables: dict[str, str], columns: dict[str,
                     for i, c in enumerate(rest):
                         yield _facts(table, c, described(rows.column(i)), True)
 
-    return row_groups(spark, files).mapInArrow(run, FACTS)
+    return row_groups(spark, tables).mapInArrow(run, FACTS)
 
 
 def profile_tables(spark: SparkSession, tables: dict[str, str], columns: dict[str, list[str]] | None = None) -> DataFrame:
@@ -172,7 +170,6 @@ def load_facts(spark: SparkSession, path: str, rules: list[Rule], key: str, line
 
     The key's dictionary tells the loads. If there are several, or if it is missing, key and line of this row group are read.
     """
-    files = [("", f) for f in spark.read.parquet(path).inputFiles()]
 
     def loads(group) -> tuple[bool, list[tuple]]:
         keys, lines = group.chunk(key), group.chunk(line)
@@ -200,12 +197,11 @@ def load_facts(spark: SparkSession, path: str, rules: list[Rule], key: str, line
                 rows.append({"table_name": "", "file": file, "row_group": number, "pure": pure, "loads": [dict(zip(("k", "n", "line"), x, strict=True)) for x in held], "cols": told})
             yield pa.RecordBatch.from_pylist(rows, schema)
 
-    listed = row_groups(spark, files)
     spark_schema = StructType.fromDDL(LOADS)
-    return listed.mapInArrow(run, LOADS)
+    return row_groups(spark, {"": path}).mapInArrow(run, LOADS)
 
 
-def scan_chunks(spark: SparkSession, targets: DataFrame, key: str, schema: StructType) -> DataFrame:
+def scan_chunks(spark: SparkSession, targets: DataFrame, key: str, schema: StructType, tasks: int) -> DataFrame:
     """(_key, columns of ``schema``) of the rows that ``targets`` (file, row_group, keys, columns) name; columns not asked for are NULL."""
     names = [f.name for f in schema if f.name != "_key"]
 
@@ -221,8 +217,7 @@ def scan_chunks(spark: SparkSession, targets: DataFrame, key: str, schema: Struc
                     held = [rows.column(rows.schema.get_field_index(c)).filter(picked).cast(arrow.field(c).type) if c in asked else pa.nulls(picked.true_count, arrow.field(c).type) for c in names]
                     yield pa.RecordBatch.from_arrays([loads.filter(picked), *held], schema=arrow)
 
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    return targets.select("file", "row_group", "keys", "columns").repartition(parts, "file", "row_group").mapInArrow(run, schema)
+    return targets.select("file", "row_group", "keys", "columns").repartition(tasks, "file", "row_group").mapInArrow(run, schema)
 
 
 def _decided(rules: list[Rule]) -> list[Column]:
@@ -243,8 +238,10 @@ def _decided(rules: list[Rule]) -> list[Column]:
         else:
             lo, hi = F.min(at("lo")), F.max(at("hi"))
             sure = known & (full | (pure & lo.isNotNull()))
-            same = F.bool_and(F.coalesce(at("one"), F.lit(False)) | F.coalesce(at("lo").isNull() & at("known"), F.lit(False))) & (lo == hi)
-            one = F.when(known & lo.isNull(), False).when(sure & same, True).when(known & pure & (lo < hi), False)
+            # bounds of large integers are rounded outward: equal ones are exact, overlapping ones say nothing
+            single = F.bool_and(F.coalesce(at("one"), F.lit(False)) | F.coalesce(at("lo").isNull() & at("known"), F.lit(False)))
+            wide = F.bool_or(F.coalesce(~at("one") & at("lo").isNotNull(), F.lit(False))) | (F.min(at("hi")) < F.max(at("lo")))
+            one = F.when(known & lo.isNull(), False).when(sure & single & (lo == hi), True).when(known & pure & wide, False)
             aggs.append(one.alias(f"{i}_one"))
         # bounds of the median or share; NULL bounds with ``known``: there is none
         aggs += [known.alias(f"{i}_known"), F.coalesce(sure, F.lit(False)).alias(f"{i}_sure"), lo.alias(f"{i}_lo"), hi.alias(f"{i}_hi")]
@@ -299,7 +296,7 @@ def load_issues(spark: SparkSession, path: str, rules: list[Rule], key: str = "r
     by_group = held.select("file", "row_group", "_key").join(asked, "_key").groupBy("file", "row_group")
     targets = by_group.agg(F.collect_set("_key").alias("keys"), F.array_distinct(F.flatten(F.collect_set(F.flatten(F.transform("at", lambda i: F.get(reads, i)))))).alias("columns"))
     schema = StructType([StructField("_key", StringType()), *[StructField(c, kinds[c]) for c in needed]])
-    rows = scratch.keep(scan_chunks(spark, targets, key, schema))
+    rows = scratch.keep(scan_chunks(spark, targets, key, schema, tasks_for(spark, [path])))
 
     aggs = []
     for i, r in enumerate(rules):

@@ -8,12 +8,15 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
+from urllib.parse import quote
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Dictionaries with more values than this aren't read for distinct values: their chunk is scanned.
 MOST_VALUES = 100_000
@@ -226,6 +229,14 @@ def described(values: pa.Array) -> Chunk:
     return out
 
 
+def _open(uri: str):
+    if uri.startswith("file:"):
+        return fs.LocalFileSystem().open_input_file("/" + uri[5:].lstrip("/"))
+    scheme, _, rest = uri.partition("://")
+    where, path = fs.FileSystem.from_uri(f"{scheme}://{quote(rest)}" if rest else uri)
+    return where.open_input_file(path)
+
+
 class Files:
     """Opens row groups by (file, number); the file last asked for stays open."""
 
@@ -234,27 +245,32 @@ class Files:
 
     def group(self, uri: str, group: int) -> RowGroup:
         if uri != self.uri:
-            where, path = fs.FileSystem.from_uri(uri)
-            self.uri, self.source = uri, where.open_input_file(path)
+            self.uri, self.source = uri, _open(uri)
             self.meta = pq.read_metadata(self.source)
         return RowGroup(self.source, self.meta, group, uri)
 
 
-def count_row_groups(uri: str) -> int:
-    where, path = fs.FileSystem.from_uri(uri)
-    with where.open_input_file(path) as source:
-        return pq.read_metadata(source).num_row_groups
-
-
-def row_groups(spark: SparkSession, files: list[tuple[str, str]]) -> DataFrame:
-    """(table_name, file, row_group) of the files (table name, URI); their footers are read by tasks, not by the driver."""
+def row_groups(spark: SparkSession, tables: dict[str, str]) -> DataFrame:
+    """(table_name, file, row_group) of Parquet tables (name -> path). Files are listed and their footers read by tasks, not by the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(t, f, g) for t, f in zip(*(batch.column(i).to_pylist() for i in (0, 1)), strict=True) for g in range(count_row_groups(f))]
-            cols = list(zip(*rows, strict=True)) or [[], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.int32())], ["table_name", "file", "row_group"])
-
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(4 * len(files), 20_000))
-    listed = spark.createDataFrame(files, "table_name string, file string").repartition(max(1, min(len(files), 4096)))
-    return listed.mapInArrow(run, "table_name string, file string, row_group int").repartition(parts, "file", "row_group")
+            names, files, groups = [], [], []
+            for table, file in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                with _open(file) as source:
+                    n = pq.read_metadata(source).num_row_groups
+                names += [table] * n
+                files += [file] * n
+                groups += range(n)
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(files, pa.string()), pa.array(groups, pa.int32())], ["table_name", "file", "row_group"])
+
+    # only the path of each file is selected, so none is opened for its content
+    listed = reduce(DataFrame.unionByName, [spark.read.format("binaryFile").load(p).select(F.lit(t).alias("table_name"), F.col("path").alias("file")) for t, p in tables.items()])
+    return listed.mapInArrow(run, "table_name string, file string, row_group int").repartition(tasks_for(spark, list(tables.values())), "file", "row_group")
+
+
+def tasks_for(spark: SparkSession, paths: list[str]) -> int:
+    """Tasks that read the tables a scan partition each, by the size of their files, which the session knows from listing them."""
+    most = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
+    size = sum(int(str(spark.read.parquet(p)._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) for p in paths)
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // most))
