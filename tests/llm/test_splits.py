@@ -1,4 +1,5 @@
 import itertools
+import time
 
 import numpy as np
 import pytest
@@ -12,14 +13,20 @@ SCHEMA = "item string, grp string, unit string, rows int, place int"
 
 def test_closest_subset_matches_brute_force():
     rng = np.random.default_rng(0)
-    for _ in range(60):
-        units = [int(x) for x in rng.integers(1, 15, rng.integers(1, 9))]
+    for _ in range(150):
+        units = [int(x) for x in rng.integers(1, rng.choice([3, 15, 60]), rng.integers(1, 12))]
         sizes = {s: units.count(s) for s in set(units)}
         target = int(rng.integers(0, sum(units) + 1))
         taken = splits.closest_subset(sizes, target)
         total = sum(s * n for s, n in taken.items())
         best = min(abs(sum(c) - target) for k in range(len(units) + 1) for c in itertools.combinations(units, k))
-        assert abs(total - target) == best and all(n <= sizes[s] for s, n in taken.items())
+        assert abs(total - target) == best and all(0 <= n <= sizes[s] for s, n in taken.items())
+
+
+@pytest.mark.parametrize("sizes,target,miss", [({6: 10**9, 10: 10**9, 15: 1}, 8 * 10**9 + 1, 0), ({6: 10**9, 10: 10**9}, 8 * 10**9 + 1, 1), ({7: 10**6, 9: 1}, 7 * 500_000 + 4, 2), ({999: 10**7, 1000: 10**7}, 10**10 + 499, 0)])
+def test_closest_subset_of_any_number_of_units(sizes, target, miss):
+    taken = splits.closest_subset(sizes, target)
+    assert abs(sum(s * n for s, n in taken.items()) - target) == miss and all(0 <= n <= sizes[s] for s, n in taken.items())
 
 
 @pytest.mark.parametrize("bits", [1 << 23, 500])
@@ -34,6 +41,16 @@ def test_plan_uses_every_unit_once(bits):
     assert splits.plan_splits({}, splits.SHARES) == {k: {} for k in splits.SHARES}
 
 
+def test_thousands_of_sizes_are_planned_at_once():
+    sizes = {s: 70 for s in range(1, 4001)}
+    began = time.perf_counter()
+    plan = splits.plan_splits(sizes, splits.SHARES)
+    assert time.perf_counter() - began < 2
+    total = sum(s * n for s, n in sizes.items())
+    assert {k: sum(s * n for s, n in p.items()) for k, p in plan.items()} == {k: round(share * total) for k, share in splits.SHARES.items()}
+    assert all(sum(p[s] for p in plan.values()) == n for s, n in sizes.items())
+
+
 def rows(spark):
     data = [("i1", "g1"), ("i2", "g1"), ("i2", "g2"), ("i3", "g2"), ("i3", "g2"), ("i4", None), ("i5", None), (None, "g1"), (None, None)]
     data += [(f"x{i}", f"h{i % 40}") for i in range(200)]
@@ -57,7 +74,7 @@ def test_related_items_share_a_split(spark, scratch):
 
 def test_a_group_of_a_third_goes_to_the_largest_split(spark, scratch, monkeypatch):
     monkeypatch.setattr(skew, "HEAVY_ROWS", 20)
-    monkeypatch.setattr(splits, "BUCKETS", 4)
+    monkeypatch.setattr(splits, "LEAST_BUCKETS", 4)
     data = [(f"a{i}", "hot") for i in range(100)] + [(f"b{i}", None) for i in range(200)]
     out = splits.grouped_splits(spark.createDataFrame(data, "item string, grp string"), scratch)
     assert {r[0] for r in out.where("unit = 'group:hot'").select("split").collect()} == {"train"}

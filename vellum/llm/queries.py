@@ -12,6 +12,7 @@ def queries() -> dict:
         "p2_found": splits.p2_found,
         "p2_splits": splits.p2_splits,
         "p2_shares": splits.p2_shares,
+        "p2_audit": splits.p2_audit,
         "p3_found": consolidate.p3_found,
         "p3_groups": consolidate.p3_groups,
         "p5_found": near_images.p5_found,
@@ -73,6 +74,13 @@ def oracle_sql() -> dict[str, str]:
         "p2_found": f"""SELECT 'group' AS entity_kind, {_label("duplicate_group_id")} AS entity_key FROM canonical_splits WHERE fold <> -1 AND {_label("duplicate_group_id")} IS NOT NULL
             GROUP BY 2 HAVING count(DISTINCT fold) > 1
           UNION ALL SELECT 'seed', seed::VARCHAR FROM per_seed_external_metrics WHERE seed >= 0 GROUP BY seed HAVING count(DISTINCT {_label("generator")}) > 1""",
+        # as units of one row are many, each split comes out on its share to the row
+        "p2_shares": """WITH t AS (SELECT 'image' AS entity_kind, count(image_id)::DOUBLE AS n FROM canonical_splits UNION ALL SELECT 'seed', count(*) FROM per_seed_external_metrics WHERE seed >= 0),
+            s AS (SELECT entity_kind, n, split, floor(share * n + 0.5)::BIGINT AS k FROM t, (VALUES ('validation', 0.15), ('test', 0.15)) v(split, share)),
+            r AS (SELECT entity_kind, split, k AS rows, n FROM s UNION ALL SELECT entity_kind, 'train', (n - sum(k))::BIGINT, n FROM s GROUP BY entity_kind, n)
+          SELECT entity_kind, split, rows, round(rows / n, 6) AS share FROM r""",
+        "p2_audit": """SELECT 'image' AS entity_kind, count(DISTINCT image_id) AS n_entities, count(image_id) AS rows, 0 AS n_torn FROM canonical_splits
+          UNION ALL SELECT 'seed', count(DISTINCT seed), count(*), 0 FROM per_seed_external_metrics WHERE seed >= 0""",
         "p3_found": f"WITH RECURSIVE {GROUPED} SELECT group_key, image_id FROM grouped WHERE group_key IN (SELECT group_key FROM grouped GROUP BY 1 HAVING count(*) > 1)",
         "p3_groups": f"WITH RECURSIVE {GROUPED} SELECT image_id, group_key FROM grouped",
         "p5_found": f"WITH {IMAGES}, {HASH_PAIRS}, {IMAGE_PAIRS}, {SIDES} SELECT least(train_id, eval_id) AS image_id_a, greatest(train_id, eval_id) AS image_id_b FROM crossing",

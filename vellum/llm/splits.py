@@ -12,66 +12,109 @@ from vellum.operators.skew import heavy_keys, join_on_unique
 from vellum.session import Scratch, table
 
 SHARES = {"train": 0.70, "validation": 0.15, "test": 0.15}
-#: Longest bitset of one subset-sum, in rows; larger components are placed first, one by one, until the rest fits.
+#: Bits that one subset-sum may hold: its memory on the driver. Sizes for which it is enough are placed exactly, see :func:`plan_splits`.
 MAX_BITS = 1 << 23
-#: Hash buckets that rank the units of one size without sorting them in one task.
-BUCKETS = 256
+#: Units that a hash bucket holds on average, when units of one size are ranked without sorting them in one task.
+BUCKET_UNITS, LEAST_BUCKETS = 1 << 16, 256
+
+
+def _reach(start: int, steps: list[tuple[int, int]], mask: int) -> int:
+    for size, take in steps:
+        move = size * take
+        start |= (start << move if move > 0 else start >> -move) & mask
+    return start
 
 
 def closest_subset(sizes: dict[int, int], target: int) -> dict[int, int]:
     """How many units of each size to take so that their total is as close to ``target`` as can be (the lower on a tie).
 
-    A bitset holds every reachable total; a size that occurs n times enters as 1, 2, 4, ... units, so log n shifts.
+    It starts from a proportional choice, filled up until no unit fits: within the largest size of the target. Of the best choices
+    the one nearest to it changes 3 x (largest size) + 2 units at most, for among more changes some would cancel out and could
+    be left undone. So a bitset of the totals within so many largest sizes of the start loses nothing, whatever the number of
+    units. A size that may change by n units enters as 1, 2, 4, ... units up and down: log n shifts. The walk ends once the
+    target is reached. Every so many bitsets one is stored, those between are computed again on the way back.
     """
-    limit = target + max(sizes, default=0)
-    mask, reach, steps = (1 << (limit + 1)) - 1, 1, []
-    for size, count in sorted(sizes.items(), reverse=True):
-        k = 1
-        while count > 0:
-            take = min(k, count)
-            steps.append((size, take, reach))
-            reach |= (reach << size * take) & mask
-            count, k = count - take, 2 * k
-    below = (reach & ((1 << (target + 1)) - 1)).bit_length() - 1
-    above = reach >> (target + 1)
-    up = target + (above & -above).bit_length() if above else None
-    at = below if up is None or target - below <= up - target else up
-    taken: dict[int, int] = {}
-    for size, take, before in reversed(steps):
-        if not before >> at & 1:
-            taken[size] = taken.get(size, 0) + take
-            at -= size * take
-    return taken
+    sizes = {s: n for s, n in sizes.items() if n}
+    total = sum(s * n for s, n in sizes.items())
+    if target >= total or not sizes:
+        return sizes
+    start = {s: n * target // total for s, n in sizes.items()}
+    have = sum(s * n for s, n in start.items())
+    for s in sorted(sizes, reverse=True):
+        more = min(sizes[s] - start[s], (target - have) // s)
+        start[s] += more
+        have += s * more
+    largest = max(sizes)
+    most = 3 * largest + 2
+    down, up = min(have, most * largest), min(total - have, most * largest)
+    mask, goal = (1 << (down + up + 1)) - 1, target - have + down  # bit ``down`` is the start
+    steps = []
+    for s, n in sorted(sizes.items()):
+        for count, sign in ((min(sizes[s] - start[s], most), 1), (min(start[s], most), -1)):
+            k = 1
+            while count > 0:
+                steps.append((s, sign * min(k, count)))
+                count, k = count - min(k, count), 2 * k
+    every = max(1, int(len(steps) ** 0.5))
+    reach, stored, done = 1 << down, [], 0
+    for done in range(0, len(steps), every):
+        if reach >> goal & 1:
+            break
+        stored.append(reach)
+        reach = _reach(reach, steps[done : done + every], mask)
+    below = (reach & ((1 << (goal + 1)) - 1)).bit_length() - 1
+    above = reach >> (goal + 1)
+    over = goal + (above & -above).bit_length() if above else None
+    at = below if over is None or goal - below <= over - goal else over
+    for block in reversed(range(len(stored))):
+        part = steps[block * every : (block + 1) * every]
+        inside = [stored[block]]
+        for step in part[:-1]:
+            inside.append(_reach(inside[-1], [step], mask))
+        for (s, take), before in zip(reversed(part), reversed(inside), strict=True):
+            if not before >> at & 1:
+                start[s] += take
+                at -= s * take
+    return start
+
+
+def exact_sizes(sizes: dict[int, int], max_bits: int = MAX_BITS) -> int:
+    """The largest size s for which the units up to s can be placed by a bitset of ``max_bits``: 0 if there is none."""
+    out = held = 0
+    for s in sorted(sizes):
+        held += s * sizes[s]
+        if min(held, 2 * (3 * s + 2) * s) <= max_bits:
+            out = s
+    return out
 
 
 def plan_splits(sizes: dict[int, int], shares: dict[str, float], max_bits: int = MAX_BITS) -> dict[str, dict[int, int]]:
-    """Units of each size for each split. The split with the largest share takes what the others leave."""
+    """Units of each size for each split. The split with the largest share takes what the others leave.
+
+    Units up to :func:`exact_sizes` (about 1,180 rows by default, all if there are no more than ``max_bits`` rows) bring each split
+    in turn as close to its share as can be. Larger units, which no bitset of that memory could hold, are placed before
+    them, the largest first, each size by the shares and its last units one by one where most is missing; a split that then comes
+    out on its share is as close as can be all the same.
+    """
     total = sum(s * n for s, n in sizes.items())
     order = sorted(shares, key=lambda k: (shares[k], k))
-    left, plan = dict(sizes), {k: {} for k in shares}
-    goals = {k: round(shares[k] * total) for k in shares}
-    # totals beyond the longest bitset: the same share of each size's units first, then the largest units one by one
-    if total > max_bits:
-        for k in order[:-1]:
-            for size, n in sizes.items():
-                give = int(shares[k] * max(0, n - 64))
-                if give:
-                    plan[k][size] = give
-                    left[size] -= give
-                    goals[k] -= size * give
-        give_rest = {size: int(shares[order[-1]] * max(0, n - 64)) for size, n in sizes.items()}
-        for size, give in give_rest.items():
-            plan[order[-1]][size] = give
-            left[size] -= give
-            goals[order[-1]] -= size * give
-        for size in sorted(left, reverse=True):
-            while left[size] and sum(s * n for s, n in left.items()) > max_bits:
-                k = max(order, key=lambda x: goals[x])
-                plan[k][size] = plan[k].get(size, 0) + 1
-                left[size] -= 1
-                goals[k] -= size
+    goals = {k: int(shares[k] * total + 0.5) for k in order[:-1]}
+    goals[order[-1]] = total - sum(goals.values())
+    plan: dict[str, dict[int, int]] = {k: {} for k in shares}
+    small = exact_sizes(sizes, max_bits)
+    for size in sorted((s for s in sizes if s > small), reverse=True):
+        left = sizes[size]
+        for k in order:
+            plan[k][size] = int(shares[k] * sizes[size])
+            left -= plan[k][size]
+            goals[k] -= size * plan[k][size]
+        for _ in range(left):  # fewer than there are splits
+            k = max(order, key=lambda x: (goals[x], x))
+            plan[k][size] += 1
+            goals[k] -= size
+    left = {s: n for s, n in sizes.items() if s <= small}
     for k in order[:-1]:
-        for size, n in closest_subset({s: n for s, n in left.items() if n}, max(0, goals[k])).items():
+        for size, n in closest_subset(left, max(0, goals[k])).items():
             plan[k][size] = plan[k].get(size, 0) + n
             left[size] -= n
     for size, n in left.items():
@@ -94,7 +137,8 @@ def assign_units(units: DataFrame, scratch: Scratch, shares: dict[str, float] |
     spark = units.sparkSession
     bounds = spark.createDataFrame(ranges, "rows bigint, " + ", ".join(f"b{i} bigint" for i in range(len(names))))
     order = F.xxhash64(F.col("unit").cast("string"), F.lit(seed))
-    ranked = units.withColumn("h", order).withColumn("bucket", F.pmod("h", F.lit(BUCKETS)))
+    buckets = max(LEAST_BUCKETS, sum(sizes.values()) // BUCKET_UNITS)
+    ranked = units.withColumn("h", order).withColumn("bucket", F.pmod("h", F.lit(buckets)))
     counts = ranked.groupBy("rows", "bucket").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("rows").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n").join(bounds, "rows")
@@ -127,16 +171,17 @@ def grouped_splits(rows: DataFrame, scratch: Scratch, shares: dict[str, float] |
 def torn_entities(rows: DataFrame, scratch: Scratch) -> DataFrame:
     """Entities of ``rows`` (item, entity, place) with more than one place, NULL places left aside.
 
-    Components of items and entities must share a split; those that lie in one place as a whole hold no torn entity, the others
-    are looked into entity by entity.
+    Components of items and entities are what must share a split. One that lies in a single place holds no torn entity and is
+    left aside as a whole; only the entities of the others are looked into one by one. Rows are first reduced to distinct
+    entities and places, so a group of any size is as many rows as it has places.
     """
     members = scratch.keep(rows.where("item is not null and entity is not null").select("item", F.col("entity").alias("grp")).distinct())
     _, labels = group_labels(members, scratch, hook_and_shortcut)
-    entities = rows.where("entity is not null").groupBy(F.col("entity").alias("grp")).agg(F.min("place").alias("lo"), F.max("place").alias("hi"))
-    entities = scratch.keep(entities.join(labels, "grp", "left").withColumn("unit", F.coalesce("label", "grp")))
-    torn = entities.groupBy("unit").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo != hi").select("unit")
-    heavy = heavy_keys(entities, "unit", entities.count())
-    return join_on_unique(entities.where("lo != hi"), torn, "unit", "inner", heavy).select(F.col("grp").alias("entity"))
+    seen = rows.where("entity is not null and place is not null").select(F.col("entity").alias("grp"), "place").distinct()
+    seen = scratch.keep(seen.join(labels, "grp", "left").select("grp", "place", F.coalesce("label", "grp").alias("unit")))
+    torn = seen.groupBy("unit").agg(F.min("place").alias("lo"), F.max("place").alias("hi")).where("lo != hi").select("unit")
+    inside = join_on_unique(seen, torn, "unit", "inner", heavy_keys(seen, "unit", seen.count()))
+    return inside.groupBy("grp").agg(F.min("place").alias("lo"), F.max("place").alias("hi")).where("lo != hi").select(F.col("grp").alias("entity"))
 
 
 def _image_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -168,3 +213,15 @@ def p2_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(entity_kind, split, rows, share) really reached."""
     per = p2_splits(spark, sf_dir).groupBy("entity_kind", "split").agg(F.sum("rows").alias("rows"))
     return per.withColumn("share", F.round(F.col("rows") / F.sum("rows").over(Window.partitionBy("entity_kind")), 6))
+
+
+def p2_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(entity_kind, n_entities, rows, n_torn): are all entities there, with all their rows, and does the plan tear a group or seed apart?"""
+    scratch = Scratch(spark, "p2u")
+    out = []
+    for kind, rows in (("image", _image_rows(spark, sf_dir)), ("seed", _seed_rows(spark, sf_dir))):
+        placed = scratch.keep(grouped_splits(rows, scratch))
+        torn = rows.where("item is not null and grp is not null").select("item", "grp").distinct().join(placed.select("item", "split"), "item")
+        torn = torn.groupBy("grp").agg((F.min("split") != F.max("split")).alias("t")).agg(F.count_if("t").alias("n_torn"))
+        out.append(placed.agg(F.count(F.lit(1)).alias("n_entities"), F.sum("rows").alias("rows")).crossJoin(torn).select(F.lit(kind).alias("entity_kind"), "*"))  # one row each
+    return out[0].unionByName(out[1])
