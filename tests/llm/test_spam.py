@@ -127,3 +127,36 @@ def test_numbers_among_keywords_make_no_record(name):
 @pytest.mark.parametrize("name", sorted(READINGS))
 def test_numbers_in_fields_make_a_record(name):
     assert spam.stuffing_share(READINGS[name]) <= spam.MOST
+
+
+OTHER_LANGUAGES = {
+    "Russian": "Вчера вечером жители города собрались у реки, чтобы обсудить строительство нового моста. Архитектор показал чертежи и объяснил, почему опоры пришлось перенести ближе к берегу. Многие соседи задавали вопросы о сроках работ и о стоимости проекта.",
+    "Turkish": "Belediye dün akşam yeni parkın açılışını yaptı ve mahalle sakinleri törene büyük ilgi gösterdi. Çocuklar oyun alanında koştu, yaşlılar gölgede çay içti. Başkan konuşmasında ağaç dikme çalışmalarının gelecek yıl da süreceğini söyledi.",
+    "Arabic": "اجتمع سكان الحي مساء أمس قرب النهر لمناقشة بناء الجسر الجديد. عرض المهندس الرسوم وشرح سبب نقل الأعمدة نحو الضفة. طرح كثير من الجيران أسئلة حول مدة العمل وتكلفة المشروع.",
+    "Japanese": "昨日の夕方、町の住民は新しい橋の建設について話し合うために川の近くに集まりました。建築家は図面を見せて、柱を岸に近づけた理由を説明しました。多くの隣人が工事の期間と費用について質問しました。",
+    "Italian": "Ieri sera gli abitanti del quartiere si sono riuniti vicino al fiume per discutere della costruzione del nuovo ponte. L'architetto ha mostrato i disegni e ha spiegato perché i piloni andavano spostati verso la riva. Molti vicini hanno fatto domande sui tempi dei lavori.",
+    "Polish": "Wczoraj wieczorem mieszkańcy miasta zebrali się nad rzeką, żeby omówić budowę nowego mostu. Architekt pokazał rysunki i wyjaśnił, dlaczego filary trzeba było przesunąć bliżej brzegu. Wielu sąsiadów pytało o terminy prac oraz o koszty projektu.",
+    "Finnish": "Eilen illalla kaupungin asukkaat kokoontuivat joen rannalle keskustelemaan uuden sillan rakentamisesta. Arkkitehti näytti piirustukset ja selitti, miksi pilarit täytyi siirtää lähemmäs rantaa.",
+    "Korean": "어제 저녁 마을 주민들은 새 다리 건설을 논의하기 위해 강가에 모였다. 건축가는 도면을 보여 주고 기둥을 강변 쪽으로 옮긴 이유를 설명했다.",
+}
+
+
+@pytest.mark.parametrize("name", sorted(OTHER_LANGUAGES))
+def test_prose_without_known_function_words_is_no_list(name):
+    text = OTHER_LANGUAGES[name]
+    assert spam.stuffing_share(text) < 0.1
+    assert all(spam.stuffing_share(x.strip() + ".") < 0.1 for x in text.split(".") if x.strip())
+
+
+@pytest.mark.parametrize("text", ["купить плакат дешево плакат скидка плакат онлайн плакат сейчас плакат бесплатно плакат " * 3, "volantino economico | comprare offerta | cornice sconto | locandina gratis | etichetta spedizione | regalo tessera"])
+def test_stuffing_in_other_languages(text):
+    assert spam.stuffing_share(text) > spam.MOST
+
+
+def test_texts_are_judged_apart(monkeypatch):
+    """However texts are blocked, each has the share it has alone."""
+    texts = [None, "", " ", *CASES.values(), *OTHERS.values(), *MODELS.values(), *READINGS.values(), "<a href", "x", *OTHER_LANGUAGES.values(), "a b > c", "\n", *RECURRING.values()]
+    alone = [spam.stuffing_share(t) for t in texts]
+    for chars in (1, 700, 1_000_000):
+        monkeypatch.setattr(spam, "BLOCK_CHARS", chars)
+        assert spam.stuffing_shares(texts).tolist() == alone and spam.stuffing_shares(texts[::-1]).tolist() == alone[::-1]
