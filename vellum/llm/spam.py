@@ -261,6 +261,7 @@ def _block_shares(texts: list[str], lexicon: Lexicon) -> np.ndarray:
     closing = [(m.end(), text[m.start()] not in "\r\n") for m in SENTENCE_END.finditer(text)]
     heads, at_mark = np.unique(np.searchsorted(at, [p for p, _ in closing]), return_index=True) if closing else (np.zeros(0, np.int64), np.zeros(0, np.int64))
     mark = {int(h): closing[k][1] for h, k in zip(heads, at_mark, strict=True)}
+    last_mark = text.rstrip()[-1:] in ".!?"
     unknown = np.bincount(doc, weights=function, minlength=n_docs) < UNKNOWN * np.bincount(doc, weights=~number, minlength=n_docs)
     long = plain[end] - plain[begin] > MAX_GAP
     for a, b, fa, fb in zip(begin[long].tolist(), end[long].tolist(), behind[long].tolist(), before[long].tolist(), strict=True):
@@ -282,7 +283,7 @@ def _block_shares(texts: list[str], lexicon: Lexicon) -> np.ndarray:
                 # the whole sentence, of which a function word may have taken the ends
                 k = np.searchsorted(heads, h, side="right")
                 whole_from, whole_to = (int(heads[k - 1]) if k else 0), (int(heads[k]) if k < len(heads) else n)
-                if sentence_like(whole_from, whole_to, told, mark.get(whole_to, text.rstrip()[-1:] in ".!?")):
+                if sentence_like(whole_from, whole_to, told, mark.get(whole_to, last_mark)):
                     marked[h:e] = False
 
     # regular repetition: windows over term positions, one for a text of fewer terms than a window
