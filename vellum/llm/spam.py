@@ -98,12 +98,15 @@ KIND = regex.compile(rf"(?P<link>{_LINK})|(?P<num>{_NUMBER})|(?P<han>\p{{Han}})|
 TERMS = regex.compile(rf"(\p{{Ll}}+(?![\w'/.\[:@\-])|{_LINK}|{_NUMBER}|\p{{Han}}|{_WORD})", regex.V1)
 #: The same without links, for texts that hold none of what a link needs, and again for those of ASCII characters alone.
 PLAIN_TERMS = regex.compile(rf"(\p{{Ll}}+(?![\w'/\-])|{_NUMBER}|\p{{Han}}|{_WORD})", regex.V1)
-ASCII_TERMS = re.compile(
-    r"([a-z]+(?![\w'/\-])|"
-    + _NUMBER.replace(r"\p{L}", "[A-Za-z]")
-    + r"|(?:[A-Z]?[a-z]+|[A-Z]+)\d{0,2}(?:'(?:[a-z]+|[A-Z]+)|-(?:[A-Z]?[a-z]+|[A-Z]+))*)",
-    re.ASCII,
+_ASCII_WORD = r"(?:[A-Z]?[a-z]+|[A-Z]+)\d{0,2}(?:'(?:[a-z]+|[A-Z]+)|-(?:[A-Z]?[a-z]+|[A-Z]+))*"
+_ASCII_NUMBER = _NUMBER.replace(r"\p{L}", "[A-Za-z]")
+_ASCII_HOST = (
+    r"(?<![\w./@\-])(?<!=)(?<!=\s)(?=[\d_.\-]*+[A-Za-z][\w\-]*+(?:\[\.\]|\.))(?:[\w\-]++(?:\[\.\]|\.))++"
+    rf"(?!(?i:{_NO_HOST}))(?:[a-z]{{2,24}}|(?:(?<=[A-Z\d]\.)|(?<=[A-Z\d]\[\.\]))[A-Z]{{2,24}})"
+    r"(?![\w\-]|\.\w|\s*[=(]|\[(?!\.))(?::\d+)?(?:[/?\#][^\s<>\"')\]|]*)?"
 )
+ASCII_TERMS = re.compile(rf"([a-z]+(?![\w'/.\[:@\-])|{_LINK.replace(_HOST, _ASCII_HOST)}|{_ASCII_NUMBER}|{_ASCII_WORD})", re.ASCII)
+ASCII_PLAIN = re.compile(rf"([a-z]+(?![\w'/\-])|{_ASCII_NUMBER}|{_ASCII_WORD})", re.ASCII)
 LINKISH = re.compile(r"://|www\.|<a\s|\w(?:\[\.\]|\.)[A-Za-z]{2}")
 #: Marks of offers: an article number, a price, a link in markup.
 OFFER = regex.compile(r"\b(?:sku|no|art\.?|ref)\s*\d{4,}|[$€£]\s?\d|\beur\s?\d|<a\s|\]\(|https?:|hxxp|www\.", regex.I)
@@ -118,8 +121,10 @@ CLOSING = regex.compile(r"</\w+\s*>")
 #: Digits that stand for letters inside a word.
 LEET = str.maketrans("01345", "oieas")
 LEETISH = re.compile(r"[01345](?<=[^\W\d_].)[^\W\d_]")
-LEET_WORD = regex.compile(r"\b(?![0-9a-f]+\b)\p{L}+(?:[01345]\p{L}+)+\b", regex.I)
-SENTENCE_END = re.compile(r"[.!?。！？][\"')»”]*(?=\s|$)|[。！？]|[\r\n]+")
+LEET_WORD = re.compile(r"\b(?![0-9a-fA-F]+\b)[^\W\d_]+(?:[01345][^\W\d_]+)+\b")
+#: What ends a sentence before white space, and anywhere; what may stand between the mark and the white space.
+STOPS, FULL_STOPS, CLOSERS = ".!?", "。！？", "\"')»”"
+SPACES = frozenset(c for c in map(chr, range(0x3001)) if c.isspace())
 #: Terms of Latin letters or Han characters, the scripts of the function words above.
 KNOWN_SCRIPT = regex.compile(r"[\p{Latin}\p{Han}]")
 #: Between two texts read as one: no term, line, sentence or link goes across.
@@ -184,9 +189,10 @@ def readable(text: str) -> str:
 
 def split_terms(text: str) -> list[str]:
     """What lies before the first term, the term, what lies behind it, the next term, ..."""
-    if LINKISH.search(text):
-        return TERMS.split(text)
-    return (ASCII_TERMS if text.isascii() else PLAIN_TERMS).split(text)
+    plain = LINKISH.search(text) is None
+    if text.isascii():
+        return (ASCII_PLAIN if plain else ASCII_TERMS).split(text)
+    return (PLAIN_TERMS if plain else TERMS).split(text)
 
 
 def sentence_like(head: int, end: int, told: dict[str, np.ndarray], mark: bool) -> bool:
@@ -197,6 +203,23 @@ def sentence_like(head: int, end: int, told: dict[str, np.ndarray], mark: bool)
     return told["lower"][head + 1 : end].mean() >= LOWER and len(np.unique(told["code"][head:end])) >= DIFFERENT * n
 
 
+def sentence_ends(text: str, points: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places behind which a sentence begins, in order, and whether a mark ended the one before: line breaks do without."""
+    stops = np.flatnonzero(np.isin(points, list(map(ord, STOPS))))
+    behind = points[np.minimum(stops + 1, len(points) - 1)]
+    closer = np.isin(behind, list(map(ord, CLOSERS)))
+    ends = (stops == len(points) - 1) | np.isin(behind, list(map(ord, SPACES)))
+    for k in np.flatnonzero(closer).tolist():
+        at = int(stops[k]) + 1
+        while at < len(text) and text[at] in CLOSERS:
+            at += 1
+        ends[k] = at == len(text) or text[at] in SPACES
+    marks = np.concatenate([stops[ends], np.flatnonzero(np.isin(points, list(map(ord, FULL_STOPS))))])
+    places = np.concatenate([marks, breaks])
+    order = np.argsort(places, kind="stable")
+    return places[order], np.repeat([True, False], [len(marks), len(breaks)])[order]
+
+
 def _sums(flags: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], np.cumsum(flags)])
 
@@ -258,9 +281,9 @@ def _block_shares(texts: list[str], lexicon: Lexicon) -> np.ndarray:
     marked = np.zeros(n, bool)
     plain, numbers, foreign = _sums(np.where(record, 0.0, weight)), _sums(number), _sums(np.where(told["foreign"], weight, 0.0))
     # the first term of each sentence: the rest of the sentence a function word stands in isn't part of the list beside it
-    closing = [(m.end(), text[m.start()] not in "\r\n") for m in SENTENCE_END.finditer(text)]
-    heads, at_mark = np.unique(np.searchsorted(at, [p for p, _ in closing]), return_index=True) if closing else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-    mark = {int(h): closing[k][1] for h, k in zip(heads, at_mark, strict=True)}
+    places, marks = sentence_ends(text, points, breaks)
+    heads, seen = np.unique(np.searchsorted(at, places + 1), return_index=True)
+    mark = dict(zip(heads.tolist(), marks[seen].tolist(), strict=True))
     last_mark = text.rstrip()[-1:] in ".!?"
     unknown = np.bincount(doc, weights=function, minlength=n_docs) < UNKNOWN * np.bincount(doc, weights=~number, minlength=n_docs)
     long = plain[end] - plain[begin] > MAX_GAP
