@@ -107,7 +107,7 @@ _ASCII_HOST = (
 )
 ASCII_TERMS = re.compile(rf"([a-z]+(?![\w'/.\[:@\-])|{_LINK.replace(_HOST, _ASCII_HOST)}|{_ASCII_NUMBER}|{_ASCII_WORD})", re.ASCII)
 ASCII_PLAIN = re.compile(rf"([a-z]+(?![\w'/\-])|{_ASCII_NUMBER}|{_ASCII_WORD})", re.ASCII)
-LINKISH = re.compile(r"://|www\.|<a\s|\w(?:\[\.\]|\.)[A-Za-z]{2}")
+DOTTED = re.compile(r"\.\]?[A-Za-z]{2}")
 #: Marks of offers: an article number, a price, a link in markup.
 OFFER = regex.compile(r"\b(?:sku|no|art\.?|ref)\s*\d{4,}|[$€£]\s?\d|\beur\s?\d|<a\s|\]\(|https?:|hxxp|www\.", regex.I)
 #: What makes a number the field of a record: its own form (decimals, times, shares, signs, paths, digests, colours), a separator or
@@ -189,7 +189,7 @@ def readable(text: str) -> str:
 
 def split_terms(text: str) -> list[str]:
     """What lies before the first term, the term, what lies behind it, the next term, ..."""
-    plain = LINKISH.search(text) is None
+    plain = not ("://" in text or "www." in text or "<a" in text or DOTTED.search(text))
     if text.isascii():
         return (ASCII_PLAIN if plain else ASCII_TERMS).split(text)
     return (PLAIN_TERMS if plain else TERMS).split(text)
