@@ -1,7 +1,8 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from vellum.llm import hamming_join, near_images
+from vellum.llm import hamming_join, minwise, near_images
 
 
 def brute(bits, radius, side=None):
@@ -50,7 +51,7 @@ def test_long_lists_are_refined_and_scanned(spark, m, limit):
     assert len(got) == len(set(got)) and set(got) == brute(bits, 8)
 
 
-@pytest.mark.parametrize("limit", [8_000_000, 10])
+@pytest.mark.parametrize("limit", [None, 10])
 def test_only_pairs_across_sides(spark, limit):
     bits = sorted(set(planted(120, 5, shared=14)))
     side = [1 + i % 3 for i in range(len(bits))]
@@ -103,8 +104,12 @@ def test_cross_split_pairs(spark, scratch):
     roles = [("t1", " D-Development"), ("t2", "D_development"), ("t3", "d_development"), ("e1", "D_TEST"), ("e2", "D_stability"), ("e3", "D_test"), ("e4", "D_case_study"), ("e4", "D_case_study"), ("m1", "D_metric"), ("n1", None), (None, "D_test")]
     df = spark.createDataFrame([(*r, "x", 1, 2) for r in rows], COLUMNS)
     splits = spark.createDataFrame([(*r, "k", 3) for r in roles], "image_id string, role string, phash string, side int")
-    got = sorted(tuple(r) for r in near_images.cross_split_pairs(df, splits, scratch).collect())
-    assert got == [("t1", "e1", "near"), ("t1", "e2", "exact"), ("t1", "e4", "both"), ("t2", "e1", "near"), ("t2", "e4", "near")]
+    for exact in (False, True):
+        got = sorted(tuple(r) for r in near_images.cross_split_pairs(df, splits, scratch, exact=exact).collect())
+        assert got == [("t1", "e1", "near"), ("t1", "e2", "exact"), ("t1", "e4", "both"), ("t2", "e1", "near"), ("t2", "e4", "near")]
+    report = sorted(tuple(r) for r in near_images.overlap_report(df, splits, scratch).collect())
+    assert report == [("d_case_study", "e4", 2, 1, 1, 2), ("d_stability", "e2", 1, 1, 1, 1), ("d_test", "e1", 2, 0, 1, 2)]
+    assert near_images.overlap_report(df.where("false"), splits, scratch).count() == 0
     for a, b in ((df.where("false"), splits), (df, splits.where("false"))):
         assert near_images.cross_split_pairs(a, b, scratch).count() == 0
 
@@ -112,3 +117,68 @@ def test_cross_split_pairs(spark, scratch):
 def test_a_radius_is_a_similarity():
     for d in range(65):
         assert ((64 - d) / (64 + d) >= 56 / 72) == (d <= 8)
+
+
+def test_the_heavy_boundary_comes_from_the_cost():
+    """A list is heavy from a core's fair share of the sorting on: more cores or more hashes move it, memory bounds it."""
+    at = hamming_join.heavy_boundary
+    assert at(10_000_000, 12, 8, 100) < at(10_000_000, 12, 8, 10) <= hamming_join.TASK_ROWS == at(10**10, 12, 8, 10)
+    assert at(10, 10, 8, 10) > 10  # not worth a task
+
+
+def test_minwise_hash_is_the_first_shingle_of_the_order():
+    bits = np.random.default_rng(3).integers(0, 1 << 63, 200, dtype=np.uint64)
+    order = minwise.shingle_order(4, 2)
+    assert sorted(order.tolist()) == list(range(128))
+    rank = {int(s): i for i, s in enumerate(order)}
+    assert minwise.minwise(bits, order).tolist() == [min(rank[2 * p + (int(b) >> p & 1)] for p in range(64)) for b in bits]
+
+
+def test_minwise_hashes_agree_as_often_as_sets_are_similar():
+    rng = np.random.default_rng(5)
+    a = rng.integers(0, 1 << 63, 20, dtype=np.uint64)
+    for d in (2, 8, 20):
+        b = a ^ np.array([sum(1 << int(k) for k in rng.choice(64, d, replace=False)) for _ in a], np.uint64)
+        equal = np.mean([minwise.minwise(a, o) == minwise.minwise(b, o) for o in (minwise.shingle_order(9, k) for k in range(300))])
+        assert abs(equal - (64 - d) / (64 + d)) < 0.03
+
+
+@pytest.mark.parametrize("n", [100, 50_000, 10_000_000])
+def test_bands_keep_the_recall_asked_for(n):
+    for miss in (0.01, 1e-5):
+        assert 1 - minwise.choose_bands(n, 8, miss).recall(minwise.similarity_of(8)) <= miss
+
+
+def test_minwise_pairs_equal_brute_force(spark):
+    bits = planted(250, 21)
+    side = [1 + i % 3 for i in range(len(bits))]
+    df = spark.createDataFrame(list(zip(bits, side, strict=True)), "bits bigint, side int")
+    got = [tuple(r) for r in minwise.minwise_pairs(df, 8).collect()]
+    assert len(got) == len(set(got)) and set(got) == brute(bits, 8, side) and got
+    few = {tuple(r) for r in minwise.minwise_pairs(df, 8, bands=minwise.Bands(3, 2, 2, 5)).collect()}
+    assert few < set(got)  # with few bands pairs are missed, none is made up
+    assert minwise.minwise_pairs(df.where("false"), 8).count() == 0
+
+
+@pytest.mark.parametrize("chunk", [1000, 7])
+def test_a_hash_of_many_images_is_paired_by_chunks(spark, scratch, monkeypatch, chunk):
+    monkeypatch.setattr(near_images, "CHUNK_ROWS", chunk)
+    rows = [(f"i{i:03d}", "00000000000000ff" if i < 40 else f"{255 + (1 << i % 16 + 8):016x}", "ab" * 32) for i in range(70)]
+    df = spark.createDataFrame(rows, "image_id string, phash string, sha256 string")
+    near = lambda a, b: bin(int(a, 16) ^ int(b, 16)).count("1") <= 8
+    want = {(x, y) for x, p, _ in rows for y, q, _ in rows if x < y and near(p, q)}
+    got = [tuple(r) for r in near_images.near_image_pairs(df, scratch).collect()]
+    assert len(got) == len(want) and set(got) == want
+    splits = spark.createDataFrame([(r[0], "D_development" if i % 2 else "D_test") for i, r in enumerate(rows)], "image_id string, role string")
+    pairs = [tuple(r) for r in near_images.cross_split_pairs(df, splits, scratch).select("train_id", "eval_id").collect()]
+    assert len(pairs) == 35 * 35 == len(set(pairs))
+
+
+def test_twenty_thousand_images_of_one_hash_are_many_small_tasks(spark):
+    """Rows that meet in one key: a chunk of either side, however many images there are."""
+    members = spark.range(20_000).select(F.concat(F.lit("i"), "id").alias("image_id"), F.lit(7).cast("bigint").alias("bits"))
+    dealt = near_images.in_chunks(members, "bits", near_images.CHUNK_ROWS)
+    sizes = [r["n"] for r in dealt.groupBy("bits", "chunk").agg(F.count(F.lit(1)).alias("n")).collect()]
+    assert len(sizes) == 20 and sum(sizes) == 20_000 and max(sizes) < 1.2 * near_images.CHUNK_ROWS
+    side = lambda x: dealt.select("bits", F.col("image_id").alias(x), "chunk", "chunks")
+    assert near_images.pairs_of_equals(side("x"), side("y"), "bits", "x", "y").where("x < y").count() == 20_000 * 19_999 // 2

@@ -8,10 +8,11 @@ the overlap join with threshold ``c`` finds every pair, without exception.
   is shuffled once per first token (``radius + 1`` times) and the rest of the subset is enumerated inside the task,
   where one sort of the bit-permuted hashes lines up all rows that share the subset.
 * **Size-aware boundary.** All sets hold ``m`` tokens, so what separates light from heavy is the length of the inverted
-  lists a set belongs to. Lists up to ``list_rows`` are enumerated in one task. A longer one is refined by the next token of
+  lists a set belongs to. Lists up to the boundary are enumerated in one task. A longer one is refined by the next token of
   the subset; a list still too long is scanned: cut into chunks, every pair of chunks is one task.
 * **Cost.** ``m`` is picked by the model in :func:`choose_blocks`, which weighs sorting the C(m, c) subsets against
-  verifying the pairs that random hashes leave in their lists.
+  verifying the pairs that random hashes leave in their lists. The boundary is the length at which enumerating a list would take
+  a core's fair share of all that sorting (:func:`heavy_boundary`), so that no task outlasts the others.
 
 A pair is reported by the first subset it shares only, so no pass over the found pairs is needed to make them distinct.
 """
@@ -29,10 +30,10 @@ from pyspark.sql import functions as F
 
 #: Seconds to sort one hash for one subset, and to verify one candidate pair.
 SORT_COST, VERIFY_COST = 30e-9, 4e-9
-#: Longest inverted list that one task enumerates.
-LIST_ROWS = 8_000_000
-#: Hashes one task should hold.
+#: Hashes one task should hold: a list is never longer in one.
 TASK_ROWS = 3_000_000
+#: Lists that cost less to enumerate than to start another task aren't heavy, however few hashes there are.
+TASK_COST = 0.05
 
 
 def block_widths(m: int) -> list[int]:
@@ -59,6 +60,14 @@ def choose_blocks(n: int, radius: int) -> int:
     return min(range(radius + 1, min(64, radius + 6) + 1), key=cost)
 
 
+def heavy_boundary(n: int, m: int, radius: int, slots: int) -> int:
+    """Longest list, by its first token, that is enumerated in one task: the fair share of each of ``slots`` cores, in memory's bounds."""
+    c = m - radius
+    inside = comb(m - 1, c - 1) * SORT_COST  # subsets that begin with the first block, the dearest list
+    share = n * comb(m, c) * SORT_COST / slots
+    return max(2, min(TASK_ROWS, int(max(share, TASK_COST) / inside)))
+
+
 def _value(bits: Column, m: int, j: int) -> Column:
     return F.shiftrightunsigned(bits, block_shifts(m)[j]).bitwiseAND(F.lit((1 << block_widths(m)[j]) - 1))
 
@@ -199,17 +208,20 @@ def find_in_task(bits: np.ndarray, half: np.ndarray | None, side: np.ndarray | N
                 yield a[first], b[first]
 
 
-def near_pairs(hashes: DataFrame, radius: int = 8, m: int | None = None, list_rows: int = LIST_ROWS, across: bool = False, n: int | None = None) -> DataFrame:
+def near_pairs(hashes: DataFrame, radius: int = 8, m: int | None = None, list_rows: int | None = None, across: bool = False, n: int | None = None) -> DataFrame:
     """Pairs (bits_a < bits_b, signed) of different hashes at Hamming distance ``radius`` or less.
 
     ``hashes``: column ``bits`` (BIGINT, distinct, not NULL); with ``across``, also ``side``: bit 1 and bit 2 say on which of two
-    sides the hash occurs, and only pairs with one hash on either side are candidates. ``n``: the number of rows, if known.
+    sides the hash occurs, and only pairs with one hash on either side are candidates. ``n``: the number of rows, if known;
+    ``m`` and ``list_rows`` override the choices of the cost model.
     Empty input gives an empty result; further columns are ignored.
     """
     spark = hashes.sparkSession
     n = hashes.count() if n is None else n
     m = choose_blocks(n, radius) if m is None else m
     c = m - radius
+    slots = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    list_rows = heavy_boundary(n, m, radius, slots) if list_rows is None else list_rows
     hashes = hashes.select("bits", (F.col("side") if across else F.lit(0)).cast("tinyint").alias("side"))
     rows, prefixes = _tasks(hashes, m, c, n, list_rows)
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n * (radius + 1) // TASK_ROWS))
