@@ -149,6 +149,20 @@ def test_bands_keep_the_recall_asked_for(n):
         assert 1 - minwise.choose_bands(n, 8, miss).recall(minwise.similarity_of(8)) <= miss
 
 
+@pytest.mark.parametrize("n,parts", [(400_000, 12), (10_000_000, 200)])
+def test_buckets_are_dealt_evenly(n, parts):
+    """Half of the hashes have the first shingle of an order: large buckets go to the emptiest partition."""
+    plan = minwise.choose_bands(n, 8)
+    bits = np.random.default_rng(1).integers(0, 1 << 63, 20_000, dtype=np.uint64)
+    load, lanes = np.zeros(parts), minwise.bucket_lanes(plan, parts)
+    for band, (known, dealt) in enumerate(lanes):
+        key = minwise.band_key(bits, band, 0, plan.first)
+        hit = np.isin(key, known)
+        np.add.at(load, dealt[np.searchsorted(known, key[hit])], 1)
+        load += (~hit).sum() / parts
+    assert load.max() < 1.25 * load.mean()
+
+
 def test_minwise_pairs_equal_brute_force(spark):
     bits = planted(250, 21)
     side = [1 + i % 3 for i in range(len(bits))]

@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from heapq import heappop, heappush
 from math import ceil, log, log2
 
 import numpy as np
@@ -91,6 +92,25 @@ def band_key(bits: np.ndarray, band: int, at: int, size: int) -> np.ndarray:
     return key
 
 
+def bucket_lanes(plan: Bands, parts: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each band the (keys, partitions) of its larger buckets, dealt so that all partitions hold about as much: the largest
+    first, each to the emptiest. How large they are is read off random bits; buckets of less than an eighth of a partition are
+    left to chance."""
+    bits = np.random.default_rng(0).integers(0, 1 << 64, 1 << 14, dtype=np.uint64)
+    large = []
+    for band in range(plan.buckets):
+        keys, counts = np.unique(band_key(bits, band, 0, plan.first), return_counts=True)
+        share = counts / len(bits)
+        large += [(p, band, k) for p, k in zip(share.tolist(), keys.tolist(), strict=True) if p >= max(plan.buckets / parts / 8, 8 / len(bits))]
+    load = [(0.0, i) for i in range(parts)]
+    lanes: list[dict[int, int]] = [{} for _ in range(plan.buckets)]
+    for p, band, key in sorted(large, reverse=True):
+        held, at = heappop(load)
+        lanes[band][key] = at
+        heappush(load, (held + p, at))
+    return [(np.array(sorted(d), np.uint64), np.array([d[k] for k in sorted(d)], np.int32)) for d in lanes]
+
+
 def _candidates(key: np.ndarray, bits: np.ndarray, side: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs with one key that cross the sides and are similar enough: within ``radius`` bits, which is the exact similarity."""
     order = np.argsort(key)
@@ -120,12 +140,20 @@ def minwise_pairs(hashes: DataFrame, radius: int = 8, n: int | None = None, band
     n = hashes.count() if n is None else n
     plan = bands or choose_bands(n, radius)
 
+    parts = max(int(hashes.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n * plan.buckets // BUCKET_ROWS))
+    lanes = bucket_lanes(plan, parts)
+
     def buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             bits = batch.column(0).to_numpy().view(np.uint64)
             for band in range(plan.buckets):
-                key = band_key(bits, band, 0, plan.first).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(bits), band, np.int32)), pa.array(key), batch.column(0), batch.column(1)], ["band", "bucket", "bits", "side"])
+                key = band_key(bits, band, 0, plan.first)
+                lane = ((key * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % np.uint64(parts)).astype(np.int32)
+                known, dealt = lanes[band]
+                if len(known):
+                    at = np.minimum(np.searchsorted(known, key), len(known) - 1)
+                    lane = np.where(known[at] == key, dealt[at], lane)
+                yield pa.RecordBatch.from_arrays([pa.array(lane), pa.array(np.full(len(bits), band, np.int32)), pa.array(key.view(np.int64)), batch.column(0), batch.column(1)], ["lane", "band", "bucket", "bits", "side"])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept = list(batches)
@@ -146,6 +174,5 @@ def minwise_pairs(hashes: DataFrame, radius: int = 8, n: int | None = None, band
                 pairs = np.unique(np.concatenate(found), axis=0)
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["bits_a", "bits_b"])
 
-    rows = hashes.select("bits", hashes["side"].cast("tinyint").alias("side")).mapInArrow(buckets, "band int, bucket bigint, bits bigint, side tinyint")
-    parts = max(int(hashes.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n * plan.buckets // BUCKET_ROWS))
-    return rows.repartition(parts, "band", "bucket").mapInArrow(verify, "bits_a bigint, bits_b bigint").distinct()
+    rows = hashes.select("bits", hashes["side"].cast("tinyint").alias("side")).mapInArrow(buckets, "lane int, band int, bucket bigint, bits bigint, side tinyint")
+    return rows.repartitionById(parts, "lane").mapInArrow(verify, "bits_a bigint, bits_b bigint").distinct()
