@@ -153,7 +153,7 @@ def test_bands_keep_the_recall_asked_for(n):
 def test_buckets_are_dealt_evenly(n, parts):
     """Half of the hashes have the first shingle of an order: large buckets go to the emptiest partition."""
     plan = minwise.choose_bands(n, 8)
-    bits = np.random.default_rng(1).integers(0, 1 << 63, 20_000, dtype=np.uint64)
+    bits = np.random.default_rng(1).integers(0, 1 << 64, 20_000, dtype=np.uint64)
     load, lanes = np.zeros(parts), minwise.bucket_lanes(plan, parts)
     for band, (known, dealt) in enumerate(lanes):
         key = minwise.band_key(bits, band, 0, plan.first)
