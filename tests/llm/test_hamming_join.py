@@ -154,13 +154,14 @@ def test_buckets_are_dealt_evenly(n, parts):
     """Half of the hashes have the first shingle of an order: large buckets go to the emptiest partition."""
     plan = minwise.choose_bands(n, 8)
     bits = np.random.default_rng(1).integers(0, 1 << 64, 20_000, dtype=np.uint64)
-    load, lanes = np.zeros(parts), minwise.bucket_lanes(plan, parts)
+    load, lanes, largest = np.zeros(parts), minwise.bucket_lanes(plan, parts), 0
     for band, (known, dealt) in enumerate(lanes):
         key = minwise.band_key(bits, band, 0, plan.first)
         hit = np.isin(key, known)
         np.add.at(load, dealt[np.searchsorted(known, key[hit])], 1)
         load += (~hit).sum() / parts
-    assert load.max() < 1.25 * load.mean()
+        largest = max(largest, np.unique(key, return_counts=True)[1].max())
+    assert load.max() < max(1.25 * load.mean(), 1.1 * largest)  # a bucket isn't cut
 
 
 def test_minwise_pairs_equal_brute_force(spark):
