@@ -7,7 +7,8 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def build_session(cpus: int = 8, memory: str = "16g") -> SparkSession:
@@ -52,13 +53,14 @@ class Scratch:
         atexit.register(self.clear)  # results are lazy: only the end of the driver shows that nobody reads them any more
 
     def keep(self, df: DataFrame) -> DataFrame:
-        """Write ``df`` as parquet and read it back."""
+        """Write ``df`` as parquet and read it back. How many rows were written is known without another pass: :func:`rows_of`."""
         path = f"{self.root}/{self.made:04d}"
         self.made += 1
-        df.write.option("compression", "zstd").parquet(path)
+        seen = Observation()
+        df.observe(seen, F.count(F.lit(1)).alias("n")).write.option("compression", "zstd").parquet(path)
         # a copy of the schema spares the footer read of an inferring scan
         kept = self.spark.read.schema(df.schema).parquet(path)
-        kept._vellum_path = path
+        kept._vellum_path, kept._vellum_rows = path, seen
         return kept
 
     def drop(self, df: DataFrame) -> None:
@@ -79,6 +81,12 @@ class Scratch:
         target.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def rows_of(df: DataFrame) -> int:
+    """The number of rows of ``df``; of a kept table it was counted while that was written."""
+    seen = getattr(df, "_vellum_rows", None)
+    return df.count() if seen is None else seen.get["n"]
+
+
 def spread(df: DataFrame) -> DataFrame:
     """``df`` over all cores if by its estimated size it fits into one scan partition, as a small table in one file does; else unchanged.
 
