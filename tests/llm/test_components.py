@@ -36,9 +36,12 @@ def graph(kind):
     return [tuple(map(int, p)) for p in rng.integers(0, 250, (200, 2))] + [(3, 3), (7, 8), (7, 8), (8, 7)]
 
 
+@pytest.mark.parametrize("local", [500_000, 30, 0])
 @pytest.mark.parametrize("solver", [components.strip_and_compress, components.hook_and_shortcut])
 @pytest.mark.parametrize("kind", ["chain", "cycle", "star", "tree", "core", "random"])
-def test_labels_are_the_least_vertex(spark, scratch, kind, solver):
+def test_labels_are_the_least_vertex(spark, scratch, monkeypatch, kind, solver, local):
+    """By rounds of tables alone, by one task alone, and by a task that takes over."""
+    monkeypatch.setattr(components, "LOCAL_LINKS", local)
     pairs = graph(kind)
     df = spark.createDataFrame([(a, b, "x") for a, b in pairs] + [(None, 1, "x"), (2, None, "x")], "a int, b int, v string")
     rows = [tuple(r) for r in components.link_components(df, scratch, solver).collect()]
@@ -50,6 +53,7 @@ def test_hubs_take_the_broadcast_way(spark, scratch, monkeypatch, solver):
     """One vertex holds most edges: with a low bound its joins are broadcasts, with the same result."""
     monkeypatch.setattr(skew, "HEAVY_ROWS", 20)
     monkeypatch.setattr(components, "HEAVY_ROWS", 20)
+    monkeypatch.setattr(components, "LOCAL_LINKS", 0)
     pairs = [(0, i) for i in range(1, 150)] + [(i, i + 1000) for i in range(1, 60)] + [(5000, 5001)]
     got = {r["v"]: r["label"] for r in components.link_components(spark.createDataFrame(pairs, "a int, b int"), scratch, solver).collect()}
     assert got == truth(pairs)
@@ -85,7 +89,17 @@ def test_empty_listings(spark, scratch):
 def test_one_label_holds_a_third(spark, scratch, monkeypatch):
     monkeypatch.setattr(skew, "HEAVY_ROWS", 20)
     monkeypatch.setattr(components, "HEAVY_ROWS", 20)
+    monkeypatch.setattr(components, "LOCAL_LINKS", 0)
     rows = [(f"H_{i}", "hot") for i in range(60)] + [(f"H_{i}", f"l_{i}") for i in range(30)] + [(f"K_{i}", f"l_{i}") for i in range(100)]
     df = spark.createDataFrame(rows, "image_id string, duplicate_group_id string")
     got = {r["image_id"]: r["group_key"] for r in consolidate.tied_images(consolidate.image_groups(df, scratch), scratch).collect()}
     assert got == {i: "hot" for i in [f"H_{k}" for k in range(60)] + [f"K_{k}" for k in range(30)]}
+
+
+def test_arrays_strip_a_long_chain():
+    """A path of 100,000 vertices is spliced to nothing in rounds like the logarithm of its length, none of which gathers it."""
+    order = np.random.default_rng(2).permutation(100_000)
+    graph = components.Arrays(order[:-1], order[1:], 100_000)
+    graph.strip()
+    assert not len(graph.a) and len(graph.pointers) < 60
+    assert len(np.unique(graph.roots())) == 1

@@ -10,7 +10,7 @@ from vellum.llm.components import link_components
 from vellum.llm.hamming_join import near_pairs
 from vellum.llm.minwise import minwise_pairs
 from vellum.operators.skew import heavy_keys, join_on_unique
-from vellum.session import Scratch, table
+from vellum.session import Scratch, rows_of, table
 
 RADIUS = 8
 #: Images of one hash that a task pairs with as many others.
@@ -87,7 +87,7 @@ def near_image_groups(listings: DataFrame, scratch: Scratch, radius: int = RADIU
     classes = link_components(pairs.select(F.col("bits_a").alias("a"), F.col("bits_b").alias("b")), scratch)
     ends = pairs.select(F.explode(F.array("bits_a", "bits_b")).alias("bits")).groupBy("bits").agg(F.count(F.lit(1)).alias("n_links"))
     linked = scratch.keep(classes.withColumnRenamed("v", "bits").join(ends, "bits"))
-    heavy = heavy_keys(members, "bits", members.count())
+    heavy = heavy_keys(members, "bits", rows_of(members))
     out = join_on_unique(members, linked, "bits", "left", heavy)
     return out.select("image_id", F.coalesce("label", "bits").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 

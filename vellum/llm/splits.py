@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from vellum.functions.reading import read_label
 from vellum.llm.components import group_labels, hook_and_shortcut
 from vellum.operators.skew import heavy_keys, join_on_unique
-from vellum.session import Scratch, table
+from vellum.session import Scratch, rows_of, table
 
 SHARES = {"train": 0.70, "validation": 0.15, "test": 0.15}
 #: Bits that one subset-sum may hold: its memory on the driver. Sizes for which it is enough are placed exactly, see :func:`plan_splits`.
@@ -160,11 +160,11 @@ def grouped_splits(rows: DataFrame, scratch: Scratch, shares: dict[str, float] |
     weights = rows.groupBy("item").agg(F.count(F.lit(1)).alias("rows"))
     members = scratch.keep(rows.where("grp is not null").select("item", "grp").distinct())
     items, labels = group_labels(members, scratch, hook_and_shortcut)
-    heavy = heavy_keys(items, "grp", items.count())
+    heavy = heavy_keys(items, "grp", rows_of(items))
     grouped = join_on_unique(items, labels, "grp", "left", heavy).select("item", F.concat(F.lit("group:"), F.coalesce("label", "grp")).alias("unit"))
     all_items = scratch.keep(weights.join(grouped, "item", "left").select("item", "rows", F.coalesce("unit", F.concat(F.lit("item:"), "item")).alias("unit")))
     units = scratch.keep(assign_units(all_items.groupBy("unit").agg(F.sum("rows").alias("rows")), scratch, shares, seed))
-    hot = heavy_keys(all_items, "unit", all_items.count())
+    hot = heavy_keys(all_items, "unit", all_rows_of(items))
     return join_on_unique(all_items, units, "unit", "left", hot).select("item", "unit", "split", "rows")
 
 
@@ -180,7 +180,7 @@ def torn_entities(rows: DataFrame, scratch: Scratch) -> DataFrame:
     seen = rows.where("entity is not null and place is not null").select(F.col("entity").alias("grp"), "place").distinct()
     seen = scratch.keep(seen.join(labels, "grp", "left").select("grp", "place", F.coalesce("label", "grp").alias("unit")))
     torn = seen.groupBy("unit").agg(F.min("place").alias("lo"), F.max("place").alias("hi")).where("lo != hi").select("unit")
-    inside = join_on_unique(seen, torn, "unit", "inner", heavy_keys(seen, "unit", seen.count()))
+    inside = join_on_unique(seen, torn, "unit", "inner", heavy_keys(seen, "unit", rows_of(seen)))
     return inside.groupBy("grp").agg(F.min("place").alias("lo"), F.max("place").alias("hi")).where("lo != hi").select(F.col("grp").alias("entity"))
 
 
