@@ -55,7 +55,7 @@ def test_empty_tables(spark, scratch, empty):
 
 
 def test_a_long_document_early_in_the_order_doesnt_end_the_selection(spark, scratch):
-    bucket = F.pmod(F.xxhash64("id", F.lit(7)), F.lit(mixture.BUCKETS))
+    bucket = F.pmod(F.xxhash64("id", F.lit(7)), F.lit(mixture.LEAST_BUCKETS))
     order = [r["id"] for r in spark.range(61).orderBy(bucket, F.xxhash64("id", F.lit(7))).collect()]
     docs = [(i, ["a"], 400 if i == order[0] else 5 + i % 9) for i in range(61)] + [(100 + i, ["b"], 10) for i in range(100)]
     quota = -(-350 * (sum(d[2] for d in docs)) // 2000)
@@ -75,3 +75,19 @@ def test_no_document_fits_into_the_gap(spark, scratch):
     m = plan(spark, scratch, [(1, ["a"], 100), (2, ["b"], 100)], [("a", 0.2, 1), ("b", 0.5, 1)])
     got = {r["source"]: r for r in m.shares().collect()}
     assert not got["a"]["falls_short"] and got["a"]["selection_short"] and got["a"]["n_missing"] == 40 and not got["b"]["selection_short"]
+
+
+def test_overlapping_sources_are_selected_within_caps(spark, scratch):
+    """Texts of two sources serve the one that lacks tokens; no document is used beyond its cap or by a stranger."""
+    docs = [(i, ["a"], 10) for i in range(40)] + [(100 + i, ["a", "b"], 10) for i in range(30)] + [(200 + i, ["b"], 10) for i in range(5)]
+    m = plan(spark, scratch, docs, [("a", 0.4, 1), ("b", 0.45, 1)])
+    got = {r["source"]: r for r in m.shares().collect()}
+    assert got["b"]["n_reached"] == 330 and not got["b"]["falls_short"] and not got["a"]["selection_short"]
+    assert all((r["n_over_cap"], r["n_foreign"], r["n_beyond"]) == (0, 0, 0) for r in mixture.audit(m).collect())
+
+
+def test_too_many_patterns_are_refused(spark, scratch, monkeypatch):
+    monkeypatch.setattr(mixture, "MOST_PATTERNS", 5)
+    docs = [(i, [f"s{i}", f"s{i + 1}"], 1) for i in range(16)]
+    with pytest.raises(ValueError, match="membership patterns"):
+        plan(spark, scratch, docs, [(f"s{i}", 0.05, 1) for i in range(17)])

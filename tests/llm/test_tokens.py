@@ -10,6 +10,7 @@ pytestmark = pytest.mark.skipif(not os.path.exists(tokens.DEFAULT_TOKENIZER), re
 TEXTS = [
     None, "", " ", "\n\n  \t x", "Hello world, it's we've I'LL don't", "a b　c d\x85e\x1cf", "naïve café é ﬁ ™ 𝔘 ﷺ", "中文文本,没有空格。日本語テスト", "<|endoftext|> <|startoftext|>",
     "👩‍👩‍👧 🧿 🖼️ 🇦🇶", "x" * 5000, "word " * 20000, "tab\tsep\r\nline\r end   ", "3.14 ½ Ⅷ ² ١٢", "​﻿ zero‍width", "'s 't''ll", "\x00\x07 control", "สวัสดี שלום ع",
+    "a\u0870b \U00010570\U00010571 x\U0001df25 \U00031350字 5\U00011f51",
 ]
 
 

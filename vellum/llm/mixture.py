@@ -18,9 +18,12 @@ from pyspark.sql.window import Window
 
 from vellum.functions.reading import read_label
 from vellum.llm.tokens import DEFAULT_TOKENIZER, encode_documents
-from vellum.session import Scratch, table
+from vellum.session import Scratch, rows_of, table
 
-BUCKETS = 1024
+#: Documents that a hash bucket holds on average, when a pattern is selected from without sorting it in one task.
+BUCKET_DOCS, LEAST_BUCKETS = 1 << 16, 1024
+#: Membership patterns that the flow is solved for on the driver. Sources that overlap in every way have 2^sources patterns.
+MOST_PATTERNS = 100_000
 
 
 def min_cost_flow(patterns: dict[tuple[str, ...], int], quotas: dict[str, int], repeats: dict[str, int]) -> dict[tuple[tuple[str, ...], str], int]:
@@ -103,7 +106,10 @@ class Mixture:
         listed = F.array(*[F.lit(s) for s in sorted(self.targets)]).cast("array<string>")
         pattern = F.array_sort(F.array_intersect(F.coalesce("sources", F.array().cast("array<string>")), listed))
         self.docs = scratch.keep(docs.select("doc_id", pattern.alias("pattern"), F.coalesce("n_tokens", F.lit(0)).alias("n_tokens")).where(F.size("pattern") > 0))
-        self.patterns = {tuple(r["pattern"]): r["n"] for r in self.docs.groupBy("pattern").agg(F.sum("n_tokens").alias("n")).collect()}
+        by_pattern = self.docs.groupBy("pattern").agg(F.sum("n_tokens").alias("n"))
+        if len(self.targets) > 16 and (found := by_pattern.count()) > MOST_PATTERNS:  # 16 sources have fewer patterns at most
+            raise ValueError(f"{found} membership patterns: merge sources that always overlap, the flow takes {MOST_PATTERNS}")
+        self.patterns = {tuple(r["pattern"]): r["n"] for r in by_pattern.collect()}
         self.total = sum(self.patterns.values())
         self.quotas = {s: ceil(share * self.total) for s, (share, _) in self.targets.items()}
         self.flow = min_cost_flow(self.patterns, self.quotas, {s: r for s, (_, r) in self.targets.items()})
@@ -129,7 +135,7 @@ class Mixture:
         plan = [(list(p), s, n // self.patterns[p], n % self.patterns[p]) for (p, s), n in sorted(self.flow.items())]
         # a row for each pattern and source with flow: as small as the aggregate that was on the driver already
         plan = F.broadcast(spark.createDataFrame(plan, "pattern array<string>, source string, passes bigint, gap bigint"))
-        dealt = self.docs.withColumn("h", F.xxhash64("doc_id", F.lit(self.seed))).withColumn("bucket", F.pmod("h", F.lit(BUCKETS)))
+        dealt = self.docs.withColumn("h", F.xxhash64("doc_id", F.lit(self.seed))).withColumn("bucket", F.pmod("h", F.lit(max(LEAST_BUCKETS, rows_of(self.docs) // BUCKET_DOCS))))
         rows, done = dealt.join(plan, "pattern"), []
         while True:
             tried = self.scratch.keep(_first_that_fit(rows))
@@ -169,6 +175,15 @@ def documents_mixture(spark: SparkSession, sf_dir: str, scratch: Scratch, tokeni
     return Mixture(counted.select("doc_id", F.when(F.col("source").isNotNull(), F.array("source")).alias("sources"), "n_tokens"), targets.withColumn("source", read_label("source")), scratch)
 
 
+def texts_mixture(spark: SparkSession, sf_dir: str, scratch: Scratch, tokenizer: str = DEFAULT_TOKENIZER) -> Mixture:
+    """The same over distinct texts: one belongs to every source that has a copy of it, so sources overlap."""
+    rows = table(spark, sf_dir, "documents").where("text is not null").select("text", "doc_id", read_label("source").alias("source"))
+    texts = rows.groupBy("text").agg(F.min("doc_id").alias("doc_id"), F.collect_set("source").alias("sources"))  # at most one entry a source
+    counted = encode_documents(scratch.keep(texts), scratch, tokenizer, keep=("doc_id", "sources"), counts_only=True)
+    targets = table(spark, sf_dir, "mixture_targets").withColumn("source", read_label("source"))
+    return Mixture(counted, targets, scratch)
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents_mixture(spark, sf_dir, Scratch(spark, "p7")).short()
 
@@ -179,3 +194,25 @@ def p7_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents_mixture(spark, sf_dir, Scratch(spark, "p7s")).shares()
+
+
+def p7_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shares that distinct texts reach, each text open to all sources that have a copy."""
+    return texts_mixture(spark, sf_dir, Scratch(spark, "p7o")).shares()
+
+
+def audit(mixture: Mixture) -> DataFrame:
+    """(source, target_share, n_over_cap, n_foreign, n_beyond): documents used too often or by a source they don't belong to, and tokens beyond the quota."""
+    scratch, spark = mixture.scratch, mixture.spark
+    used = scratch.keep(mixture.selection())
+    rows = [(s, float(share), cap, mixture.quotas[s]) for s, (share, cap) in sorted(mixture.targets.items())]
+    targets = spark.createDataFrame(rows, "source string, target_share double, cap int, quota bigint")
+    owners = mixture.docs.select("doc_id", F.explode("pattern").alias("source")).distinct().withColumn("own", F.lit(1))
+    per = used.join(owners, ["doc_id", "source"], "left").join(F.broadcast(targets.select("source", "cap")), "source")  # a row a target
+    per = per.groupBy("source").agg(F.count_if(F.col("repeats") > F.col("cap")).alias("o"), F.count_if(F.col("own").isNull()).alias("f"), F.sum(F.col("repeats") * F.col("n_tokens")).alias("t"))
+    none = F.lit(0)
+    return targets.join(per, "source", "left").select("source", "target_share", F.coalesce("o", none).alias("n_over_cap"), F.coalesce("f", none).alias("n_foreign"), F.greatest(F.coalesce("t", none) - F.col("quota"), none).alias("n_beyond"))
+
+
+def p7_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit(documents_mixture(spark, sf_dir, Scratch(spark, "p7a")))

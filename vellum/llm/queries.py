@@ -22,6 +22,8 @@ def queries() -> dict:
         "p7_found": mixture.p7_found,
         "p7_mixture": mixture.p7_mixture,
         "p7_shares": mixture.p7_shares,
+        "p7_overlap": mixture.p7_overlap,
+        "p7_audit": mixture.p7_audit,
         "p8_found": spam.p8_found,
         "p8_scores": spam.p8_scores,
     }
@@ -83,6 +85,8 @@ def oracle_sql() -> dict[str, str]:
           UNION ALL SELECT 'seed', count(DISTINCT seed), count(*), 0 FROM per_seed_external_metrics WHERE seed >= 0""",
         "p3_found": f"WITH RECURSIVE {GROUPED} SELECT group_key, image_id FROM grouped WHERE group_key IN (SELECT group_key FROM grouped GROUP BY 1 HAVING count(*) > 1)",
         "p3_groups": f"WITH RECURSIVE {GROUPED} SELECT image_id, group_key FROM grouped",
+        "p6_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
+        "p7_audit": f"SELECT {_label('source')} AS source, target_share, 0 AS n_over_cap, 0 AS n_foreign, 0 AS n_beyond FROM mixture_targets",
         "p5_found": f"WITH {IMAGES}, {HASH_PAIRS}, {IMAGE_PAIRS}, {SIDES} SELECT least(train_id, eval_id) AS image_id_a, greatest(train_id, eval_id) AS image_id_b FROM crossing",
         "p5_report": f"""WITH {IMAGES}, {HASH_PAIRS}, {IMAGE_PAIRS}, {SIDES} SELECT role, split_part(eval_id, '_', 1) AS source, count(*) AS n_pairs, sum(exact)::BIGINT AS n_exact,
             count(DISTINCT eval_id) AS n_eval_images, count(DISTINCT train_id) AS n_train_images FROM crossing JOIN sides ON eval_id = image_id GROUP BY 1, 2""",

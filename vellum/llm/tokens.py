@@ -2,15 +2,17 @@
 
 1. Spark splits every text into the tokenizer's words with its own pattern, whole texts at a time.
 2. Documents are dealt to blocks by hash. The distinct words of each block are kept, so however often a word occurs it is
-   one row a block: no word is a hot key.
-3. Each distinct word of the corpus is encoded once; its ids are joined back to the blocks that hold it.
+   one row a block.
+3. Each distinct word of the corpus is encoded once; its ids are joined back to the blocks that hold it. A word of very many blocks
+   meets a broadcast (:mod:`vellum.operators.skew`).
 4. Block by block, positions look their word up in the block's dictionary, in whole columns, and ids are laid end to end.
 
-Decoding joins ids with the table of pieces, whose size is that of the vocabulary.
+Decoding joins ids with the table of pieces, whose size is that of the vocabulary, in whole columns too: nothing is shuffled.
 """
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,12 +22,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vellum.session import Scratch, table
+from vellum.operators.skew import HEAVY_ROWS, HEAVY_SHARE, join_on_unique
+from vellum.session import Scratch, rows_of, table
 
 DEFAULT_TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
-#: The tokenizer's word pattern, white space spelt as the Unicode property (Java's \\s is ASCII only).
+#: The tokenizer's word pattern, white space spelt as the Unicode property (Java's \\s is ASCII only). %L and %N are
+#: the letters and numbers, see :func:`word_pattern`.
 WORD_PATTERN = (
-    r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{IsWhite_Space}\p{L}\p{N}]+"
+    r"'s|'t|'re|'ve|'m|'ll|'d| ?[%L]+| ?[%N]+| ?[^\p{IsWhite_Space}%L%N]+"
     r"|\p{IsWhite_Space}+(?![^\p{IsWhite_Space}])|\p{IsWhite_Space}+"
 )
 #: Characters of text that one block should hold.
@@ -34,9 +38,45 @@ BLOCK_CHARS = 4_000_000
 BLOCKS_A_TASK = 32
 
 
+def _newer_characters(strange: str) -> tuple[str, str]:
+    """Of characters that Java doesn't take for letters or numbers, those that the tokenizer's own splitter does."""
+    from tokenizers import pre_tokenizers
+
+    split = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=True).pre_tokenize_str
+    found = {"a": [], "1": []}
+    for c in strange:
+        for before, kept in found.items():
+            if len(split(before + c)) == 1:
+                kept.append(c)
+    return "".join(found["a"]), "".join(found["1"])
+
+
+def _ranges(characters: str) -> str:
+    points, out = sorted(map(ord, characters)), []
+    for p in points:
+        if out and p == out[-1][1] + 1:
+            out[-1][1] = p
+        else:
+            out.append([p, p])
+    return "".join(rf"\x{{{a:x}}}-\x{{{b:x}}}" for a, b in out)
+
+
+_PATTERNS: dict[str, str] = {}
+
+
+def word_pattern(spark: SparkSession) -> str:
+    """The word pattern with the letters and numbers that are newer than the JVM's Unicode version spelt out; executors have the driver's Java."""
+    version = spark._jvm.System.getProperty("java.version")
+    if version not in _PATTERNS:
+        points = "".join(chr(i) for i in range(0x110000) if unicodedata.category(chr(i))[0] in "LN")
+        letters, numbers = _newer_characters(spark._jvm.org.apache.commons.lang3.RegExUtils.removeAll(points, r"[\p{L}\p{N}]+"))
+        _PATTERNS[version] = WORD_PATTERN.replace("%L", r"\p{L}" + _ranges(letters)).replace("%N", r"\p{N}" + _ranges(numbers))
+    return _PATTERNS[version]
+
+
 def words_of(text: Column) -> Column:
     """The words of a text in order, nothing lost: joined they are the text. NULL gives no words."""
-    return F.coalesce(F.regexp_extract_all(text, F.lit(WORD_PATTERN), F.lit(0)), F.array().cast("array<string>"))
+    return F.coalesce(F.regexp_extract_all(text, F.lit(word_pattern(SparkSession.active())), F.lit(0)), F.array().cast("array<string>"))
 
 
 def word_encoder(path: str):
@@ -76,8 +116,11 @@ def encode_documents(docs: DataFrame, scratch: Scratch, path: str = DEFAULT_TOKE
     blocks = block_count(docs, block_chars)
     rows = docs.select(*keep, "text").withColumn("_block", F.pmod(F.xxhash64("text", *keep), F.lit(blocks)).cast("int"))
     held = scratch.keep(rows.select("_block", F.explode(F.array_distinct(words_of(F.col("text")))).alias("word")).distinct())
-    encoded = encode_words(held.select("word").distinct(), path)
-    lexicon = held.join(encoded, "word")
+    # a word has a row for each block that holds it
+    words = scratch.keep(held.groupBy("word").agg(F.count(F.lit(1)).alias("n")))
+    least = max(HEAVY_ROWS, rows_of(held) // HEAVY_SHARE)
+    hot = [r["word"] for r in words.where(F.col("n") >= least).select("word").collect()] if blocks >= least else []
+    lexicon = join_on_unique(held, encode_words(words, path), "word", "inner", hot)
     # the texts are shuffled, not their words, which take several times the room: they are split again behind the exchange
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     lists = rows.repartition(max(parts, blocks // BLOCKS_A_TASK), "_block").select(*keep, "_block", words_of(F.col("text")).alias("_words"))
@@ -105,8 +148,8 @@ def encode_documents(docs: DataFrame, scratch: Scratch, path: str = DEFAULT_TOKE
     return lists.groupBy("_block").cogroup(lexicon.groupBy("_block")).applyInArrow(lay, out)
 
 
-def pieces_table(spark: SparkSession, path: str) -> DataFrame:
-    """(id, piece): the bytes of each id. Its rows are those of the vocabulary."""
+def pieces_table(path: str) -> pa.Array:
+    """The bytes of each id, in order of the ids; NULL for one that is no text."""
     import json
 
     # the byte-level alphabet: printable bytes stand for themselves, the others for 256, 257, ... in order
@@ -115,17 +158,33 @@ def pieces_table(spark: SparkSession, path: str) -> DataFrame:
     byte_of = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
     with open(path, encoding="utf-8") as f:
         vocab = json.load(f)["model"]["vocab"]
-    rows = [(i, bytes(byte_of[c] for c in piece)) for piece, i in vocab.items() if all(c in byte_of for c in piece)]
-    return spark.createDataFrame(pa.Table.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["id", "piece"]))
+    out: list = [None] * (max(vocab.values(), default=-1) + 1)
+    for piece, i in vocab.items():
+        if all(c in byte_of for c in piece):
+            out[i] = bytes(byte_of[c] for c in piece)
+    return pa.array(out, pa.binary())
 
 
 def decode_documents(encoded: DataFrame, path: str = DEFAULT_TOKENIZER, key: str = "doc_id") -> DataFrame:
-    """(key, text) of ``encoded`` (key, ids); the pieces are broadcast: the vocabulary bounds their size. ``key`` must be unique."""
-    pieces = F.broadcast(pieces_table(encoded.sparkSession, path))
-    spots = encoded.select(key, F.posexplode("ids").alias("pos", "id")).join(pieces, "id")
-    texts = spots.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "piece"))).alias("p"))
-    joined = texts.select(key, F.decode(F.unhex(F.concat_ws("", F.transform("p", lambda x: F.hex(x["piece"])))), "UTF-8").alias("text"))
-    return encoded.select(key).join(joined, key, "left").select(key, F.coalesce("text", F.lit("")).alias("text"))
+    """(key, text) of every row of ``encoded`` (key, ids), repeated ones too; NULL ids give the empty text.
+
+    The pieces go to every task: the vocabulary bounds their size. A batch's ids meet them in one look-up by number.
+    """
+    table = pieces_table(path)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(1)
+            ends = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False))])
+            pieces = table.take(ids.flatten())
+            size = np.concatenate([[0], np.cumsum(pc.binary_length(pieces).to_numpy(zero_copy_only=False))]).astype(np.int64)
+            raw = memoryview(b"".join(pieces.to_pylist()))
+            bounds = size[ends].tolist()
+            texts = [str(raw[a:b], "utf-8", "replace") for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], [key, "text"])
+
+    rows = encoded.select(key, "ids")
+    return rows.mapInArrow(run, f"{key} {rows.schema[key].dataType.simpleString()}, text string")
 
 
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -134,5 +193,4 @@ def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p6_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, text) back from the ids; NULL texts come back empty."""
-    scratch = Scratch(spark, "p6d")
-    return decode_documents(scratch.keep(encode_documents(table(spark, sf_dir, "documents"), scratch)))
+    return decode_documents(encode_documents(table(spark, sf_dir, "documents"), Scratch(spark, "p6d")))
