@@ -12,6 +12,7 @@ Decoding joins ids with the table of pieces, whose size is that of the vocabular
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Iterator
 
@@ -27,7 +28,7 @@ from vellum.session import Scratch, rows_of, table
 
 DEFAULT_TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 #: The tokenizer's word pattern, white space spelt as the Unicode property (Java's \\s is ASCII only). %L and %N are
-#: the letters and numbers, see :func:`word_pattern`.
+#: the letters and numbers, see :func:`words_of`.
 WORD_PATTERN = (
     r"'s|'t|'re|'ve|'m|'ll|'d| ?[%L]+| ?[%N]+| ?[^\p{IsWhite_Space}%L%N]+"
     r"|\p{IsWhite_Space}+(?![^\p{IsWhite_Space}])|\p{IsWhite_Space}+"
@@ -61,22 +62,29 @@ def _ranges(characters: str) -> str:
     return "".join(rf"\x{{{a:x}}}-\x{{{b:x}}}" for a, b in out)
 
 
-_PATTERNS: dict[str, str] = {}
+_NEWER: dict[str, tuple[str, str]] = {}
 
 
-def word_pattern(spark: SparkSession) -> str:
-    """The word pattern with the letters and numbers that are newer than the JVM's Unicode version spelt out; executors have the driver's Java."""
+def newer_characters(spark: SparkSession) -> tuple[str, str]:
+    """Ranges of the letters and of the numbers that are newer than the JVM's Unicode version; executors have the driver's Java."""
     version = spark._jvm.System.getProperty("java.version")
-    if version not in _PATTERNS:
+    if version not in _NEWER:
         points = "".join(chr(i) for i in range(0x110000) if unicodedata.category(chr(i))[0] in "LN")
-        letters, numbers = _newer_characters(spark._jvm.org.apache.commons.lang3.RegExUtils.removeAll(points, r"[\p{L}\p{N}]+"))
-        _PATTERNS[version] = WORD_PATTERN.replace("%L", r"\p{L}" + _ranges(letters)).replace("%N", r"\p{N}" + _ranges(numbers))
-    return _PATTERNS[version]
+        strange = spark._jvm.org.apache.commons.lang3.RegExUtils.removeAll(points, r"[\p{L}\p{N}]+")
+        _NEWER[version] = tuple(map(_ranges, _newer_characters(strange)))
+    return _NEWER[version]
 
 
 def words_of(text: Column) -> Column:
     """The words of a text in order, nothing lost: joined they are the text. NULL gives no words."""
-    return F.coalesce(F.regexp_extract_all(text, F.lit(word_pattern(SparkSession.active())), F.lit(0)), F.array().cast("array<string>"))
+    letters, numbers = newer_characters(SparkSession.active())
+    split = lambda l, n: F.regexp_extract_all(text, F.lit(WORD_PATTERN.replace("%L", r"\p{L}" + l).replace("%N", r"\p{N}" + n)), F.lit(0))  # noqa: E731, E741
+    words = split("", "")
+    if letters + numbers:
+        # long lists of ranges are slow to match: only texts with such a character take them, and a look at one range tells most others
+        first = min(int(x, 16) for x in re.findall(r"x\{(\w+)\}", letters + numbers))
+        words = F.when(text.rlike(rf"[\x{{{first:x}}}-\x{{10ffff}}]") & text.rlike(f"[{letters}{numbers}]"), split(letters, numbers)).otherwise(words)
+    return F.coalesce(words, F.array().cast("array<string>"))
 
 
 def word_encoder(path: str):
