@@ -318,3 +318,59 @@ def test_trees_learn_a_step(spark):
     for kind in ("forest", "boosted"):
         out = models.fit_trees(df, ["a"], "y", kind, trees=5).transform(df.fillna(0.0, subset=["a"]))
         assert out.agg(F.max(F.abs(F.col("y") - F.col("prediction")))).first()[0] < 0.3
+
+
+def brute_concordance(x, y, w):
+    return sum(np.sign(x[i] - x[j]) * np.sign(y[i] - y[j]) * w[i] * w[j] for i in range(len(x)) for j in range(i))
+
+
+def test_concordance_equals_all_pairs():
+    rng = np.random.default_rng(0)
+    for n, top in ((0, 3), (1, 3), (40, 4), (60, 50), (80, 10_000)):
+        x, y, w = rng.integers(0, top, n) / 7, rng.integers(-top, top, n) / 3, rng.integers(1, 4, n)
+        assert math.isclose(ranks.concordance(x, y, w), brute_concordance(x, y, w), abs_tol=1e-9)
+
+
+@pytest.mark.parametrize("kind", ["spread", "ties", "hot", "constant", "one", "none"])
+def test_kendall_over_buckets(spark, kind):
+    """Ties on either side, a value that a third of the rows hold, nulls, and no rows."""
+    rng = np.random.default_rng(1)
+    n = {"one": 1, "none": 0}.get(kind, 600)
+    x = rng.normal(size=n) if kind == "spread" else rng.integers(0, 9, n).astype(float)
+    x = np.where(rng.random(n) < 0.4, 5.0, rng.normal(size=n)) if kind == "hot" else np.full(n, 2.0) if kind == "constant" else x
+    y = rng.normal(size=n) + x if kind == "spread" else rng.integers(0, 200, n).astype(float)
+    df = spark.createDataFrame([(float(a), float(b)) for a, b in zip(x, y, strict=True)] + [(None, 1.0), (2.0, None)], "x double, y double")
+    got = ranks.kendall_tau_b(df, "x", "y").collect()
+    ties = lambda v: sum(k * (k - 1) / 2 for k in np.unique(v, return_counts=True)[1])
+    pairs = n * (n - 1) / 2
+    want = brute_concordance(x, y, np.ones(n)) / math.sqrt((pairs - ties(x)) * (pairs - ties(y))) if n > 1 and kind != "constant" else None
+    if n == 0:
+        assert not got
+    else:
+        assert got[0]["n"] == n and (got[0]["tau"] is None if want is None else math.isclose(got[0]["tau"], want, rel_tol=1e-9))
+    both = df.where("x is not null and y is not null").withColumn("g", F.lit("a")).unionByName(spark.createDataFrame([(1.0, 1.0, "b"), (2.0, 2.0, "b")], "x double, y double, g string"))
+    by = {r["g"]: r["tau"] for r in ranks.kendall_tau_b(both, "x", "y", "g").collect()}
+    assert by["b"] == 1 and (n == 0 or by["a"] == got[0]["tau"])
+
+
+def test_bootstrap_of_many_clusters_equals_few(spark, monkeypatch):
+    """Beyond MOST_CLUSTERS each draw is ranked with its multiplicities; the same draws give the same correlations."""
+    rng = np.random.default_rng(3)
+    df = spark.createDataFrame([(float(a), float(a + b), int(c)) for a, b, c in zip(rng.integers(0, 20, 200), rng.integers(0, 20, 200), rng.integers(0, 12, 200), strict=True)], "x double, y double, c int")
+    few = values(resample.cluster_bootstrap_spearman(df, "x", "y", "c", 15), "draw", "rho")
+    monkeypatch.setattr(resample, "MOST_CLUSTERS", 5)
+    many = values(resample.cluster_bootstrap_spearman(df, "x", "y", "c", 15), "draw", "rho")
+    assert [a[0] for a in few] == [b[0] for b in many] and np.allclose([a[1] for a in few], [b[1] for b in many], atol=1e-9)
+
+
+def test_permuted_targets_lose_the_relation(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=400)
+    df = spark.createDataFrame([(i, float(a), float(3 * a + rng.normal()), "dev" if i % 3 else "test", "g") for i, a in enumerate(x)], "k int, x double, y double, split string, g string")
+    out = {r["split"]: r for r in models.permutation_control(df, "k", ["x"], "y", "split", ("dev",), 1.0, 100).collect()}
+    assert set(out) == {"dev", "test"} and out["test"]["rho"] > 0.8 and out["test"]["n_permutations"] == 100
+    assert abs(out["test"]["mean_rho"]) < 0.4 and out["test"]["rho_q025"] < 0 < out["test"]["rho_q975"]
+    fit = df.where("split = 'dev'")
+    products = models.permuted_products(fit, "k", [F.col("x")], "y", 5)
+    total = fit.agg(F.sum("y")).first()[0]
+    assert np.allclose(products[:, 0], total) and len(set(np.round(products[:, 1], 6))) == 5  # the same values, dealt otherwise

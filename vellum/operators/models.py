@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,6 +13,8 @@ from vellum.functions.exprs import clip, total
 from vellum.operators.quantiles import exact_quantiles
 
 BOUND = 8.0
+#: Rows among which a permutation control deals targets.
+BLOCK_ROWS = 100_000
 
 
 @dataclass(frozen=True)
@@ -134,6 +137,63 @@ def experiment_grid(df: DataFrame, sets: dict[str, list[str]], target: str, spli
     return df.sparkSession.createDataFrame(rows, "features string, alpha double, n_features int, r2_dev double, r2_validation double")
 
 
+def permuted_products(df: DataFrame, key: str, inputs: list, target: str, draws: int, block: str | None = None, seed: int = 7) -> np.ndarray:
+    """(draws, 1 + inputs): sums of (1, inputs) x the target dealt anew to the rows, once for each draw.
+
+    Rows are dealt to blocks of about BLOCK_ROWS by hash, the values of ``block`` apart, and targets change places within a block:
+    up to BLOCK_ROWS rows it is a permutation of all of them, beyond that one of each of many random samples. A block returns its
+    sums, so all draws cost one pass and no row is copied.
+    """
+    k = len(inputs) + 1
+    rows = df.where(F.col(target).isNotNull())
+    blocks = max(1, round(rows.count() / BLOCK_ROWS))
+    rows = rows.select((F.col(block).cast("string") if block else F.lit("")).alias("_b"), F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(blocks)).alias("_h"), F.xxhash64(key).alias("_o"), F.lit(1.0).alias("_0"), *[x.alias(f"_{i + 1}") for i, x in enumerate(inputs)], F.col(target).cast("double").alias("_y"))
+
+    def deal(t: pa.Table) -> pa.Table:
+        order = np.argsort(t["_o"].to_numpy(), kind="stable")
+        x = np.stack([t[f"_{i}"].to_numpy()[order] for i in range(k)])
+        y = t["_y"].to_numpy()[order]
+        rng = np.random.default_rng([seed, int(t["_h"][0].as_py()), *t["_b"][0].as_py().encode()])
+        sums = np.stack([x @ rng.permutation(y) for _ in range(draws)])
+        return pa.table({"draw": np.repeat(np.arange(draws), k), "i": np.tile(np.arange(k), draws), "s": sums.ravel()})
+
+    parts = rows.groupBy("_b", "_h").applyInArrow(deal, "draw bigint, i bigint, s double").groupBy("draw", "i").agg(F.sum("s").alias("s"))
+    out = np.zeros((draws, k))
+    for r in parts.collect():  # draws x inputs numbers
+        out[r["draw"], r["i"]] = r["s"]
+    return out
+
+
+def permutation_control(df: DataFrame, key: str, columns: list[str], target: str, split: str, fit_on: tuple[str, ...], alpha: float, draws: int, block: str | None = None) -> DataFrame:
+    """(split, n, rho, n_permutations, mean_rho, rho_q025, rho_q975, abs_rho_q975, max_abs_rho) of each split.
+
+    ``rho``: rank correlation of the ridge probe fitted on ``fit_on`` with the target; the others: of probes fitted to permuted
+    targets, all from one Gram matrix. With ``block`` targets only change places within its values.
+    """
+    from vellum.operators.ranks import spearman
+
+    rows = df.where(F.col(target).isNotNull())
+    fit = rows.where(F.col(split).isin(*fit_on))
+    centre, scale = robust_scaling(fit, columns)
+    inputs = _scaled(columns, centre, scale)
+    g = gram(fit, inputs, target)
+    found = {-1: solve_ridge(g, alpha)}
+    for draw, products in enumerate(permuted_products(fit, key, inputs, target, draws, block)):
+        again = g.copy()
+        again[:-1, -1] = products
+        found[draw] = solve_ridge(again, alpha)
+    beta = df.sparkSession.createDataFrame([(d, [float(x) for x in b]) for d, b in found.items()], "draw int, beta array<double>")
+    held = rows.select(split, F.col(target).alias("_y"), F.array(F.lit(1.0), *inputs).alias("_x")).crossJoin(F.broadcast(beta))  # draws rows
+    guess = F.aggregate(F.zip_with("_x", "beta", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
+    rho = spearman(held.select(split, "draw", "_y", F.round(guess, 12).alias("_p")), "_p", "_y", split, "draw")
+    null = F.when(F.col("draw") >= 0, F.coalesce("rho", F.lit(0.0)))
+    q = lambda c, p: F.percentile(c, p)
+    return rho.groupBy(split).agg(
+        F.max("n").alias("n"), F.max(F.when(F.col("draw") < 0, F.col("rho"))).alias("rho"), F.count(null).alias("n_permutations"), F.avg(null).alias("mean_rho"),
+        q(null, 0.025).alias("rho_q025"), q(null, 0.975).alias("rho_q975"), q(F.abs(null), 0.975).alias("abs_rho_q975"), F.max(F.abs(null)).alias("max_abs_rho"),
+    )
+
+
 def fit_trees(df: DataFrame, columns: list[str], target: str, kind: str = "forest", trees: int = 20, depth: int = 5, seed: int = 7):
     """A random forest or boosted trees of ``pyspark.ml`` on the rows with a target; missing inputs count as 0. The model predicts into ``prediction``."""
     from pyspark.ml import Pipeline

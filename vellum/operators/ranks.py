@@ -7,6 +7,8 @@ a bucket of distinct values.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -48,11 +50,11 @@ def with_rank(df: DataFrame, value: str, *by: str, out: str = "rank") -> DataFra
     return joined.drop("_v")
 
 
-def spearman(df: DataFrame, x: str, y: str, *by: str) -> DataFrame:
-    """(by, n, rho) over the rows with both values. A constant input has rho NULL (undefined, not zero)."""
-    rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*by, F.col(x).alias("_x"), F.col(y).alias("_y"))
+def spearman(df: DataFrame, x: str, y: str, *by: str, weight: str | None = None) -> DataFrame:
+    """(by, n, rho) over the rows with both values. A constant input has rho NULL (undefined, not zero). With ``weight``, a row stands for so many."""
+    rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*by, F.col(x).alias("_x"), F.col(y).alias("_y"), (F.col(weight) if weight else F.lit(1)).alias("_w"))
     # distinct pairs with their counts are all that the ranks and the sums need; written once, the input is computed once
-    pairs = Scratch(df.sparkSession, "pairs").keep(rows.groupBy(*by, "_x", "_y").agg(F.count(F.lit(1)).alias("_n")))
+    pairs = Scratch(df.sparkSession, "pairs").keep(rows.groupBy(*by, "_x", "_y").agg(F.sum("_w").alias("_n")).where("_n > 0"))
     rx = mid_ranks(pairs, "_x", *by, weight="_n").select(*by, "_x", F.col("rank").alias("_rx"))
     ry = mid_ranks(pairs, "_y", *by, weight="_n").select(*by, "_y", F.col("rank").alias("_ry"))
     joined = pairs.join(rx, [*by, "_x"]).join(ry, [*by, "_y"])
@@ -95,18 +97,67 @@ def benjamini_hochberg(df: DataFrame, p: str, *by: str, out: str = "q") -> DataF
     return raw.withColumn(out, F.least(F.min("_raw").over(down), F.lit(1.0))).drop("_rn", "_raw")
 
 
-def kendall_tau_b(df: DataFrame, x: str, y: str) -> DataFrame:
-    """One row (n, tau) over the rows with both values: concordance of all pairs of distinct points, weighted by their counts.
+def concordance(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> float:
+    """Sum over all pairs of points of sign(dx) sign(dy) w w', in n log n steps.
 
-    For relations of a few thousand distinct points, as rank agreement of summaries is; NULL if either side is constant.
+    The values of y are numbered and split by their bits, the highest first: of two points whose numbers agree in the higher bits
+    and differ in this one, the sign of dy is known, and running sums over x tell the weight of those with a smaller x.
     """
-    points = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(F.col(x).alias("x"), F.col(y).alias("y")).agg(F.count(F.lit(1)).cast("double").alias("w"))
-    other = points.select(F.col("x").alias("x2"), F.col("y").alias("y2"), F.col("w").alias("w2"))
-    sign = F.signum(F.col("x").cast("double") - F.col("x2")) * F.signum(F.col("y").cast("double") - F.col("y2"))
-    pairs = points.join(other, (F.col("x") != F.col("x2")) & (F.col("y") != F.col("y2")), "inner").agg((F.sum(sign * F.col("w") * F.col("w2")) / 2).alias("s"))
-    n = points.agg(F.sum("w").alias("n"))
-    ties = lambda c, k: points.groupBy(c).agg(F.sum("w").alias("t")).agg(F.sum(F.col("t") * (F.col("t") - 1) / 2).alias(k))
-    row = n.crossJoin(pairs).crossJoin(ties("x", "tx")).crossJoin(ties("y", "ty"))
+    if len(x) < 2:
+        return 0.0
+    order = np.argsort(x, kind="stable")
+    x = np.unique(x[order], return_inverse=True)[1]
+    y, w, total = np.unique(y[order], return_inverse=True)[1], w[order].astype(float), 0.0
+    for bit in reversed(range(int(y.max()).bit_length())):
+        at = np.argsort(y >> (bit + 1), kind="stable")
+        group, xs, ws, high = (y >> (bit + 1))[at], x[at], w[at], (y[at] >> bit & 1).astype(bool)
+        start = np.append(True, group[1:] != group[:-1])
+        run = start | np.append(True, xs[1:] != xs[:-1])
+        for upper in (True, False):
+            upto = np.concatenate([[0.0], np.cumsum(np.where(high == upper, ws, 0.0))[:-1]])
+            begun = np.maximum.accumulate(np.where(start, upto, 0.0))  # running sums never fall
+            before = upto[np.maximum.accumulate(np.where(run, np.arange(len(ws)), 0))] - begun
+            mine = high != upper
+            total += (-1.0 if upper else 1.0) * float((ws[mine] * before[mine]).sum())
+    return total
+
+
+def kendall_tau_b(df: DataFrame, x: str, y: str, *by: str, weight: str | None = None) -> DataFrame:
+    """(by, n, tau) over the rows with both values; NULL if either side is constant. With ``weight``, a row stands for so many.
+
+    Both sides are cut into buckets of their values. Pairs of points in different buckets of either side are told by how many
+    points the cells hold; pairs that share a bucket are counted inside it, in n log n steps (:func:`concordance`). A value of
+    very many rows is a bucket of its own, in which nothing needs counting, and points are distinct, so no task holds more than
+    about 1 / BUCKETS of them.
+    """
+    rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*by, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"), (F.col(weight) if weight else F.lit(1)).alias("w"))
+    points = Scratch(df.sparkSession, "points").keep(rows.groupBy(*by, "x", "y").agg(F.sum("w").cast("double").alias("w")).where("w > 0"))
+    on = list(by)
+    meet = lambda a, b: a.join(b, on) if on else a.crossJoin(F.broadcast(b))
+    steps = [i / BUCKETS for i in range(1, BUCKETS)]
+    cuts = points.groupBy(*by).agg(F.array_distinct(F.percentile_approx("x", steps, 1000)).alias("_cx"), F.array_distinct(F.percentile_approx("y", steps, 1000)).alias("_cy"))
+    bucket = lambda c, v: 2 * F.size(F.filter(c, lambda t: t < F.col(v))) + F.array_contains(c, F.col(v)).cast("int")
+    dealt = Scratch(df.sparkSession, "dealt").keep(meet(points, cuts).select(*by, "x", "y", "w", bucket("_cx", "x").alias("bx"), bucket("_cy", "y").alias("by")))
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in points.schema if f.name in on)
+    schema = f"{kinds}, s double" if on else "s double"
+
+    def inside(left: str, right: str):
+        def count(t: pa.Table) -> pa.Table:
+            s = concordance(t[left].to_numpy(), t[right].to_numpy(), t["w"].to_numpy())
+            return pa.Table.from_arrays([*[t[b].slice(0, 1) for b in on], pa.array([s])], names=[*on, "s"])
+
+        return count
+
+    several = lambda side, v: dealt.join(dealt.groupBy(*on, side).agg((F.min(v) != F.max(v)).alias("_m")).where("_m").drop("_m"), [*on, side], "left_semi")
+    same_x = several("bx", "x").groupBy(*on, "bx").applyInArrow(inside("x", "y"), schema)
+    same_y = several("by", "y").groupBy(*on, "by").applyInArrow(inside("bx", "y"), schema)  # those that share the other bucket are tied in it
+    cells = dealt.groupBy(*on, "bx", "by").agg(F.sum("w").alias("w"))  # at most (2 BUCKETS)^2 a group
+    apart = cells.groupBy(*on).applyInArrow(inside("bx", "by"), schema) if on else cells.groupBy(F.lit(1).alias("_g")).applyInArrow(inside("bx", "by"), schema)
+    sums = apart.unionByName(same_x).unionByName(same_y).groupBy(*on).agg(F.sum("s").alias("s"))
+    n = points.groupBy(*on).agg(F.sum("w").alias("n"))
+    ties = lambda c, k: points.groupBy(*on, c).agg(F.sum("w").alias("t")).groupBy(*on).agg(F.sum(F.col("t") * (F.col("t") - 1) / 2).alias(k))
+    row = meet(meet(n, ties("x", "tx")), ties("y", "ty"))
+    row = row.join(sums, on, "left") if on else row.crossJoin(F.broadcast(sums))
     pairs_all = F.col("n") * (F.col("n") - 1) / 2
     tau = F.try_divide(F.coalesce("s", F.lit(0.0)), F.sqrt(pairs_all - F.col("tx")) * F.sqrt(pairs_all - F.col("ty")))
-    return row.select(F.col("n").cast("bigint").alias("n"), tau.alias("tau"))
+    return row.where("n is not null").select(*on, F.col("n").cast("bigint").alias("n"), tau.alias("tau"))

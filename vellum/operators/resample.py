@@ -14,10 +14,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from vellum.functions.exprs import hash_int, hash_uniform
+from vellum.functions.exprs import hash_int, hash_uniform, pearson_agg
+from vellum.operators.ranks import kendall_tau_b, spearman
 from vellum.session import Scratch
 
-#: The cluster bootstrap of rank correlations keeps sums per cluster triple: 50 clusters are 3 x 125,000 numbers.
+#: The cluster bootstrap of rank correlations keeps sums per cluster triple: 50 clusters are 3 x 125,000 numbers. More clusters take
+#: a weighted ranking of each draw instead.
 MOST_CLUSTERS = 50
 BUCKETS = 64
 
@@ -66,7 +68,11 @@ def cluster_bootstrap_spearman(df: DataFrame, x: str, y: str, cluster: str, draw
     rows = Scratch(spark, "points").keep(rows.groupBy("x", "y", "c").agg(F.count(F.lit(1)).alias("n")))
     names = [r["c"] for r in rows.select("c").distinct().orderBy("c").limit(MOST_CLUSTERS + 1).collect()]
     if len(names) > MOST_CLUSTERS:
-        raise ValueError(f"more than {MOST_CLUSTERS} clusters: use cluster_bootstrap_mean or fewer clusters")
+        if not isinstance(draws, int):
+            raise ValueError("given multiplicities are for at most MOST_CLUSTERS clusters")
+        taken = cluster_draws(spark, rows.select(F.col("c").alias("cluster")), draws, salt).withColumnRenamed("cluster", "c")
+        weighed = rows.join(taken, "c").withColumn("w", F.col("n") * F.col("mult"))
+        return spark.range(draws).toDF("draw").join(spearman(weighed, "x", "y", "draw", weight="w").select("draw", "rho"), "draw", "left")
     k = len(names)
     if not k:
         return spark.createDataFrame([], "draw bigint, rho double")
@@ -131,9 +137,9 @@ def percentile_interval(draws: DataFrame, statistic: str, *by: str, level: float
 
 
 def poisson_weight(u: Column) -> Column:
-    """Poisson(1) multiplicity of a uniform number by inversion."""
+    """Poisson(1) multiplicity of a uniform number by inversion; up to 13, as 32 bits of a hash tell no rarer ones."""
     out, term, cumulated = F.lit(0), 0.36787944117144233, 0.36787944117144233
-    for k in range(1, 9):
+    for k in range(1, 14):
         out = F.when(u >= cumulated, k).otherwise(out) if k > 1 else F.when(u >= cumulated, 1).otherwise(0)
         term /= k
         cumulated += term
@@ -152,6 +158,21 @@ def iid_bootstrap_mean_difference(df: DataFrame, key: str, value: str, first: Co
     return sums.select(F.col("draw").cast("bigint").alias("draw"), (F.try_divide("s1", "n1") - F.try_divide("s0", "n0")).alias("difference"))
 
 
+def iid_bootstrap_correlations(df: DataFrame, key: str, x: str, y: str, draws: int, salt: str = "iid") -> DataFrame:
+    """(statistic, draw, value): rank correlation (rho), Pearson's r and Kendall's tau-b of rows weighted Poisson(1) per draw.
+
+    Rows without both values take no part. Draws are exploded inside the scan and summed over equal points before the exchange.
+    """
+    rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(key, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
+    long = rows.select(key, "x", "y", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))
+    w = poisson_weight(hash_uniform(F.concat_ws(":", F.lit(salt), "draw", key)))
+    points = Scratch(df.sparkSession, "draws").keep(long.withColumn("w", w).where("w > 0").groupBy("draw", "x", "y").agg(F.sum("w").alias("w")))
+    rho = spearman(points, "x", "y", "draw", weight="w").select(F.lit("rho").alias("statistic"), "draw", F.col("rho").alias("value"))
+    r = points.groupBy("draw").agg(pearson_agg(F.col("x"), F.col("y"), F.col("w")).alias("value")).select(F.lit("r").alias("statistic"), "draw", "value")
+    tau = kendall_tau_b(points, "x", "y", "draw", weight="w").select(F.lit("tau").alias("statistic"), "draw", F.col("tau").alias("value"))
+    return rho.unionByName(r).unionByName(tau)
+
+
 def permuted_levels(df: DataFrame, key: str, block: str, level: str, salt: str) -> DataFrame:
     """``df`` with ``permuted``: within each block, levels are dealt anew in a seeded hash order; the multiset of levels stays.
 

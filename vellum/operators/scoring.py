@@ -6,6 +6,8 @@ row), so scoring is a single projection without a shuffle.
 
 from __future__ import annotations
 
+import hashlib
+import json
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame
@@ -82,6 +84,36 @@ def score(df: DataFrame, spec: Spec, fit_on: Column | str | None = None, fill: s
     return rescale(raw, list(spec), fit_bounds(raw, list(spec), fit_on), epsilon)
 
 
+def formula_version(spec: Spec) -> str:
+    """The first 16 hexadecimal digits of the SHA-256 of the specification as canonical JSON: it changes whenever a term does."""
+    return hashlib.sha256(canonical(spec).encode()).hexdigest()[:16]
+
+
+def canonical(spec: Spec) -> str:
+    return json.dumps({m: {c: list(t) for c, t in terms.items()} for m, terms in spec.items()}, sort_keys=True)
+
+
+def fit_and_score(df: DataFrame, spec: Spec, fit_on: Column | str | None = None, version: str | None = None, strict: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(scores, definition): composites gated by the health of their inputs on the rows ``fit_on``.
+
+    An input that is constant or not finite there is dead. With ``strict`` it is an error that names metric and feature; else its
+    weight counts as zero and the others keep theirs. ``definition`` has (version, metric, feature, weight, retained,
+    effective_weight); ``version`` is that of the formula unless given. A metric without a live input scores 0.
+    """
+    from vellum.operators.health import assert_healthy, weighted_feature_health
+
+    health = weighted_feature_health(df, spec, fit_on)
+    if strict:
+        assert_healthy(health)
+    rows = health.select("metric", "feature", "weight", "responsive").collect()  # a row for each term of the specification
+    alive = {(r["metric"], r["feature"]) for r in rows if r["responsive"]}
+    kept = {m: {c: t for c, t in terms.items() if (m, c) in alive} for m, terms in spec.items()}
+    name = version or formula_version(spec)
+    defined = [(name, m, c, float(w), (m, c) in alive, float(w) if (m, c) in alive else 0.0) for m, terms in spec.items() for c, (w, _) in terms.items()]
+    definition = df.sparkSession.createDataFrame(defined, "version string, metric string, feature string, weight double, retained boolean, effective_weight double")
+    return score(df, kept, fit_on).withColumn("version", F.lit(name)), definition
+
+
 def spec_relation(df: DataFrame, spec: Spec) -> DataFrame:
     """The metric definition table (metric, feature, weight, grp): as many rows as the specification has terms."""
     rows = [(m, c, float(w), g) for m, terms in spec.items() for c, (w, g) in terms.items()]

@@ -69,7 +69,7 @@ def paired_delta_bootstrap(spark: SparkSession, d: str) -> DataFrame:
 
 def _poisson_sql(u: str) -> str:
     cumulated, term, out = 0.36787944117144233, 0.36787944117144233, []
-    for k in range(1, 9):
+    for k in range(1, 14):
         out.append(f"({u} >= {cumulated!r})::INT")
         term /= k
         cumulated += term
@@ -84,6 +84,27 @@ def iid_bootstrap_mean_diff(spark: SparkSession, d: str) -> DataFrame:
     return rounded(resample.iid_bootstrap_mean_difference(features(spark, d), "doc_id", "n_words", F.col("category") == "en", DRAWS), "difference", places=5)
 
 
+_POINTS = f"""WITH {FEATURES_SQL}, l AS (SELECT draw, digit_share AS x, n_words AS y, {_poisson_sql(_U)} AS w FROM features CROSS JOIN range({DRAWS}) r(draw) WHERE n_words IS NOT NULL),
+  e AS (SELECT draw, x, y FROM l CROSS JOIN range(14) r(i) WHERE i < w), k AS (SELECT draw, x, y, {mid_rank_sql("x", "draw")} AS rx, {mid_rank_sql("y", "draw")} AS ry FROM e),
+  p AS (SELECT draw, x, y, sum(w) AS w FROM l WHERE w > 0 GROUP BY 1, 2, 3),
+  c AS (SELECT a.draw, sum(sign(a.x - b.x) * sign(a.y - b.y) * a.w * b.w) / 2 AS s FROM p a JOIN p b ON a.draw = b.draw GROUP BY 1),
+  n AS (SELECT draw, sum(w) AS n FROM p GROUP BY 1), tx AS (SELECT draw, sum(t * (t - 1) / 2) AS tx FROM (SELECT draw, x, sum(w) AS t FROM p GROUP BY 1, 2) GROUP BY 1),
+  ty AS (SELECT draw, sum(t * (t - 1) / 2) AS ty FROM (SELECT draw, y, sum(w) AS t FROM p GROUP BY 1, 2) GROUP BY 1)"""
+
+
+@query(f"{_POINTS} SELECT 'rho' AS statistic, draw::INT AS draw, round(corr(rx, ry), 6) AS value FROM k GROUP BY draw UNION ALL SELECT 'r', draw::INT, round(corr(x, y), 6) FROM k GROUP BY draw UNION ALL SELECT 'tau', draw::INT, round(s / (sqrt(n * (n - 1) / 2 - tx) * sqrt(n * (n - 1) / 2 - ty)), 6) FROM c JOIN n USING (draw) JOIN tx USING (draw) JOIN ty USING (draw)")
+def iid_bootstrap_correlations(spark: SparkSession, d: str) -> DataFrame:
+    """Rank, Pearson and Kendall correlation of rows drawn with replacement."""
+    return rounded(resample.iid_bootstrap_correlations(features(spark, d), "doc_id", "digit_share", "n_words", DRAWS), "value")
+
+
+@query()
+def iid_bootstrap_correlations_full(spark: SparkSession, d: str) -> DataFrame:
+    """(statistic, n_draws, low, high): the 95 % interval of each over 1000 draws."""
+    draws = resample.iid_bootstrap_correlations(features(spark, d), "doc_id", "digit_share", "n_words", 1000)
+    return resample.percentile_interval(draws, "value", "statistic")
+
+
 _TERMS = list(COMPOSITES["density"].items())
 _FACTOR = "(0.9::DOUBLE + 0.2::DOUBLE * (('0x' || substr(md5('weights:' || draw || ':{c}'), 1, 8))::BIGINT / 4294967296.0::DOUBLE))"
 _PERT = ", ".join(f"({w}::DOUBLE) * {_FACTOR.format(c=c)} AS w_{c}" for c, (w, _) in _TERMS)
@@ -184,6 +205,29 @@ def pca_variance(spark: SparkSession, d: str) -> DataFrame:
     return models.pca_variance(table(spark, d, "embeddings"), "embedding", 64)
 
 
+_COV = "c AS (SELECT i, j, covar_samp(embedding[i]::DOUBLE, embedding[j]::DOUBLE) AS v FROM embeddings CROSS JOIN range(1, 65) a(i) CROSS JOIN range(1, 65) b(j) GROUP BY 1, 2)"
+
+
+@query(f"WITH {_COV} SELECT 64 AS n_components, round(sum(v) FILTER (WHERE i = j), 6) AS total_variance, round(sum(v * v), 6) AS squared FROM c")
+def pca_invariants(spark: SparkSession, d: str) -> DataFrame:
+    """Number, sum and sum of squares of the components' variances: trace and norm of the covariance."""
+    out = models.pca_variance(table(spark, d, "embeddings"), "embedding", 64)
+    return out.agg(F.count(F.lit(1)).cast("int").alias("n_components"), F.round(F.sum("variance"), 6).alias("total_variance"), F.round(F.sum(F.col("variance") ** 2), 6).alias("squared"))
+
+
+@query("SELECT unnest(['n_words', 'digit_share', 'punct_share', 'upper_share']) AS feature, true AS stationary")
+def ridge_optimality(spark: SparkSession, d: str) -> DataFrame:
+    """Is the probe's loss flat in each coefficient? Judged on the residuals of all rows it was fitted to, not on its Gram matrix."""
+    df = features(spark, d).where("n_words is not null")
+    model, _ = models.select_ridge(df, _INPUTS, "vowel_share", "split")
+    fitted = models.predict(df.where("split in ('dev', 'validation')"), model)
+    error = F.col("vowel_share") - F.col("prediction")
+    scaled = models._scaled(model.columns, model.centre, model.scale)
+    sums = fitted.agg(*[F.sum(error * x).alias(c) for c, x in zip(model.columns, scaled, strict=True)])
+    flat = [F.struct(F.lit(c).alias("feature"), (F.abs(F.col(c) - model.alpha * b) < 1e-6).alias("stationary")) for c, b in zip(model.columns, model.beta[1:], strict=True)]
+    return sums.select(F.explode(F.array(*flat)).alias("e")).select("e.*")
+
+
 @query("WITH c AS (SELECT list(m ORDER BY i) AS centre FROM (SELECT i, avg(embedding[i]::DOUBLE) AS m FROM embeddings CROSS JOIN range(1, 65) r(i) GROUP BY i)) SELECT vec_id, round(sqrt(list_sum(list_transform(range(1, 65), lambda i: (embedding[i]::DOUBLE - centre[i]) * (embedding[i]::DOUBLE - centre[i])))), 5) AS distance FROM embeddings CROSS JOIN c")
 def embedding_centred_norm(spark: SparkSession, d: str) -> DataFrame:
     """Distance of each vector from the mean vector."""
@@ -420,3 +464,18 @@ def label_grid(df: DataFrame, sizes: tuple, n_draws: int) -> DataFrame:
     full = ranks.spearman(df, "x", "y").select(F.col("rho").alias("frozen_rho"))
     out = rho.groupBy(F.col("size").alias("k")).agg(F.count("rho").alias("n_draws"), F.median("rho").alias("rho"), F.stddev_pop("rho").alias("std"))
     return rounded(out.crossJoin(F.broadcast(full)).withColumn("gain", F.col("rho") - F.col("frozen_rho")), "frozen_rho", "rho", "std", "gain")
+
+
+_CONTROL = ["n_words", "punct_share", "upper_share", "bracket_share"]
+
+
+@query()
+def negative_control(spark: SparkSession, d: str) -> DataFrame:
+    """Per split: the probe's rank correlation with its target, and that of 100 probes fitted to permuted targets."""
+    return models.permutation_control(features(spark, d).where("n_words is not null"), "doc_id", _CONTROL, "digit_share", "split", ("dev", "validation"), 10.0, 100)
+
+
+@query()
+def structure_null(spark: SparkSession, d: str) -> DataFrame:
+    """The same with targets that stay within their category: structure is kept, only its order is lost."""
+    return models.permutation_control(features(spark, d).where("n_words is not null"), "doc_id", _CONTROL, "digit_share", "split", ("dev", "validation"), 10.0, 100, block="category")

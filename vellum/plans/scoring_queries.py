@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.functions.exprs import normal_cdf
+from vellum.functions.exprs import hash_int, normal_cdf, pearson_agg
 from vellum.operators import health, scoring
 from vellum.operators.ranks import spearman
 from vellum.plans.base import COMPOSITES, FEATURES_SQL, NAMES, features, in_sql
+from vellum.session import Scratch
 
 DEV = "split = 'dev'"
 USED = sorted({c for terms in COMPOSITES.values() for c in terms})
@@ -55,7 +58,8 @@ gated AS (SELECT *, finite AND n_unique > 1 AND coalesce(sample_std, 0) > 1e-12
 
 
 def scored(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
-    return scoring.score(features(spark, sf_dir), COMPOSITES, DEV, **options)
+    # constants, bounds and scores each read the descriptors: they are computed from the texts once
+    return scoring.score(Scratch(spark, "features").keep(features(spark, sf_dir)), COMPOSITES, DEV, **options)
 
 
 def composite_score_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -138,9 +142,12 @@ def score_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def determinism_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The largest difference between two scorings of the same rows."""
-    a = scored(spark, sf_dir).select("doc_id", *METRICS)
-    b = scored(spark, sf_dir).select("doc_id", *[F.col(m).alias(f"{m}_2") for m in METRICS])
+    """Do two runs over the same rows, partitioned and ordered differently, agree to 1e-9?"""
+    scratch = Scratch(spark, "twice")
+    a = scratch.keep(scored(spark, sf_dir).select("doc_id", *METRICS))
+    # a run of its own over rows in another order and other partitions, so that sums add up in another order
+    other = features(spark, sf_dir).repartition(7, F.xxhash64("doc_id", F.lit(3))).sortWithinPartitions(F.desc("h"))
+    b = scratch.keep(scoring.score(other, COMPOSITES, DEV).select("doc_id", *[F.col(m).alias(f"{m}_2") for m in METRICS]))
     diff = F.greatest(*[F.coalesce(F.max(F.abs(F.col(m) - F.col(f"{m}_2"))), F.lit(0.0)) for m in METRICS])
     return a.join(b, "doc_id").agg(F.count(F.lit(1)).alias("n"), (diff < 1e-9).alias("identical"))
 
@@ -186,6 +193,52 @@ def objective_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "target_full", "target_dev")
 
 
+def formula_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's composites with the version of their formulas, as a release would carry it."""
+    spec = {"density": COMPOSITES["density"]}
+    out = scored(spark, sf_dir).withColumn("version", F.lit(scoring.formula_version(spec)))
+    return rounded(out.select("doc_id", "density", "version"), "density", places=4)
+
+
+def lenient_definition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The definition table of composites whose dead inputs are dropped."""
+    df = features(spark, sf_dir).where("n_letters is not null")
+    return scoring.fit_and_score(df, COMPOSITES, DEV, "lenient", strict=False)[1]
+
+
+def lenient_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean scores by split of composites whose dead inputs are dropped."""
+    df = features(spark, sf_dir).where("n_letters is not null")
+    out, _ = scoring.fit_and_score(df, COMPOSITES, DEV, "lenient", strict=False)
+    return out.groupBy("split", "version").agg(F.count(F.lit(1)).alias("n"), *[F.round(F.avg(m), 5).alias(m) for m in METRICS])
+
+
+def strict_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(metric, passes, failure): which composites strict scoring refuses, and the input it names."""
+    df = features(spark, sf_dir).where("n_letters is not null")
+    rows = []
+    for m, terms in COMPOSITES.items():
+        try:
+            health.assert_healthy(health.weighted_feature_health(df, {m: terms}, DEV))
+            rows.append((m, True, None))
+        except ValueError as e:
+            rows.append((m, False, ",".join(c for c in terms if f"{m}/{c}" in str(e))))
+    return spark.createDataFrame(rows, "metric string, passes boolean, failure string")
+
+
+def group_keep_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each group of descriptors alone, and all but it: mean and population deviation of Pearson's r with the length of the text over
+    three seeded subsets of four fifths; an undefined r counts as 0."""
+    df = scored(spark, sf_dir).where("n_letters is not null")
+    groups = sorted({g for _, g in COMPOSITES["density"].values()})
+    part = lambda keep: sum((w * F.col(f"{c}_z") for c, (w, h) in COMPOSITES["density"].items() if keep(h)), F.lit(0.0))
+    entries = [F.struct(F.lit(mode).alias("mode"), F.lit(g).alias("grp"), part(keep).alias("x")) for g in groups for mode, keep in (("keep", lambda h, g=g: h == g), ("drop", lambda h, g=g: h != g))]
+    seeds = F.filter(F.array(F.lit(42), F.lit(123), F.lit(456)), lambda s: hash_int(F.concat_ws(":", F.lit("ablation"), s, "doc_id")) % 5 < 4)
+    long = df.select("n_letters", F.explode(seeds).alias("seed"), F.array(*entries).alias("e")).select("n_letters", "seed", F.explode("e").alias("e")).select("n_letters", "seed", "e.*")
+    r = long.groupBy("mode", "grp", "seed").agg(F.coalesce(pearson_agg(F.col("x"), F.col("n_letters")), F.lit(0.0)).alias("r"))
+    return rounded(r.groupBy("mode", "grp").agg(F.avg("r").alias("mean_r"), F.stddev_pop("r").alias("std_r")), "mean_r", "std_r")
+
+
 def failure_case_register(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five highest and five lowest documents of each composite (lowest id on ties) and up to five that break a rule."""
     df = scored(spark, sf_dir).where("n_letters is not null")
@@ -259,6 +312,11 @@ QUERIES = {
     "failure_case_register": failure_case_register,
     "baseline_scores": baseline_scores,
     "pre_post_repair": pre_post_repair,
+    "formula_versions": formula_versions,
+    "lenient_definition": lenient_definition,
+    "lenient_scores": lenient_scores,
+    "strict_gate": strict_gate,
+    "group_keep_ablation": group_keep_ablation,
 }
 
 
@@ -280,7 +338,43 @@ _RHO_PARTS = [("none", _raw("density")), *[(g, _raw("density", g)) for g in sort
 _PHI = {"full": "", "dev": "WHERE split = 'dev'"}
 _FROZEN_RAW = " + ".join(f"({COMPOSITES['density'][c][0]}::DOUBLE) * coalesce(CASE WHEN {c} IS NOT NULL THEN least(greatest(({c} - {m}::DOUBLE) / {s}::DOUBLE, -4), 4) END, 0)" for c, (m, s) in FROZEN.items())
 
+_LIVE = {m: {c: t for c, t in terms.items() if c != "tilde_share"} for m, terms in COMPOSITES.items()}
+_DENSITY = json.dumps({"density": {c: list(t) for c, t in COMPOSITES["density"].items()}}, sort_keys=True)
+
+
+def _erf_sql(x: str) -> str:
+    """The error function by a series of positive terms."""
+    a = f"greatest(abs({x}), 1e-300)"
+    return f"(sign({x}) * least(1, list_sum(list_transform(range(0, 160), lambda k: exp((2 * k + 1) * ln({a}) - lgamma(k + 1.5) - least({a} * {a}, 700))))))"
+
+
+def _target_sql(name: str, where: str) -> str:
+    cols = ["n_words", "digit_share", "punct_share", "upper_share"]
+    z = {c: f"(({c} - avg({c}) {where} OVER ()) / CASE WHEN stddev_samp({c}) {where} OVER () > 0 THEN stddev_samp({c}) {where} OVER () ELSE 1 END)" for c in cols}
+    return f"{name} AS (SELECT doc_id, greatest(least(({z['n_words']} + 2.0 * {z['digit_share']} + {z['punct_share']} - {z['upper_share']}) / 4.0 / 1.4142135623730951, 9), -9) AS t FROM features)"
+
+
+def _keep_sql() -> str:
+    groups = sorted({g for _, g in COMPOSITES["density"].values()})
+    parts = []
+    for g in groups:
+        for mode in ("keep", "drop"):
+            raw = " + ".join(["0.0::DOUBLE", *(f"({w}::DOUBLE) * {c}_z" for c, (w, h) in COMPOSITES["density"].items() if (h == g) == (mode == "keep"))])
+            parts.append(f"SELECT doc_id, n_letters, '{mode}' AS mode, '{g}' AS grp, {raw} AS x FROM z WHERE n_letters IS NOT NULL")
+    keep = "('0x' || substr(md5('ablation:' || seed || ':' || doc_id), 1, 8))::BIGINT % 5 < 4"
+    return f"""WITH {FEATURES_SQL}, {FIT_SQL}, {_z_sql("zero")}, l AS ({" UNION ALL ".join(parts)}),
+      r AS (SELECT mode, grp, seed, CASE WHEN stddev_pop(x) > 0 THEN corr(x, n_letters) ELSE 0 END AS r FROM l CROSS JOIN (VALUES (42), (123), (456)) s(seed) WHERE {keep} GROUP BY 1, 2, 3)
+      SELECT mode, grp, round(avg(r), 6) AS mean_r, round(stddev_pop(r), 6) AS std_r FROM r GROUP BY 1, 2"""
+
+
+_ON_DEV = "FILTER (WHERE split = 'dev')"
 SQL = {
+    "objective_targets": f"WITH {_COMPLETE}, {_target_sql('f', '')}, {_target_sql('d', _ON_DEV)} SELECT doc_id, round(50.0 * (1 + {_erf_sql('f.t')}), 4) AS target_full, round(50.0 * (1 + {_erf_sql('d.t')}), 4) AS target_dev FROM f JOIN d USING (doc_id)",
+    "formula_versions": f"{SCORED} SELECT doc_id, round(density, 4) AS density, left(sha256('{_DENSITY}'), 16) AS version FROM scored",
+    "lenient_definition": " UNION ALL ".join(f"SELECT 'lenient' AS version, '{m}' AS metric, '{c}' AS feature, {w}::DOUBLE AS weight, {str(c != 'tilde_share').lower()} AS retained, {w if c != 'tilde_share' else 0.0}::DOUBLE AS effective_weight" for m, t in COMPOSITES.items() for c, (w, _) in t.items()),
+    "lenient_scores": f"{SCORED.replace('FROM documents)', 'FROM documents WHERE text IS NOT NULL)')} SELECT split, 'lenient' AS version, count(*) AS n, {in_sql(METRICS, 'round(avg(\"{c}\"), 5) AS \"{c}\"')} FROM scored GROUP BY split",
+    "strict_gate": f"WITH {_COMPLETE}, {HEALTH_SQL} SELECT metric, bool_and(responsive) AS passes, string_agg(feature, ',' ORDER BY feature) FILTER (WHERE NOT responsive) AS failure FROM spec JOIN gated USING (feature) GROUP BY metric",
+    "group_keep_ablation": _keep_sql(),
     "composite_score_by_lang": f"{SCORED} SELECT category, count(*) AS n, {in_sql(METRICS, 'round(avg(\"{c}\"), 6) AS mean_{c}')} FROM scored GROUP BY category",
     "zscore_keep_missing": _z_query("none"),
     "zscore_zero_fill": _z_query("zero"),

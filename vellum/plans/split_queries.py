@@ -56,9 +56,13 @@ def near_duplicate_components(spark: SparkSession, d: str) -> DataFrame:
     return dedup.components(near_duplicate_pairs(spark, d), Scratch(spark, "near"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_PAIRS}, v AS (SELECT v, row_number() OVER (ORDER BY v) AS k FROM (SELECT a AS v FROM p UNION SELECT b FROM p)),
+  w AS (SELECT v, k, coalesce(list(a) FILTER (WHERE a IS NOT NULL), []) AS below FROM v LEFT JOIN p ON b = v GROUP BY v, k),
+  r(k, anchors) AS (SELECT 0::BIGINT, []::BIGINT[] UNION ALL SELECT w.k, CASE WHEN list_has_any(below, anchors) THEN anchors ELSE list_append(anchors, v) END FROM r JOIN w ON w.k = r.k + 1),
+  s AS (SELECT unnest(anchors) AS anchor FROM (SELECT anchors FROM r ORDER BY k DESC LIMIT 1))
+  SELECT anchor AS v, anchor FROM s UNION ALL SELECT b, min(a) FROM p JOIN s ON a = anchor WHERE b NOT IN (SELECT anchor FROM s) GROUP BY b""")
 def near_duplicate_greedy(spark: SparkSession, d: str) -> DataFrame:
-    """Order-dependent grouping; tests hold it against the sequential pass."""
+    """Order-dependent grouping: the sequential pass in SQL, rounds here."""
     return dedup.greedy_groups(near_duplicate_pairs(spark, d), Scratch(spark, "greedy"))
 
 
