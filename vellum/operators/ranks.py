@@ -14,18 +14,26 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from vellum.functions.exprs import pearson_agg
-from vellum.session import Scratch
+from vellum.operators.skew import HEAVY_ROWS, HEAVY_SHARE
+from vellum.session import Scratch, rows_of
 
-BUCKETS = 64
+#: Buckets of values at least, and the rows for each of which there is one.
+BUCKETS, BUCKET_ROWS = 64, 100_000
+#: Distinct values whose ranks are broadcast to the rows: about 50 bytes each.
+BROADCAST_VALUES = 200_000
 
 
-def mid_ranks(df: DataFrame, value: str, *by: str, weight: str | None = None) -> DataFrame:
+def buckets_for(rows: int) -> int:
+    return max(BUCKETS, rows // BUCKET_ROWS)
+
+
+def mid_ranks(df: DataFrame, value: str, *by: str, weight: str | None = None, buckets: int = BUCKETS) -> DataFrame:
     """(by, value, n, rank): each distinct non-null value with its count and its average rank among the rows of ``by``.
 
     With ``weight``, a row stands for so many.
     """
     counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg((F.sum(weight) if weight else F.count(F.lit(1))).alias("n"))
-    cuts = counts.groupBy(*by).agg(F.percentile_approx(value, [i / BUCKETS for i in range(1, BUCKETS)], 1000).alias("_cuts"))
+    cuts = counts.groupBy(*by).agg(F.percentile_approx(value, [i / buckets for i in range(1, buckets)], max(1000, 20 * buckets)).alias("_cuts"))
     # without ``by`` it is one row; with it, a row for each group, which Spark broadcasts only if it is small
     cut = counts.join(cuts, list(by)) if by else counts.crossJoin(F.broadcast(cuts))
     dealt = cut.withColumn("_bucket", F.size(F.filter("_cuts", lambda c: c < F.col(value)))).drop("_cuts")
@@ -55,21 +63,41 @@ def spearman(df: DataFrame, x: str, y: str, *by: str, weight: str | None = None)
     rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*by, F.col(x).alias("_x"), F.col(y).alias("_y"), (F.col(weight) if weight else F.lit(1)).alias("_w"))
     # distinct pairs with their counts are all that the ranks and the sums need; written once, the input is computed once
     pairs = Scratch(df.sparkSession, "pairs").keep(rows.groupBy(*by, "_x", "_y").agg(F.sum("_w").alias("_n")).where("_n > 0"))
-    rx = mid_ranks(pairs, "_x", *by, weight="_n").select(*by, "_x", F.col("rank").alias("_rx"))
-    ry = mid_ranks(pairs, "_y", *by, weight="_n").select(*by, "_y", F.col("rank").alias("_ry"))
+    k = buckets_for(rows_of(pairs))
+    rx = mid_ranks(pairs, "_x", *by, weight="_n", buckets=k).select(*by, "_x", F.col("rank").alias("_rx"))
+    ry = mid_ranks(pairs, "_y", *by, weight="_n", buckets=k).select(*by, "_y", F.col("rank").alias("_ry"))
     joined = pairs.join(rx, [*by, "_x"]).join(ry, [*by, "_y"])
     return joined.groupBy(*by).agg(F.sum("_n").alias("n"), pearson_agg(F.col("_rx"), F.col("_ry"), F.col("_n")).alias("rho"))
 
 
 def rank_correlations(df: DataFrame, columns: list[str], *by: str) -> DataFrame:
-    """(by, a, b, rho) for all ordered pairs of ``columns`` over the rows where all of them are present."""
-    rows = Scratch(df.sparkSession, "ranks").keep(df.dropna(subset=columns).select(*by, F.monotonically_increasing_id().alias("_id"), *columns))
-    long = rows.select(*by, "_id", F.explode(F.array(*[F.struct(F.lit(c).alias("_c"), F.col(c).cast("double").alias("_v")) for c in columns])).alias("e")).select(*by, "_id", "e.*")
-    ranked = long.join(mid_ranks(long, "_v", *by, "_c").drop("n"), [*by, "_c", "_v"])
-    wide = ranked.groupBy(*by, "_id").pivot("_c", columns).agg(F.first("rank"))
-    rho = [pearson_agg(F.col(a), F.col(b)).alias(f"{a}|{b}") for i, a in enumerate(columns) for b in columns[i:]]
-    sums = wide.groupBy(*by).agg(*rho)
-    entries = [F.struct(F.lit(x).alias("a"), F.lit(y).alias("b"), F.col(f"`{a}|{b}`").alias("rho")) for i, a in enumerate(columns) for b in columns[i:] for x, y in {(a, b), (b, a)}]
+    """(by, a, b, rho) for all ordered pairs of ``columns`` over the rows where all of them are present.
+
+    Ranks belong to distinct values. If these are few, they are broadcast and no row is shuffled; else rows meet them by value,
+    those of values with a large share of the rows by a broadcast of at most HEAVY_SHARE of them for each column.
+    """
+    scratch = Scratch(df.sparkSession, "ranks")
+    rows = scratch.keep(df.dropna(subset=columns).select(*by, F.monotonically_increasing_id().alias("_id"), *columns))
+    cells = F.explode(F.array(*[F.struct(F.lit(c).alias("_c"), F.col(c).cast("double").alias("_v")) for c in columns])).alias("e")
+    long = rows.select(*by, "_id", cells).select(*by, "_id", "e.*")
+    keys = [*by, "_c", "_v"]
+    ranks = scratch.keep(mid_ranks(long, "_v", *by, "_c", buckets=buckets_for(rows_of(rows))))
+    if rows_of(ranks) <= BROADCAST_VALUES:
+        wide = rows
+        for i, c in enumerate(columns):
+            mine = ranks.where(F.col("_c") == c).select(*[F.col(b).alias(f"_by_{b}") for b in by], "_v", F.col("rank").alias(f"_r{i}"))
+            on = F.col(c).cast("double") == F.col("_v")
+            for b in by:
+                on = on & F.col(b).eqNullSafe(F.col(f"_by_{b}"))
+            wide = wide.join(F.broadcast(mine), on).drop("_v", *[f"_by_{b}" for b in by])
+    else:
+        least = max(HEAVY_ROWS, rows_of(rows) // HEAVY_SHARE)
+        heavy, light = F.broadcast(ranks.where(F.col("n") >= least).drop("n")), ranks.where(F.col("n") < least).drop("n")
+        met = long.join(heavy, keys).unionByName(long.join(heavy, keys, "left_anti").join(light, keys))
+        wide = met.groupBy(*by, "_id").pivot("_c", columns).agg(F.first("rank")).withColumnsRenamed({c: f"_r{i}" for i, c in enumerate(columns)})
+    at = [(i, j) for i in range(len(columns)) for j in range(i, len(columns))]
+    sums = wide.groupBy(*by).agg(*[pearson_agg(F.col(f"_r{i}"), F.col(f"_r{j}")).alias(f"_p{i}_{j}") for i, j in at])
+    entries = [F.struct(F.lit(columns[x]).alias("a"), F.lit(columns[y]).alias("b"), F.col(f"_p{i}_{j}").alias("rho")) for i, j in at for x, y in {(i, j), (j, i)}]
     return sums.select(*by, F.explode(F.array(*entries)).alias("e")).select(*by, "e.*")
 
 

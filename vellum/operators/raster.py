@@ -1,8 +1,10 @@
 """Descriptors and transforms of rasters: pure NumPy functions on uint8 arrays [height, width, 3] in blue, green, red order.
 
-They run inside Arrow batches (:func:`describe`), one process per task, never row by row through the JVM. Definitions are this
-engine's own where the usual ones need an image library: edges are gradient magnitudes above a threshold, saliency is the spectral
-residual of a 64 x 64 luminance, dominant colours are cells of a coarse colour cube.
+They run inside Arrow batches (:func:`describe`), one process per task, never row by row through the JVM. Colour, texture and the
+mirror symmetry follow the usual definitions of image libraries on 8-bit values: hue from 0 to 179, Sobel and Canny edges,
+co-occurrence of 64 grey levels, structural similarity in windows of 7 x 7. Two things differ: the five clusters of dominant
+colours start from fixed colours instead of random ones, and saliency is kept at 64 x 64. The projection fields and the
+fast profile are this engine's own.
 """
 
 from __future__ import annotations
@@ -33,12 +35,88 @@ def hsv(img: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def entropy(counts: np.ndarray) -> float:
-    """Shannon entropy in nats with 1e-10 added to each bin."""
-    p = counts.astype(float).ravel() + 1e-10
+    """Shannon entropy in nats with 1e-10 added to the share of each bin."""
+    p = counts.astype(float).ravel()
+    p = p / (p.sum() + 1e-10) + 1e-10
     p /= p.sum()
     return float(-(p * np.log(p)).sum())
 
 
+def hsv_bytes(img: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hue from 0 to 179 in steps of two degrees, saturation and value from 0 to 255."""
+    hue, sat, val = hsv(img)
+    return np.rint(hue * 180).astype(int) % 180, np.rint(sat * 255).astype(int), np.rint(val * 255).astype(int)
+
+
+def grey_bytes(img: np.ndarray) -> np.ndarray:
+    return np.rint(luminance(img) * 255).astype(int)
+
+
+def lightness(img: np.ndarray) -> np.ndarray:
+    """L* of the CIE Lab space, scaled to 255."""
+    x = img.astype(float) / 255.0
+    linear = np.where(x > 0.04045, ((x + 0.055) / 1.055) ** 2.4, x / 12.92)
+    y = 0.072169 * linear[..., 0] + 0.715160 * linear[..., 1] + 0.212671 * linear[..., 2]
+    return np.rint(np.where(y > 0.008856, 116 * np.cbrt(y) - 16, 903.3 * y) * 2.55)
+
+
+def sobel(grey: np.ndarray, border: str = "reflect") -> tuple[np.ndarray, np.ndarray]:
+    """Unscaled 3 x 3 derivatives along x and y."""
+    p = np.pad(grey.astype(float), 1, mode=border)
+    along = lambda q: (q[:-2] + 2 * q[1:-1] + q[2:])
+    smooth_y, smooth_x = along(p), along(p.T).T
+    return smooth_y[:, 2:] - smooth_y[:, :-2], smooth_x[2:] - smooth_x[:-2]
+
+
+def _shifted(x: np.ndarray, dy: int, dx: int) -> np.ndarray:
+    """``x`` seen from one step away, zeros beyond the border."""
+    p = np.pad(x, 1)
+    return p[1 + dy : 1 + dy + x.shape[0], 1 + dx : 1 + dx + x.shape[1]]
+
+
+def canny(grey: np.ndarray, low: float, high: float) -> np.ndarray:
+    """Edges: ridges of the gradient above ``low`` that are connected to one above ``high``."""
+    gx, gy = sobel(grey, "edge")
+    size, ax, ay = np.abs(gx) + np.abs(gy), np.abs(gx), np.abs(gy)
+    flat, steep = ay < ax * np.tan(np.pi / 8), ay > ax * np.tan(3 * np.pi / 8)
+    ridge = lambda dy, dx, strict: (size > _shifted(size, -dy, -dx)) & ((size > _shifted(size, dy, dx)) if strict else (size >= _shifted(size, dy, dx)))
+    slanted = np.where(gx * gy < 0, ridge(1, -1, True), ridge(1, 1, True))
+    keep = np.where(flat, ridge(0, 1, False), np.where(steep, ridge(1, 0, False), slanted)) & (size > low)
+    edges = keep & (size > high)
+    while True:
+        grown = edges.copy()
+        for dy in (-1, 0, 1):
+            for dx in (-1, 0, 1):
+                grown |= _shifted(edges, dy, dx)
+        grown &= keep
+        if (grown == edges).all():
+            return edges
+        edges = grown
+
+
+def box_means(x: np.ndarray, side: int, pad: tuple[int, int] | None) -> np.ndarray:
+    """Means of ``side`` x ``side`` windows; with ``pad``, of windows around each pixel, the border mirrored."""
+    if pad:
+        x = np.pad(x, (pad, pad), mode="reflect") if min(x.shape) > 1 else np.pad(x, (pad, pad), mode="edge")
+    total = np.pad(np.cumsum(np.cumsum(x.astype(float), 0), 1), ((1, 0), (1, 0)))
+    return (total[side:, side:] - total[:-side, side:] - total[side:, :-side] + total[:-side, :-side]) / side**2
+
+
+def mirror_similarity(grey: np.ndarray, side: int = 7) -> float:
+    """Mean structural similarity of a raster and its mirror image; one half if no window fits."""
+    if min(grey.shape) < side:
+        return 0.5
+    a, b = grey.astype(float), grey[:, ::-1].astype(float)
+    mean = lambda x: box_means(x, side, None)
+    n = side * side / (side * side - 1)
+    ma, mb = mean(a), mean(b)
+    va, vb, cov = n * (mean(a * a) - ma * ma), n * (mean(b * b) - mb * mb), n * (mean(a * b) - ma * mb)
+    c1, c2 = (0.01 * np.ptp(grey)) ** 2, (0.03 * np.ptp(grey)) ** 2
+    with np.errstate(divide="ignore", invalid="ignore"):
+        s = (2 * ma * mb + c1) * (2 * cov + c2) / ((ma**2 + mb**2 + c1) * (va + vb + c2))
+    return float(np.where(np.isfinite(s), s, 1.0).mean())  # a raster of one value is its own mirror
+
+
 def gradients(lum: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Magnitude and direction (radians modulo pi) of Sobel gradients; the border repeats."""
     p = np.pad(lum, 1, mode="edge")
@@ -72,56 +150,91 @@ def standardise_size(img: np.ndarray, side: int = 512) -> np.ndarray:
 # --- descriptors ------------------------------------------------------------------------------------------------------
 
 
+def dominant_colours(img: np.ndarray, k: int = 5, rounds: int = 20, least: float = 0.05) -> int:
+    """Clusters with more than ``least`` of the pixels after ``rounds`` of k-means over the distinct colours with their counts."""
+    packed, counts = np.unique(img.reshape(-1, 3).astype(np.int64) @ np.array([1 << 16, 1 << 8, 1]), return_counts=True)
+    colours = np.stack([packed >> 16, packed >> 8 & 255, packed & 255], 1).astype(float)
+    by_light = np.argsort(colours @ np.array([0.114, 0.587, 0.299]), kind="stable")
+    upto = np.cumsum(counts[by_light])
+    centres = colours[by_light[np.searchsorted(upto, (np.arange(k) + 0.5) / k * upto[-1])]]
+    for _ in range(rounds):
+        near = ((colours[:, None] - centres[None]) ** 2).sum(2).argmin(1)
+        held = np.bincount(near, counts, k)
+        moved = np.stack([np.bincount(near, counts * c, k) for c in colours.T], 1) / np.maximum(held, 1)[:, None]
+        moved[held == 0] = centres[held == 0]
+        if np.abs(moved - centres).max() < 1.0:
+            break
+        centres = moved
+    return int((held > least * counts.sum()).sum())
+
+
+def hue_distances(hue: np.ndarray, peaks: int) -> list[int]:
+    """Circular distances (of 180) between the most frequent bins of five, all pairs of ``peaks`` of them."""
+    top = np.argsort(np.bincount(hue.ravel() // 5, minlength=36), kind="stable")[-peaks:] * 5
+    apart = [abs(int(a) - int(b)) for i, a in enumerate(top) for b in top[i + 1 :]]
+    return [min(d, 180 - d) for d in apart]
+
+
+#: Hue distances that count as harmonic.
+HARMONIC = (0, 30, 60, 120, 180)
+
+
 def colour_features(img: np.ndarray) -> dict[str, float]:
-    hue, sat, val = hsv(img)
-    lum = luminance(img)
-    cells = np.bincount((img.astype(int) // 64 @ np.array([1, 4, 16])).ravel(), minlength=64)
-    joint = np.histogramdd(np.stack([hue.ravel(), sat.ravel(), val.ravel()], 1), bins=(12, 8, 8), range=((0, 1), (0, 1), (0, 1)))[0]
-    angle = hue * 2 * np.pi
-    weight = sat * val
-    spread = 1 - np.hypot((weight * np.cos(angle)).sum(), (weight * np.sin(angle)).sum()) / weight.sum() if weight.sum() > 0 else 0.0
-    warm = (hue < 1 / 6) | (hue > 5 / 6)
+    hue, sat, val = hsv_bytes(img)
+    joint = np.histogramdd(np.stack([hue.ravel(), sat.ravel(), val.ravel()], 1), bins=(12, 8, 8), range=((0, 180), (0, 256), (0, 256)))[0]
+    pair = hue_distances(hue, 2)[0]
     return {
-        "num_dominant_colors": float((cells >= 0.05 * cells.sum()).sum()), "color_entropy": entropy(joint), "hue_mean": float(hue.mean()), "saturation_mean": float(sat.mean()),
-        "saturation_std": float(sat.std()), "value_mean": float(val.mean()), "value_std": float(val.std()), "lightness_contrast": float(lum.std()), "hue_contrast": float(spread),
-        "warm_color_ratio": float((warm & (sat > 0.1)).mean()), "color_harmony": float(1 - spread),
+        "num_dominant_colors": float(dominant_colours(img)), "color_entropy": entropy(joint), "hue_mean": float(hue.mean()), "saturation_mean": float(sat.mean()),
+        "saturation_std": float(sat.std()), "value_mean": float(val.mean()), "value_std": float(val.std()), "lightness_contrast": float(lightness(img).std()),
+        "hue_contrast": float(np.mean(hue_distances(hue, 3)) / 90), "warm_color_ratio": float(((hue <= 30) | (hue >= 150)).mean()), "color_harmony": float(1 - min(abs(pair - a) for a in HARMONIC) / 90),
     }
 
 
-def texture_features(img: np.ndarray, levels: int = 8) -> dict[str, float]:
-    lum = luminance(img)
-    size, direction = gradients(lum)
-    edges = size > EDGE
-    grey = np.minimum((lum * levels).astype(int), levels - 1)
-    pairs = np.zeros((levels, levels))
-    np.add.at(pairs, (grey[:, :-1].ravel(), grey[:, 1:].ravel()), 1)
-    pairs = (pairs + pairs.T) / max(1.0, 2.0 * grey[:, 1:].size)
-    i, j = np.indices(pairs.shape)
-    mean = (i * pairs).sum()
-    var = ((i - mean) ** 2 * pairs).sum()
+def cooccurrence(grey: np.ndarray, dy: int, dx: int, levels: int) -> np.ndarray:
+    """Symmetric shares of the pairs of levels that lie (dy, dx) apart."""
+    h, w = grey.shape
+    a = grey[: h - dy, max(0, -dx) : w - max(0, dx)]
+    b = grey[dy:, max(0, dx) : w - max(0, -dx)]
+    pairs = np.bincount((a * levels + b).ravel(), minlength=levels * levels).reshape(levels, levels).astype(float)
+    pairs += pairs.T
+    return pairs / max(pairs.sum(), 1.0)
+
+
+def texture_features(img: np.ndarray, levels: int = 64) -> dict[str, float]:
+    grey = grey_bytes(img)
+    gx, gy = sobel(grey)
+    size, direction = np.hypot(gx, gy), np.arctan2(gy, gx)
+    strong = size > np.percentile(size, 70)
+    i, j = np.indices((levels, levels))
+    found = []
+    for dy, dx in ((0, 1), (1, 1), (1, 0), (1, -1)):
+        p = cooccurrence(grey // (256 // levels), dy, dx, levels)
+        mean = (i * p).sum()
+        var = ((i - mean) ** 2 * p).sum()
+        found.append((((i - j) ** 2 * p).sum(), np.sqrt((p**2).sum()), (p / (1 + (i - j) ** 2)).sum(), ((i - mean) * (j - mean) * p).sum() / var if var > 1e-15 else 1.0))
+    contrast, energy, homogeneity, correlation = np.mean(found, 0)
     return {
-        "edge_density": float(edges.mean()), "edge_orientation_entropy": entropy(np.histogram(direction[edges], bins=8, range=(0, np.pi))[0]), "glcm_contrast": float(((i - j) ** 2 * pairs).sum()),
-        "glcm_homogeneity": float((pairs / (1 + (i - j) ** 2)).sum()), "glcm_energy": float((pairs**2).sum()), "glcm_correlation": float(((i - mean) * (j - mean) * pairs).sum() / var) if var > 0 else 0.0,
-        "grey_mean": float(lum.mean()), "grey_std": float(lum.std()), "grey_entropy": entropy(np.histogram(lum, bins=32, range=(0, 1))[0]), "gradient_energy": float((size**2).mean()),
+        "edge_density": float(canny(grey, 50, 150).mean()), "edge_orientation_entropy": entropy(np.histogram(direction[strong], bins=8, range=(-np.pi, np.pi))[0]) if strong.any() else 0.0,
+        "glcm_contrast": float(contrast), "glcm_energy": float(energy), "glcm_homogeneity": float(homogeneity), "glcm_correlation": float(correlation),
+        "gray_mean": float(grey.mean()), "gray_std": float(grey.std()), "gray_entropy": entropy(np.bincount(grey.ravel(), minlength=256)), "gradient_energy": float(size.mean()),
     }
 
 
 def composition_features(img: np.ndarray) -> dict[str, float]:
-    lum = luminance(img)
-    size, _ = gradients(lum)
-    h, w = lum.shape
-    mirrored = lum[:, ::-1]
-    cov = ((lum - lum.mean()) * (mirrored - mirrored.mean())).mean()
-    c1, c2 = 0.01**2, 0.03**2
-    ssim = (2 * lum.mean() * mirrored.mean() + c1) * (2 * cov + c2) / ((lum.mean() ** 2 + mirrored.mean() ** 2 + c1) * (lum.var() + mirrored.var() + c2))
-    total = size.sum()
-    ys, xs = np.indices(lum.shape)
-    cy, cx = ((ys * size).sum() / total / max(h - 1, 1), (xs * size).sum() / total / max(w - 1, 1)) if total > 0 else (0.5, 0.5)
-    thirds = min(np.hypot(cy - a, cx - b) for a in (1 / 3, 2 / 3) for b in (1 / 3, 2 / 3))
-    diagonal = np.abs(ys / max(h - 1, 1) - xs / max(w - 1, 1)) < 0.1
+    grey = grey_bytes(img)
+    h, w = grey.shape
+    salient = saliency_map(img)
+    total, side = salient.sum(), len(salient)
+    ys, xs = np.indices(salient.shape)
+    cy, cx = ((ys * salient).sum() / total * h / side, (xs * salient).sum() / total * w / side) if total > 0 else (h / 2, w / 2)
+    thirds = min(np.hypot(cy - h * a / 3, cx - w * b / 3) for a in (1, 2) for b in (1, 2))
+    busy = box_means(255.0 * canny(grey, 30, 100), 32, (16, 15))
+    size = np.hypot(*sobel(grey))
+    y, x = np.indices(grey.shape)
+    along = np.abs(y / max(h - 1, 1) - x / max(w - 1, 1)) < 0.1
     return {
-        "symmetry": float(ssim), "rule_of_thirds": float(1 - thirds), "offset_x": float(cx - 0.5), "offset_y": float(cy - 0.5), "whitespace_ratio": float(((size < 0.02) & (lum > 0.8)).mean()),
-        "fg_bg_ratio": float((size > 0.02).mean()), "diagonal_energy": float(size[diagonal].sum() / total) if total > 0 else 0.0,
+        "symmetry": mirror_similarity(grey), "rule_of_thirds": float(1 - thirds / np.hypot(h, w)), "center_offset_x": float((cx - w / 2) / (w / 2)), "center_offset_y": float((cy - h / 2) / (h / 2)),
+        "whitespace_ratio": float((busy < 0.02).mean()), "fg_bg_ratio": float((salient > salient.mean()).mean()), "diagonal_energy": float(size[along].sum() / size.sum()) if size.sum() > 0 else 0.0,
     }
 
 
@@ -301,7 +414,7 @@ SENSITIVITY: dict[str, tuple[Callable, dict[str, int]]] = {
     "add_shapes": (lambda i, s: add_shapes(i, 4 * s), {"edge_density": 1}), "sharpen": (lambda i, s: sharpen(i, 0.5 * s), {"gradient_energy": 1}),
     "desaturate": (lambda i, s: saturate(i, 1 - 0.3 * s), {"saturation_mean": -1}), "saturate": (lambda i, s: saturate(i, 1 + 0.3 * s), {"saturation_mean": 1}),
     "add_text_bars": (lambda i, s: add_bars(i, 3 * s), {"edge_density": 1}), "reduce_symmetry": (lambda i, s: break_symmetry(i, 0.2 * s), {"symmetry": -1}),
-    "add_colour_noise": (lambda i, s: add_noise(i, 0.05 * s), {"color_harmony": -1}), "reduce_whitespace": (lambda i, s: fill_blank(i, 0.1 * s), {"whitespace_ratio": -1}),
+    "add_colour_noise": (lambda i, s: add_noise(i, 0.05 * s), {"color_entropy": 1}), "reduce_whitespace": (lambda i, s: fill_blank(i, 0.1 * s), {"whitespace_ratio": -1}),
 }
 
 

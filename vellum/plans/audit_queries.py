@@ -125,6 +125,18 @@ def image_sensitivity(spark: SparkSession, d: str) -> DataFrame:
     return long.join(F.broadcast(expected), ["manipulation", "feature"]).groupBy("manipulation", "feature", "severity").agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("delta") * F.col("sign") > 0).cast("int")).alias("success_rate"), F.avg("delta").alias("mean_delta"))
 
 
+@query()
+def perceptual_hashes(spark: SparkSession, d: str) -> DataFrame:
+    """(vec_id, low, high): the 64 bits of the cosine hash of every raster at its standard size, as two halves of 32."""
+
+    def halves(img):
+        bits = raster.perceptual_hash(raster.standardise_size(img, 64))
+        return {k: float(sum(int(b) << i for i, b in enumerate(part))) for k, part in (("low", bits[:32]), ("high", bits[32:]))}
+
+    out = raster.describe(_rasters(spark, d), "vec_id", halves)
+    return out.select("vec_id", F.col("low").cast("bigint").alias("low"), F.col("high").cast("bigint").alias("high"))
+
+
 @query("SELECT vec_id, array_to_string(list_transform(embedding, lambda x: (x::DOUBLE > list_avg(embedding::DOUBLE[]))::INT), '') AS bits FROM embeddings")
 def average_hash(spark: SparkSession, d: str) -> DataFrame:
     """64 bits of an 8 x 8 raster: is a cell above the mean? All in the JVM."""
