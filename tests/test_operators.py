@@ -181,14 +181,18 @@ def test_hamming_pairs_up_to_the_radius(spark):
     assert got == want  # the complement, 256 bits away, is no neighbour
 
 
-def test_components_and_greedy_groups_differ_on_a_chain(spark):
+@pytest.mark.parametrize("local", [500_000, 0])
+def test_components_and_greedy_groups_differ_on_a_chain(spark, monkeypatch, local):
+    monkeypatch.setattr(dedup, "LOCAL_LINKS", local)
     edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("x", "y"), ("q", "q")], "a string, b string")
     assert values(dedup.components(edges, Scratch(spark, "t")), "v", "label") == [("a", "a"), ("b", "a"), ("c", "a"), ("x", "x"), ("y", "x")]
     assert values(dedup.greedy_groups(edges, Scratch(spark, "t")), "v", "anchor") == [("a", "a"), ("b", "a"), ("c", "c"), ("x", "x"), ("y", "x")]
     assert dedup.components(edges.where("false"), Scratch(spark, "t")).count() == 0
 
 
-def test_greedy_groups_match_the_sequential_pass(spark):
+@pytest.mark.parametrize("local", [500_000, 0])
+def test_greedy_groups_match_the_sequential_pass(spark, monkeypatch, local):
+    monkeypatch.setattr(dedup, "LOCAL_LINKS", local)
     rng = np.random.default_rng(3)
     pairs = {tuple(sorted(map(int, p))) for p in rng.integers(0, 60, (90, 2)) if p[0] != p[1]}
     near = {}
@@ -374,3 +378,23 @@ def test_permuted_targets_lose_the_relation(spark):
     products = models.permuted_products(fit, "k", [F.col("x")], "y", 5)
     total = fit.agg(F.sum("y")).first()[0]
     assert np.allclose(products[:, 0], total) and len(set(np.round(products[:, 1], 6))) == 5  # the same values, dealt otherwise
+
+
+@pytest.mark.parametrize("few", [True, False])
+def test_rank_correlations_of_both_ways(spark, monkeypatch, few):
+    """Ranks that are broadcast, and ranks that are joined by value with heavy values apart, are the same."""
+    monkeypatch.setattr(ranks, "BROADCAST_VALUES", 10_000 if few else 0)
+    monkeypatch.setattr(ranks, "HEAVY_ROWS", 20)
+    rng = np.random.default_rng(8)
+    rows = [("u" if i % 3 else None, float(rng.integers(0, 30)), 0.0 if rng.random() < 0.5 else float(rng.normal()), float(rng.normal())) for i in range(300)]
+    df = spark.createDataFrame([*rows, ("u", None, 1.0, 1.0)], "g string, a double, b double, c double")
+    got = {(r["g"], r["a"], r["b"]): r["rho"] for r in ranks.rank_correlations(df, ["a", "b", "c"], "g").collect()}
+    rank = lambda v: np.array([np.sum(v < x) + (np.sum(v == x) + 1) / 2 for x in v])
+    for g in ("u", None):
+        part = np.array([r[1:] for r in rows if r[0] == g])
+        want = np.corrcoef([rank(part[:, k]) for k in range(3)])
+        for i, a in enumerate("abc"):
+            for j, b in enumerate("abc"):
+                if (g, a, b) in got:
+                    assert math.isclose(got[g, a, b], want[i, j], abs_tol=1e-9)
+    assert ("u", "a", "b") in got and len([k for k in got if k[0] == "u"]) == 9

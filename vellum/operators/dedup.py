@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from vellum.operators.order import hashed_rank
-from vellum.session import Scratch
+from vellum.operators.skew import HEAVY_ROWS, HEAVY_SHARE, heavy_keys, join_on_unique
+from vellum.session import Scratch, rows_of
+
+#: Links that one task settles.
+LOCAL_LINKS = 500_000
 
 
 def pack_bits(flags: Column) -> Column:
@@ -42,20 +50,25 @@ def _blocks(words: list[str], radius: int) -> Column:
 def near_pairs(df: DataFrame, key: str, words: list[str], radius: int, probe: str | None = None) -> DataFrame:
     """(a, b, distance) of all pairs a < b within ``radius``; with ``probe`` (a condition), pairs of which one side at least meets it.
 
-    Candidates agree in a block, an equi-join; no pair is missed. NULL words take no part.
+    Candidates agree in a block, an equi-join; no pair is missed. Probes alone are one side of it. NULL words take no part.
     """
-    rows = df.dropna(subset=[key, *words]).select(key, *words, F.expr(probe or "true").alias("_p"), F.explode(_blocks(words, radius)).alias("e")).select(key, *words, "_p", "e.*")
-    a = rows.select(F.col(key).alias("a"), *[F.col(w).alias(f"_a{w}") for w in words], F.col("_p").alias("_pa"), "block", "value")
-    b = rows.select(F.col(key).alias("b"), *[F.col(w).alias(f"_b{w}") for w in words], F.col("_p").alias("_pb"), "block", "value")
+    rows = df.dropna(subset=[key, *words]).select(key, *words, F.expr(probe or "true").alias("_p"))
+    blocks = lambda r: r.select(key, *words, F.explode(_blocks(words, radius)).alias("e")).select(key, *words, "e.*")
+    a = blocks(rows.where("_p")).select(F.col(key).alias("a"), *[F.col(w).alias(f"_a{w}") for w in words], "block", "value")
+    b = blocks(rows).select(F.col(key).alias("b"), *[F.col(w).alias(f"_b{w}") for w in words], "block", "value")
     dist = hamming([F.col(f"_a{w}") for w in words], [F.col(f"_b{w}") for w in words])
-    met = a.join(b, ["block", "value"]).where((F.col("a") < F.col("b")) & (F.col("_pa") | F.col("_pb")))
-    return met.withColumn("distance", dist).where(F.col("distance") <= radius).select("a", "b", "distance").distinct()
+    met = a.join(b, ["block", "value"]).where(F.col("a") != F.col("b") if probe else F.col("a") < F.col("b"))
+    near = met.withColumn("distance", dist).where(F.col("distance") <= radius)
+    return near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "distance").distinct()
 
 
 def exact_groups(df: DataFrame, key: str, digest: str) -> DataFrame:
     """(key, group_key, n) of rows whose digest occurs more than once; the group is named by its least key. No list is gathered."""
     counts = df.where(F.col(digest).isNotNull()).groupBy(digest).agg(F.min(key).alias("group_key"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    return df.join(counts, digest).select(key, "group_key", "n")
+    counts = Scratch(df.sparkSession, "digests").keep(counts)
+    # digests of very many rows meet a broadcast: of those with HEAVY_ROWS and more the HEAVY_SHARE largest
+    heavy = [r[0] for r in counts.where(F.col("n") >= HEAVY_ROWS).orderBy(F.desc("n")).limit(HEAVY_SHARE).select(digest).collect()]
+    return join_on_unique(df.select(key, digest), counts, digest, "inner", heavy).select(key, "group_key", "n")
 
 
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
@@ -66,27 +79,55 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         parent = scratch.keep(both.groupBy("a").agg(F.min("b").alias("p")).select(F.col("a").alias("v"), F.least("a", "p").alias("to")))
         maps.append(parent)
-        moved = edges.join(parent.select(F.col("v").alias("a"), F.col("to").alias("x")), "a").join(parent.select(F.col("v").alias("b"), F.col("to").alias("y")), "b")
+        moved = edges
+        for end, to in (("a", "x"), ("b", "y")):
+            moved = join_on_unique(moved, parent.select(F.col("v").alias(end), F.col("to").alias(to)), end, "inner", heavy_keys(edges, end, rows_of(edges)))
         edges = scratch.keep(moved.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where("a != b").distinct())
     labels = first.select(F.col("a").alias("v")).union(first.select(F.col("b"))).distinct().withColumn("label", F.col("v"))
     for parent in maps:
-        labels = labels.join(parent.select(F.col("v").alias("label"), "to"), "label", "left").select("v", F.coalesce("to", "label").alias("label"))
+        labels = scratch.keep(labels)
+        found = join_on_unique(labels, parent.select(F.col("v").alias("label"), "to"), "label", "left", heavy_keys(labels, "label", rows_of(labels)))
+        labels = found.select("v", F.coalesce("to", "label").alias("label"))
     labels = scratch.keep(labels)
     while True:  # a hooked vertex may point to one hooked in the same round
-        step = labels.join(labels.select(F.col("v").alias("label"), F.col("label").alias("up")), "label", "left")
+        up = labels.select(F.col("v").alias("label"), F.col("label").alias("up"))
+        step = join_on_unique(labels, up, "label", "left", heavy_keys(labels, "label", rows_of(labels)))
         step = scratch.keep(step.select("v", F.coalesce("up", "label").alias("label"), (F.coalesce("up", "label") != F.col("label")).alias("moved")))
         labels = step.drop("moved")
+        labels._vellum_rows = step._vellum_rows
         if step.where("moved").isEmpty():
             return labels
 
 
+def _sequential_pass(edges: DataFrame):
+    """Reads links in order of their larger end, then the smaller: when a vertex comes up, all smaller ones are settled."""
+    kind = to_arrow_type(edges.schema["a"].dataType)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of: dict = {}  # claimed vertex -> its anchor; any other vertex is an anchor
+        seen: set = set()
+        for batch in batches:
+            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                seen.update((a, b))
+                if b not in of and a not in of:
+                    of[b] = a
+        vertices = sorted(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(vertices, kind), pa.array([of.get(v, v) for v in vertices], kind)], ["v", "anchor"])
+
+    return run
+
+
 def greedy_groups(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(v, anchor): what a pass in key order gives in which each unclaimed vertex claims its unclaimed neighbours.
 
-    A vertex is an anchor unless a smaller neighbour is one; that set is settled in rounds, all vertices whose smaller
-    neighbours are settled at once. Members go to their least anchor. Unlike components this isn't transitive.
+    A vertex is an anchor unless a smaller neighbour is one, so the result hangs on the order of the keys. Up to LOCAL_LINKS links
+    one task makes that pass. Beyond, the set is settled in rounds, all vertices whose smaller neighbours are settled at once:
+    as many as the longest ascending chain of links has vertices, which are few where links join copies.
+    Members go to their least anchor. Unlike components this isn't transitive.
     """
     edges = scratch.keep(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a != b").distinct())
+    if rows_of(edges) <= LOCAL_LINKS:
+        return scratch.keep(edges.coalesce(1).sortWithinPartitions("b", "a").mapInArrow(_sequential_pass(edges), f"v {edges.schema['a'].dataType.simpleString()}, anchor {edges.schema['a'].dataType.simpleString()}"))
     state = scratch.keep(edges.select(F.col("a").alias("v")).union(edges.select("b")).distinct().withColumn("anchor", F.lit(None).cast("boolean")))
     while not state.where("anchor is null").isEmpty():
         below = edges.join(state.select(F.col("v").alias("a"), F.col("anchor").alias("_s")), "a").groupBy(F.col("b").alias("v")).agg(F.bool_or(F.coalesce("_s", F.lit(False))).alias("_hit"), F.count_if(F.col("_s").isNull()).alias("_open"))
