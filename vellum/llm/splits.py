@@ -164,7 +164,7 @@ def grouped_splits(rows: DataFrame, scratch: Scratch, shares: dict[str, float] |
     grouped = join_on_unique(items, labels, "grp", "left", heavy).select("item", F.concat(F.lit("group:"), F.coalesce("label", "grp")).alias("unit"))
     all_items = scratch.keep(weights.join(grouped, "item", "left").select("item", "rows", F.coalesce("unit", F.concat(F.lit("item:"), "item")).alias("unit")))
     units = scratch.keep(assign_units(all_items.groupBy("unit").agg(F.sum("rows").alias("rows")), scratch, shares, seed))
-    hot = heavy_keys(all_items, "unit", all_rows_of(items))
+    hot = heavy_keys(all_items, "unit", rows_of(all_items))
     return join_on_unique(all_items, units, "unit", "left", hot).select("item", "unit", "split", "rows")
 
 
