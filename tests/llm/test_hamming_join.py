@@ -131,7 +131,7 @@ def test_minwise_hash_is_the_first_shingle_of_the_order():
     order = minwise.shingle_order(4, 2)
     assert sorted(order.tolist()) == list(range(128))
     rank = {int(s): i for i, s in enumerate(order)}
-    assert minwise.minwise(bits, order).tolist() == [min(rank[2 * p + (int(b) >> p & 1)] for p in range(64)) for b in bits]
+    assert minwise.minwise(minwise.quarters(bits), order).tolist() == [min(rank[2 * p + (int(b) >> p & 1)] for p in range(64)) for b in bits]
 
 
 def test_minwise_hashes_agree_as_often_as_sets_are_similar():
@@ -139,7 +139,7 @@ def test_minwise_hashes_agree_as_often_as_sets_are_similar():
     a = rng.integers(0, 1 << 63, 20, dtype=np.uint64)
     for d in (2, 8, 20):
         b = a ^ np.array([sum(1 << int(k) for k in rng.choice(64, d, replace=False)) for _ in a], np.uint64)
-        equal = np.mean([minwise.minwise(a, o) == minwise.minwise(b, o) for o in (minwise.shingle_order(9, k) for k in range(300))])
+        equal = np.mean([minwise.minwise(minwise.quarters(a), o) == minwise.minwise(minwise.quarters(b), o) for o in (minwise.shingle_order(9, k) for k in range(300))])
         assert abs(equal - (64 - d) / (64 + d)) < 0.03
 
 
@@ -156,7 +156,7 @@ def test_buckets_are_dealt_evenly(n, parts):
     bits = np.random.default_rng(1).integers(0, 1 << 64, 20_000, dtype=np.uint64)
     load, lanes, largest = np.zeros(parts), minwise.bucket_lanes(plan, parts), 0
     for band, (known, dealt) in enumerate(lanes):
-        key = minwise.band_key(bits, band, 0, plan.first)
+        key = minwise.band_key(minwise.quarters(bits), band, 0, plan.first)
         hit = np.isin(key, known)
         np.add.at(load, dealt[np.searchsorted(known, key[hit])], 1)
         load += (~hit).sum() / parts

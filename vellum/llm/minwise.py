@@ -70,25 +70,34 @@ def shingle_order(band: int, k: int) -> np.ndarray:
     return np.random.default_rng([band, k]).permutation(128)
 
 
-def minwise(bits: np.ndarray, order: np.ndarray) -> np.ndarray:
-    """Place in ``order`` of the first shingle that each hash has. Half of the hashes are settled by each shingle."""
-    out = np.zeros(len(bits), np.uint64)
-    rest, left = np.arange(len(bits)), bits
-    for place, shingle in enumerate(order.tolist()):
-        has = (left >> np.uint64(shingle >> 1)) & np.uint64(1) == np.uint64(shingle & 1)
-        out[rest[has]] = place
-        rest = rest[~has]
-        if not len(rest):
-            break
-        left = bits[rest]
+def quarters(bits: np.ndarray) -> np.ndarray:
+    """The hashes in four rows of 16 bits each, the lowest first."""
+    return np.ascontiguousarray(np.stack([bits >> np.uint64(16 * q) & np.uint64(0xFFFF) for q in range(4)]).astype(np.uint16))
+
+
+def minwise(parts: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """Place in ``order`` of the first shingle that each hash has, from the :func:`quarters` of the hashes.
+
+    Each quarter looks its own first shingle up in a table of 2^16 entries, which two tables of 2^8 make in one step.
+    """
+    place = np.empty(128, np.uint8)
+    place[order] = np.arange(128)
+    byte = np.arange(256)
+    # first place among the 8 positions of each byte, for each value that it may have
+    by_byte = np.stack([np.minimum.reduce([place[2 * (8 * k + i) + (byte >> i & 1)] for i in range(8)]) for k in range(8)])
+    out = None
+    for q in range(4):
+        found = np.minimum.outer(by_byte[2 * q + 1], by_byte[2 * q]).ravel()[parts[q]]
+        out = found if out is None else np.minimum(out, found, out=out)
     return out
 
 
-def band_key(bits: np.ndarray, band: int, at: int, size: int) -> np.ndarray:
+def band_key(parts: np.ndarray, band: int, at: int, size: int) -> np.ndarray:
     """``size`` minwise hashes of a band, from the ``at``-th on, as one number; seven bits each, mixed beyond nine."""
-    key = np.zeros(len(bits), np.uint64)
+    key = np.zeros(parts.shape[1], np.uint64)
     for k in range(at, at + size):
-        key = key * np.uint64(128) + minwise(bits, shingle_order(band, k)) if size <= 9 else (key ^ minwise(bits, shingle_order(band, k)) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+        found = minwise(parts, shingle_order(band, k)).astype(np.uint64)
+        key = key * np.uint64(128) + found if size <= 9 else (key ^ found + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
     return key
 
 
@@ -97,9 +106,9 @@ def bucket_lanes(plan: Bands, parts: int) -> list[tuple[np.ndarray, np.ndarray]]
     first, each to the emptiest. How large they are is read off random bits; buckets of less than an eighth of a partition are
     left to chance."""
     bits = np.random.default_rng(0).integers(0, 1 << 64, 1 << 14, dtype=np.uint64)
-    large = []
+    sampled, large = quarters(bits), []
     for band in range(plan.buckets):
-        keys, counts = np.unique(band_key(bits, band, 0, plan.first), return_counts=True)
+        keys, counts = np.unique(band_key(sampled, band, 0, plan.first), return_counts=True)
         share = counts / len(bits)
         large += [(p, band, k) for p, k in zip(share.tolist(), keys.tolist(), strict=True) if p >= max(plan.buckets / parts / 8, 8 / len(bits))]
     load = [(0.0, i) for i in range(parts)]
@@ -145,7 +154,7 @@ def minwise_pairs(hashes: DataFrame, radius: int = 8, n: int | None = None, band
 
     def buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bits = batch.column(0).to_numpy().view(np.uint64)
+            bits = quarters(batch.column(0).to_numpy().view(np.uint64))
             for band in range(plan.buckets):
                 key = band_key(bits, band, 0, plan.first)
                 lane = ((key * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % np.uint64(parts)).astype(np.int32)
@@ -153,7 +162,7 @@ def minwise_pairs(hashes: DataFrame, radius: int = 8, n: int | None = None, band
                 if len(known):
                     at = np.minimum(np.searchsorted(known, key), len(known) - 1)
                     lane = np.where(known[at] == key, dealt[at], lane)
-                yield pa.RecordBatch.from_arrays([pa.array(lane), pa.array(np.full(len(bits), band, np.int32)), pa.array(key.view(np.int64)), batch.column(0), batch.column(1)], ["lane", "band", "bucket", "bits", "side"])
+                yield pa.RecordBatch.from_arrays([pa.array(lane), pa.array(np.full(batch.num_rows, band, np.int32)), pa.array(key.view(np.int64)), batch.column(0), batch.column(1)], ["lane", "band", "bucket", "bits", "side"])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept = list(batches)
@@ -165,9 +174,9 @@ def minwise_pairs(hashes: DataFrame, radius: int = 8, n: int | None = None, band
         for b in np.unique(band).tolist():
             mine = band == b
             x, s, k = bits[mine], side[mine], bucket[mine]
-            found = []
+            found, sets = [], quarters(x)
             for inner in range(plan.inner):
-                key = band_key(x, b, plan.first + inner * plan.second, plan.second)
+                key = band_key(sets, b, plan.first + inner * plan.second, plan.second)
                 key = (key ^ (k * np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xD6E8FEB86659FD93)  # as good as one number: a clash costs a look
                 found += [np.stack([np.minimum(u.view(np.int64), v.view(np.int64)), np.maximum(u.view(np.int64), v.view(np.int64))], 1) for u, v in _candidates(key, x, s, radius)]
             if found:

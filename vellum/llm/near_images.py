@@ -153,9 +153,9 @@ def overlap_report(listings: DataFrame, splits: DataFrame, scratch: Scratch, rad
     n = F.count(F.lit(1))
     totals = lambda df, *keys: df.groupBy(*keys).agg(n.alias("n"))
     t, e = F.col("bits").alias("t"), F.col("bits").alias("e")
-    near = verified.join(totals(train.select(t), "t"), "t").join(totals(evaluated.select(e, *by), "e", *by).withColumnRenamed("n", "m"), "e")
+    near = scratch.keep(verified.join(totals(train.select(t), "t"), "t").join(totals(evaluated.select(e, *by), "e", *by).withColumnRenamed("n", "m"), "e"))
     per_sha = totals(train.where("sha is not null").select("sha", t), "sha", "t"), totals(evaluated.where("sha is not null").select("sha", e, *by), "sha", "e", *by).withColumnRenamed("n", "m")
-    same = per_sha[0].join(per_sha[1], "sha")
+    same = scratch.keep(per_sha[0].join(per_sha[1], "sha"))
     also_near = F.coalesce(F.bit_count(F.col("t").bitwiseXOR(F.col("e"))) <= radius, F.lit(False))
     pairs = F.col("n") * F.col("m")
     counts = near.select(*by, pairs.alias("p"), F.lit(0).alias("x")).unionByName(same.select(*by, F.when(also_near, 0).otherwise(pairs).alias("p"), pairs.alias("x")))
