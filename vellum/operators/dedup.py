@@ -52,10 +52,10 @@ def near_pairs(df: DataFrame, key: str, words: list[str], radius: int, probe: st
 
     Candidates agree in a block, an equi-join; no pair is missed. Probes alone are one side of it. NULL words take no part.
     """
-    rows = df.dropna(subset=[key, *words]).select(key, *words, F.expr(probe or "true").alias("_p"))
-    blocks = lambda r: r.select(key, *words, F.explode(_blocks(words, radius)).alias("e")).select(key, *words, "e.*")
-    a = blocks(rows.where("_p")).select(F.col(key).alias("a"), *[F.col(w).alias(f"_a{w}") for w in words], "block", "value")
-    b = blocks(rows).select(F.col(key).alias("b"), *[F.col(w).alias(f"_b{w}") for w in words], "block", "value")
+    held = df.dropna(subset=[key, *words])
+    rows = held.select(key, *words, *([F.expr(probe).alias("_p")] if probe else []), F.explode(_blocks(words, radius)).alias("e")).select("*", "e.*").drop("e")
+    a = (rows.where("_p") if probe else rows).select(F.col(key).alias("a"), *[F.col(w).alias(f"_a{w}") for w in words], "block", "value")
+    b = rows.select(F.col(key).alias("b"), *[F.col(w).alias(f"_b{w}") for w in words], "block", "value")
     dist = hamming([F.col(f"_a{w}") for w in words], [F.col(f"_b{w}") for w in words])
     met = a.join(b, ["block", "value"]).where(F.col("a") != F.col("b") if probe else F.col("a") < F.col("b"))
     near = met.withColumn("distance", dist).where(F.col("distance") <= radius)
