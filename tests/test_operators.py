@@ -398,3 +398,14 @@ def test_rank_correlations_of_both_ways(spark, monkeypatch, few):
                 if (g, a, b) in got:
                     assert math.isclose(got[g, a, b], want[i, j], abs_tol=1e-9)
     assert ("u", "a", "b") in got and len([k for k in got if k[0] == "u"]) == 9
+
+
+def test_projection_on_principal_components(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(50, 4)) @ rng.normal(size=(4, 4))
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)] + [(99, None)], "k int, v array<double>")
+    out = {r["k"]: [r["pc1"], r["pc2"]] for r in models.pca_projection(df, "v", 4, 2).collect()}
+    _, _, vt = np.linalg.svd(x - x.mean(0))
+    want = (x - x.mean(0)) @ vt[:2].T
+    assert out[99] == [None, None]
+    assert np.allclose(np.abs([out[i] for i in range(50)]), np.abs(want), atol=1e-9)

@@ -92,17 +92,38 @@ def coefficients(df: DataFrame, model: Ridge) -> DataFrame:
     return df.sparkSession.createDataFrame([(c, float(b), i + 1) for i, (c, b) in enumerate(order)], "feature string, coefficient double, importance_rank int")
 
 
-def pca_variance(df: DataFrame, column: str, dims: int) -> DataFrame:
-    """(component, variance, share): eigenvalues of the covariance of an array column, from dims squared sums."""
+def principal_components(df: DataFrame, column: str, dims: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(mean, variances, components as rows) of an array column, the largest variance first, from dims squared sums.
+
+    Each component's entry of largest size is positive, so that signs don't depend on the solver.
+    """
     cells = df.select(F.posexplode(column).alias("i", "x"), F.col(column).alias("v")).select("i", F.col("x").cast("double").alias("x"), "v")
     # one row per dimension holds its sum and its products with all others: dims rows of dims numbers
     rows = cells.groupBy("i").agg(F.count(F.lit(1)).alias("n"), F.sum("x").alias("s"), *[F.sum(F.col("x") * F.col("v")[j].cast("double")).alias(f"p{j}") for j in range(dims)]).orderBy("i").collect()
     n, s = rows[0]["n"], np.array([r["s"] for r in rows])
     cov = (np.array([[r[f"p{j}"] for j in range(dims)] for r in rows]) - np.outer(s, s) / n) / (n - 1)
-    values = np.sort(np.linalg.eigvalsh(cov))[::-1]
+    values, vectors = np.linalg.eigh(cov)
+    vectors = vectors[:, ::-1].T
+    vectors = vectors * np.sign(vectors[np.arange(dims), np.abs(vectors).argmax(1)])[:, None]
+    return s / n, values[::-1], vectors
+
+
+def pca_variance(df: DataFrame, column: str, dims: int) -> DataFrame:
+    """(component, variance, share): eigenvalues of the covariance of an array column."""
+    _, values, _ = principal_components(df, column, dims)
     return df.sparkSession.createDataFrame([(i, float(v), float(v / values.sum())) for i, v in enumerate(values)], "component int, variance double, share double")
 
 
+def pca_projection(df: DataFrame, column: str, dims: int, k: int) -> DataFrame:
+    """``df`` with ``pc1`` to ``pc<k>``: coordinates of the array column on its first components. A NULL array has NULL coordinates."""
+    mean, _, vectors = principal_components(df, column, dims)
+    moved = F.zip_with(column, F.array(*[F.lit(float(m)) for m in mean]), lambda x, m: x.cast("double") - m)
+    out = df.withColumn("_centred", moved)
+    for i, v in enumerate(vectors[:k]):
+        out = out.withColumn(f"pc{i + 1}", F.aggregate(F.zip_with("_centred", F.array(*[F.lit(float(x)) for x in v]), lambda x, w: x * w), F.lit(0.0), lambda s, x: s + x))
+    return out.drop("_centred")
+
+
 def calibration_slope(x: str, y: str, alpha: float = 1.0):
     """Aggregates slope and intercept of the one-input ridge y = a + b x in closed form."""
     n, sx, sy = F.count(F.lit(1)), F.sum(x), F.sum(y)

@@ -215,6 +215,24 @@ def pca_invariants(spark: SparkSession, d: str) -> DataFrame:
     return out.agg(F.count(F.lit(1)).cast("int").alias("n_components"), F.round(F.sum("variance"), 6).alias("total_variance"), F.round(F.sum(F.col("variance") ** 2), 6).alias("squared"))
 
 
+@query()
+def pca_coordinates(spark: SparkSession, d: str) -> DataFrame:
+    """Every vector on the first eight components."""
+    out = models.pca_projection(table(spark, d, "embeddings"), "embedding", 64, 8)
+    return rounded(out.select("vec_id", *[f"pc{i}" for i in range(1, 9)]), *[f"pc{i}" for i in range(1, 9)])
+
+
+@query(f"WITH {_COV} SELECT 64 AS n_components, 0 AS n_correlated, round(sum(v) FILTER (WHERE i = j), 5) AS total_variance FROM c")
+def pca_uncorrelated(spark: SparkSession, d: str) -> DataFrame:
+    """Coordinates on all components: no two correlate, and their variances add up to those of the dimensions."""
+    names = [f"pc{i}" for i in range(1, 65)]
+    out = models.pca_projection(table(spark, d, "embeddings"), "embedding", 64, 64)
+    pairs = [F.abs(F.covar_samp(a, b)) > 1e-9 for i, a in enumerate(names) for b in names[i + 1 : i + 4]]
+    return out.agg(
+        F.lit(64).alias("n_components"), sum((p.cast("int") for p in pairs), F.lit(0)).alias("n_correlated"), F.round(sum((F.var_samp(c) for c in names), F.lit(0.0)), 5).alias("total_variance")
+    )
+
+
 @query("SELECT unnest(['n_words', 'digit_share', 'punct_share', 'upper_share']) AS feature, true AS stationary")
 def ridge_optimality(spark: SparkSession, d: str) -> DataFrame:
     """Is the probe's loss flat in each coefficient? Judged on the residuals of all rows it was fitted to, not on its Gram matrix."""
