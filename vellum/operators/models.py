@@ -10,7 +10,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vellum.functions.exprs import clip, total
+from vellum.operators import held
 from vellum.operators.quantiles import exact_quantiles
+from vellum.session import Scratch, rows_of
 
 BOUND = 8.0
 #: Rows among which a permutation control deals targets.
@@ -193,7 +195,9 @@ def permutation_control(df: DataFrame, key: str, columns: list[str], target: str
     """
     from vellum.operators.ranks import spearman
 
-    rows = df.where(F.col(target).isNotNull())
+    # written once, the descriptors are computed once for all passes
+    scratch = Scratch(df.sparkSession, "control")
+    rows = scratch.keep(df.where(F.col(target).isNotNull()).select(*dict.fromkeys([key, split, *columns, target, *([block] if block else [])])))
     fit = rows.where(F.col(split).isin(*fit_on))
     centre, scale = robust_scaling(fit, columns)
     inputs = _scaled(columns, centre, scale)
@@ -203,10 +207,19 @@ def permutation_control(df: DataFrame, key: str, columns: list[str], target: str
         again = g.copy()
         again[:-1, -1] = products
         found[draw] = solve_ridge(again, alpha)
-    beta = df.sparkSession.createDataFrame([(d, [float(x) for x in b]) for d, b in found.items()], "draw int, beta array<double>")
-    held = rows.select(split, F.col(target).alias("_y"), F.array(F.lit(1.0), *inputs).alias("_x")).crossJoin(F.broadcast(beta))  # draws rows
-    guess = F.aggregate(F.zip_with("_x", "beta", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
-    rho = spearman(held.select(split, "draw", "_y", F.round(guess, 12).alias("_p")), "_p", "_y", split, "draw")
+    terms = [f"_{i}" for i in range(len(inputs) + 1)]
+    cells = rows.where(F.col(split).isNotNull()).select(F.col(split).alias("_s"), F.col(target).cast("double").alias("y"), F.lit(1.0).alias("_0"), *[x.alias(t) for x, t in zip(inputs, terms[1:], strict=True)])
+    points = scratch.keep(cells.groupBy("_s", "y", *terms).agg(F.count(F.lit(1)).alias("n")))
+    if rows_of(points) <= held.HELD_POINTS:
+        names = F.array(*[F.lit(r["_s"]) for r in points.select("_s").distinct().orderBy("_s").collect()])  # the splits
+        numbered = points.withColumn("g", (F.array_position(names, F.col("_s")) - 1).cast("int"))
+        ranked = held.rank_of_forms(numbered, terms, np.array(list(found.values())), np.ones(len(found)), 12)
+        rho = ranked.select(F.get(names, F.col("g")).alias(split), (F.col("draw") - 1).cast("int").alias("draw"), "n", "rho")
+    else:
+        beta = df.sparkSession.createDataFrame([(d, [float(x) for x in b]) for d, b in found.items()], "draw int, beta array<double>")
+        long = points.select(F.col("_s").alias(split), "y", "n", F.array(*terms).alias("_x")).crossJoin(F.broadcast(beta))  # draws rows
+        guess = F.aggregate(F.zip_with("_x", "beta", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
+        rho = spearman(long.select(split, "draw", "y", "n", F.round(guess, 12).alias("_p")), "_p", "y", split, "draw", weight="n")
     null = F.when(F.col("draw") >= 0, F.coalesce("rho", F.lit(0.0)))
     q = lambda c, p: F.percentile(c, p)
     return rho.groupBy(split).agg(
