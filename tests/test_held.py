@@ -1,12 +1,14 @@
 """Statistics of draws over points that tasks hold, against those of a row per point and draw."""
 
+import hashlib
+
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from vellum.operators import held, models
-from vellum.plans import base
+from vellum.plans import base, resampling_queries
 
 
 @pytest.fixture
@@ -59,3 +61,20 @@ def test_permutation_control_holds_points_not_draws(spark, monkeypatch, watched,
     for split, g in rows.groupby("split"):
         assert np.isclose(out["rho"][split], g["x"].clip(-8, 8).rank().corr(g["y"].rank()), atol=1e-9)
         assert np.isclose(out["max_abs_rho"][split], out["rho"][split], atol=1e-9)
+
+
+@pytest.mark.parametrize("points", [0, held.HELD_POINTS])
+def test_weight_perturbation_holds_points_not_draws(spark, monkeypatch, watched, points):
+    monkeypatch.setattr(held, "HELD_POINTS", points)
+    df = base.features(spark, "/root/testdata/sf0.001")
+    got = resampling_queries._perturbed(df, 25).toPandas().set_index("draw")["rho"].sort_index()
+    if points:
+        assert max(watched) <= 100
+    pdf = df.where("n_letters is not null").toPandas()
+    spec = base.COMPOSITES["density"]
+    dev = pdf[pdf["split"] == "dev"]
+    z = {c: ((pdf[c] - dev[c].mean()) / (dev[c].std() or 1)).clip(-4, 4) for c in spec}
+    head = lambda s: int(hashlib.md5(s.encode()).hexdigest()[:8], 16) / 2**32
+    y = sum(w * z[c] for c, (w, _) in spec.items()).round(9)
+    want = [sum(w * (0.9 + 0.2 * head(f"weights:{d}:{c}")) * z[c] for c, (w, _) in spec.items()).rank().corr(y.rank()) for d in range(25)]
+    assert len(got) == 25 and np.allclose(got, want, atol=2e-6)

@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from vellum.functions.exprs import hash_int, hash_uniform, norm
-from vellum.operators import models, ranks, resample, stats
+from vellum.operators import held, models, ranks, resample, stats
 from vellum.plans.base import COMPOSITES, FEATURES_SQL, features
 from vellum.plans.scoring_queries import DEV, FIT_SQL, SCORED, _z_sql, mid_rank_sql, rounded, scored
 from vellum.operators import scoring
-from vellum.session import table
+from vellum.session import Scratch, rows_of, table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -124,10 +125,17 @@ def _perturbed(df: DataFrame, n_draws: int) -> DataFrame:
     for c, (w, _) in _TERMS:
         draws = draws.withColumn(f"w_{c}", w * (0.9 + 0.2 * hash_uniform(F.concat_ws(":", F.lit("weights"), "draw", F.lit(c)))))
     size = sum((F.abs(f"w_{c}") for c in cols), F.lit(0.0))
-    x = sum((F.col(f"w_{c}") * F.col(f"{c}_z") for c in cols), F.lit(0.0)) / size
-    y = sum((w * F.col(f"{c}_z") for c, (w, _) in _TERMS), F.lit(0.0))
-    long = z.crossJoin(F.broadcast(draws)).select("draw", F.round(x, 9).alias("x"), F.round(y, 9).alias("y"))
-    return rounded(ranks.spearman(long, "x", "y", "draw").select("draw", "rho"), "rho")
+    y = F.round(sum((w * F.col(f"{c}_z") for c, (w, _) in _TERMS), F.lit(0.0)), 9)
+    points = Scratch(df.sparkSession, "perturbed").keep(z.select(y.alias("y"), *[f"{c}_z" for c in cols]).groupBy("y", *[f"{c}_z" for c in cols]).agg(F.count(F.lit(1)).alias("n")))
+    if rows_of(points) <= held.HELD_POINTS:
+        told = draws.withColumn("size", size).orderBy("draw").toArrow()  # a row per draw
+        weights = np.stack([told[f"w_{c}"].to_numpy() for c in cols], axis=1)
+        rho = held.rank_of_forms(points.withColumn("g", F.lit(0)), [f"{c}_z" for c in cols], weights, told["size"].to_numpy(), 9)
+    else:
+        x = sum((F.col(f"w_{c}") * F.col(f"{c}_z") for c in cols), F.lit(0.0)) / size
+        long = points.crossJoin(F.broadcast(draws)).select("draw", "n", F.round(x, 9).alias("x"), "y")
+        rho = ranks.spearman(long, "x", "y", "draw", weight="n")
+    return rounded(rho.select("draw", "rho"), "rho")
 
 
 _LEVELS = "v AS (SELECT c_custkey AS k, c_nationkey AS block, c_acctbal AS level FROM customer)"
