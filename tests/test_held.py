@@ -4,10 +4,13 @@ import hashlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from vellum.operators import held, models
+from vellum.functions import md5
+from vellum.functions.exprs import hash_int
+from vellum.operators import held, models, ranks, resample
 from vellum.plans import base, resampling_queries
 
 
@@ -78,3 +81,33 @@ def test_weight_perturbation_holds_points_not_draws(spark, monkeypatch, watched,
     y = sum(w * z[c] for c, (w, _) in spec.items()).round(9)
     want = [sum(w * (0.9 + 0.2 * head(f"weights:{d}:{c}")) * z[c] for c, (w, _) in spec.items()).rank().corr(y.rank()) for d in range(25)]
     assert len(got) == 25 and np.allclose(got, want, atol=2e-6)
+
+
+def test_hashes_of_many_strings(spark):
+    """Those of hash_int, whatever the lengths and prefixes; longer strings than a block holds as well."""
+    strings = ["", ":7", ":123456", ":äöü", ":" + "x" * 60, ":" + "y" * 47, ":" + "z" * 48, ":a\u0000"]
+    made = md5.Suffixes(pa.array([s.encode() for s in strings], pa.binary()).slice(0))
+    for prefix in ("iid:0", "iid:12", "images:999", "", "p" * 60):
+        want = [r["h"] for r in spark.createDataFrame([(i, prefix + s) for i, s in enumerate(strings)], "i int, s string").select("i", hash_int(F.col("s")).alias("h")).orderBy("i").collect()]
+        assert made.heads(prefix.encode()).tolist() == want
+    assert md5.Suffixes(pa.array([b"a", b":7", b":8"], pa.binary()).slice(1)).heads(b"iid:3").tolist() == [int(hashlib.md5(b"iid:3:" + k).hexdigest()[:8], 16) for k in (b"7", b"8")]
+
+
+def test_bootstrap_of_correlations_holds_rows_not_draws(spark, monkeypatch, watched):
+    """Both ways agree, with ties, a constant resample and keys of any kind, and the held way writes no row per draw."""
+    rng = np.random.default_rng(9)
+    table = [(k, float(a), float(b)) for k, a, b in zip([None, "é", *map(str, range(118))], rng.integers(0, 9, 120), rng.normal(size=120).round(1), strict=True)]
+    df = spark.createDataFrame([*table, ("x", None, 1.0), ("y", 1.0, None)], "k string, x double, y double")
+    monkeypatch.setattr(held, "WEIGHTS", 500)
+    few = resample.iid_bootstrap_correlations(df, "k", "x", "y", 40).toPandas().sort_values(["statistic", "draw"], ignore_index=True)
+    assert max(watched) == 120 and len(few) == 120
+    monkeypatch.setattr(held, "HELD_POINTS", 0)
+    rows = resample.iid_bootstrap_correlations(df, "k", "x", "y", 40).toPandas().sort_values(["statistic", "draw"], ignore_index=True)
+    assert (few[["statistic", "draw"]] == rows[["statistic", "draw"]]).all(axis=None) and np.allclose(few["value"], rows["value"], atol=1e-9)
+
+
+def test_concordances_are_those_of_one_draw():
+    rng = np.random.default_rng(4)
+    x, y, w = rng.integers(0, 12, 200), rng.integers(0, 40, 200), rng.integers(0, 4, (5, 200)).astype(np.int32)
+    assert held._concordances(x, y, w) == [ranks.concordance(x, y, v) for v in w]
+    assert held._concordances(x, np.zeros(200, int), w) == [0] * 5

@@ -7,12 +7,16 @@ nothing is shuffled. Callers take a row per point and draw beyond that.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 from decimal import ROUND_HALF_UP, Decimal
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from vellum.functions import md5
 
 #: Points that a task holds at most: of about 50 bytes each they are 150 MB, on the driver as well while they are sent.
 HELD_POINTS = 3_000_000
@@ -20,6 +24,19 @@ HELD_POINTS = 3_000_000
 ROUNDS = 4
 
 
+def _poisson_limits() -> list[int]:
+    """The least 32-bit hashes whose uniform number has a Poisson(1) multiplicity of 1, 2, ... 13, summed as ``resample.poisson_weight`` does."""
+    out, term, cumulated = [], 0.36787944117144233, 0.36787944117144233
+    for k in range(1, 14):
+        out.append(math.ceil(cumulated * 2**32))
+        term /= k
+        cumulated += term
+    return out
+
+
+POISSON = _poisson_limits()
+
+
 def per_draw(spark: SparkSession, draws: int, schema: str, values: dict[str, np.ndarray], compute: Callable[[dict[str, np.ndarray], np.ndarray], pa.Table]) -> DataFrame:
     """The rows of ``compute(values, draws)`` over all draws, some in each task; ``values`` are sent once to each executor."""
     sent = spark.sparkContext.broadcast(values)
@@ -105,3 +122,97 @@ def rank_of_forms(points: DataFrame, inputs: list[str], weights: np.ndarray, div
     if not t.num_rows:
         return points.sparkSession.createDataFrame([], schema)
     return per_draw(points.sparkSession, len(weights), schema, values, lambda held, draws: _rank_forms(held, draws, places))
+
+
+def _steps(x: np.ndarray, y: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(order, high, runs, groups) of each bit of the numbered values ``y``, the highest first, as :func:`ranks.concordance` takes them.
+
+    In ``order``, points whose y agree in the higher bits are a group, sorted by x; ``high`` tells whose bit is set. ``runs`` are the
+    starts of equal x within a group and the end, ``groups`` the places in ``runs`` where groups start and end.
+    """
+    by_x = np.argsort(x, kind="stable")
+    for bit in reversed(range(int(y.max(initial=0)).bit_length())):
+        order = by_x[np.argsort((y[by_x] >> (bit + 1)).astype(np.min_scalar_type(int(y.max()))), kind="stable")]
+        group, xs = y[order] >> (bit + 1), x[order]
+        start = np.append(True, group[1:] != group[:-1])
+        runs = np.flatnonzero(start | np.append(True, xs[1:] != xs[:-1]))
+        yield order.astype(np.int32), (y[order] >> bit & 1).astype(bool), np.append(runs, len(x)), np.append(np.flatnonzero(start[runs]), len(runs))
+
+
+def _concordances(x: np.ndarray, y: np.ndarray, weights: np.ndarray) -> list[int]:
+    """Of each row of weights, the sum over all pairs of points of sign(dx) sign(dy) w w'. What depends on the points alone is told once for all."""
+    out = [0] * len(weights)
+    if len(np.unique(x)) < len(np.unique(y)):
+        x, y = y, x  # fewer bits
+    for order, high, runs, groups in _steps(x, y):
+        upto, low = np.zeros(len(x) + 1, np.int64), np.zeros(len(x) + 1, np.int64)
+        for i, w in enumerate(weights):
+            mine = w[order]
+            np.cumsum(mine, out=upto[1:], dtype=np.int64)
+            np.cumsum(np.where(high, 0, mine), out=low[1:], dtype=np.int64)
+            lows = low[runs]
+            highs = upto[runs] - lows
+            # a point whose bit is set meets the low ones before its run and, the other way round, those after it
+            met = np.diff(highs) @ (lows[:-1] + lows[1:])
+            edge = lows[groups]
+            out[i] += int(met - np.diff(highs[groups]) @ (edge[:-1] + edge[1:]))
+    return out
+
+
+#: Weights of a task's draws at a time: a byte each.
+WEIGHTS = 32_000_000
+
+
+def _bootstrap(values: dict, draws: np.ndarray, salt: str) -> pa.Table:
+    x, y, x_at, y_at, point, keys = (values[k] for k in ("x", "y", "x_at", "y_at", "point", "keys"))
+    first = np.flatnonzero(np.append(True, point[1:] != point[:-1]))  # rows are sorted by point
+    n_x, n_y = int(x_at.max()) + 1, int(y_at.max()) + 1
+    limits = [np.uint32(t) for t in POISSON if t < 2**32]
+    moments = np.stack([np.ones(len(x)), x, y, x * x, y * y, x * y], axis=1)
+    rows = []
+    each = max(1, WEIGHTS // len(x))
+    for some in (draws[i : i + each] for i in range(0, len(draws), each)):
+        taken = np.zeros((len(some), len(x)), np.uint8)
+        for s in range(0, len(x), md5.CHUNK):
+            suffixes = md5.Suffixes(keys[s : s + md5.CHUNK])
+            for i, d in enumerate(some):
+                h = suffixes.heads(f"{salt}:{d}".encode())
+                w = taken[i, s : s + len(h)]
+                for limit in limits:
+                    w += h >= limit
+        at_points = np.add.reduceat(taken, first, axis=1, dtype=np.int32)
+        signs = _concordances(x_at[first], y_at[first], at_points)
+        for i, d in enumerate(some):
+            w = taken[i].astype(float)
+            n = float(w.sum())
+            if not n:
+                continue
+            tx, ty = np.bincount(x_at, w, n_x), np.bincount(y_at, w, n_y)
+            rx, ry = (np.cumsum(t) - t / 2.0 - n / 2.0 for t in (tx, ty))
+            rho = correlation(float(tx @ (rx * rx)), float(ty @ (ry * ry)), float(w @ (rx[x_at] * ry[y_at])), n)
+            _, sx, sy, sxx, syy, sxy = w @ moments
+            vx, vy = sxx - sx * sx / n, syy - sy * sy / n
+            r = None if vx <= 1e-12 * sxx or vy <= 1e-12 * syy else float((sxy - sx * sy / n) / (np.sqrt(vx) * np.sqrt(vy)))
+            pairs = n * (n - 1) / 2
+            apart = np.sqrt(pairs - float((tx * (tx - 1)).sum()) / 2) * np.sqrt(pairs - float((ty * (ty - 1)).sum()) / 2)
+            rows += [("rho", int(d), rho), ("r", int(d), r), ("tau", int(d), signs[i] / apart if apart else None)]
+    return pa.table({k: pa.array([r[i] for r in rows], t) for i, (k, t) in enumerate((("statistic", pa.string()), ("draw", pa.int32()), ("value", pa.float64())))})
+
+
+def bootstrap_correlations(points: DataFrame, draws: int, salt: str) -> DataFrame:
+    """(statistic, draw, value) as ``resample.iid_bootstrap_correlations`` returns it, of rows (x, y, suffix), at most HELD_POINTS.
+
+    ``suffix`` is what follows salt:draw in the string whose hash tells the weight of a row in a draw.
+    """
+    schema = "statistic string, draw int, value double"
+    t = points.select("x", "y", F.col("suffix").cast("binary").alias("suffix")).toArrow()
+    if not t.num_rows:
+        return points.sparkSession.createDataFrame([], schema)
+    x, y = t["x"].to_numpy(), t["y"].to_numpy()
+    x_at, y_at = (np.unique(v, return_inverse=True)[1].astype(np.int32) for v in (x, y))
+    order = np.lexsort((y_at, x_at))
+    x_at, y_at = x_at[order], y_at[order]
+    point = np.cumsum(np.append(False, (x_at[1:] != x_at[:-1]) | (y_at[1:] != y_at[:-1])), dtype=np.int32)
+    keys = t["suffix"].combine_chunks().take(pa.array(order))
+    values = {"x": x[order], "y": y[order], "x_at": x_at, "y_at": y_at, "point": point, "keys": keys}
+    return per_draw(points.sparkSession, draws, schema, values, lambda held, some: _bootstrap(held, some, salt))

@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from vellum.functions.exprs import hash_int, hash_uniform, pearson_agg
+from vellum.operators import held
 from vellum.operators.ranks import kendall_tau_b, spearman
-from vellum.session import Scratch
+from vellum.session import Scratch, rows_of
 
 #: The cluster bootstrap of rank correlations keeps sums per cluster triple: 50 clusters are 3 x 125,000 numbers. More clusters take
 #: a weighted ranking of each draw instead.
@@ -161,11 +162,16 @@ def iid_bootstrap_mean_difference(df: DataFrame, key: str, value: str, first: Co
 def iid_bootstrap_correlations(df: DataFrame, key: str, x: str, y: str, draws: int, salt: str = "iid") -> DataFrame:
     """(statistic, draw, value): rank correlation (rho), Pearson's r and Kendall's tau-b of rows weighted Poisson(1) per draw.
 
-    Rows without both values take no part. Draws are exploded inside the scan and summed over equal points before the exchange.
+    Rows without both values take no part. Tasks hold up to ``held.HELD_POINTS`` rows and draw by draw sum over arrays; beyond that,
+    draws are exploded inside the scan and summed over equal points before the exchange.
     """
-    rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(key, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
-    long = rows.select(key, "x", "y", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))
-    w = poisson_weight(hash_uniform(F.concat_ws(":", F.lit(salt), "draw", key)))
+    suffix = F.concat_ws(":", F.lit(""), key)  # what follows salt:draw
+    rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(suffix.alias("suffix"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
+    rows = Scratch(df.sparkSession, "rows").keep(rows)
+    if rows_of(rows) <= held.HELD_POINTS:
+        return held.bootstrap_correlations(rows, draws, salt)
+    long = rows.select("suffix", "x", "y", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))
+    w = poisson_weight(hash_uniform(F.concat(F.lit(f"{salt}:"), F.col("draw").cast("string"), "suffix")))
     points = Scratch(df.sparkSession, "draws").keep(long.withColumn("w", w).where("w > 0").groupBy("draw", "x", "y").agg(F.sum("w").alias("w")))
     rho = spearman(points, "x", "y", "draw", weight="w").select(F.lit("rho").alias("statistic"), "draw", F.col("rho").alias("value"))
     r = points.groupBy("draw").agg(pearson_agg(F.col("x"), F.col("y"), F.col("w")).alias("value")).select(F.lit("r").alias("statistic"), "draw", "value")
