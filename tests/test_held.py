@@ -111,3 +111,19 @@ def test_concordances_are_those_of_one_draw():
     x, y, w = rng.integers(0, 12, 200), rng.integers(0, 40, 200), rng.integers(0, 4, (5, 200)).astype(np.int32)
     assert held._concordances(x, y, w) == [ranks.concordance(x, y, v) for v in w]
     assert held._concordances(x, np.zeros(200, int), w) == [0] * 5
+
+
+@pytest.mark.parametrize("spare", [(8, 16), (0, 0)])
+def test_image_saturation_keeps_the_first_of_each_draw(spark, monkeypatch, watched, spare):
+    """The rows that come first are those of the ranks of all, even if the bound lets too few pass at first; a row per document and draw isn't written."""
+    monkeypatch.setattr(resample, "DEVIATIONS", spare[0])
+    monkeypatch.setattr(resample, "MORE", spare[1])
+    rng = np.random.default_rng(6)
+    table = [(f"k{i}", "ab"[i % 7 == 0] if i > 2 else None, float(v), None if i == 9 else float(w)) for i, (v, w) in enumerate(rng.normal(size=(900, 2)).round(2))]
+    df, draws = spark.createDataFrame(table, "key string, category string, x double, y double"), 30
+    got = resampling_queries.image_grid(df, (7, 20), draws).toPandas().set_index("n").sort_index()
+    assert max(watched) < 900 * draws / 4
+    dealt = resampling_queries._dealt(df, (7, 20), draws, "images:").where("picked and y is not null").toPandas()
+    for size, g in dealt.groupby("size"):
+        rho = [d["x"].rank().corr(d["y"].rank()) for _, d in g.groupby("draw")]
+        assert got["n_draws"][size] == draws and np.allclose(got.loc[size, ["rho", "std", "low", "high"]].astype(float), [np.median(rho), np.std(rho), *np.percentile(rho, [2.5, 97.5])], atol=2e-6)

@@ -10,10 +10,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from vellum.functions import md5
 from vellum.functions.exprs import hash_int, hash_uniform, pearson_agg
 from vellum.operators import held
 from vellum.operators.ranks import kendall_tau_b, spearman
@@ -23,6 +25,8 @@ from vellum.session import Scratch, rows_of
 #: a weighted ranking of each draw instead.
 MOST_CLUSTERS = 50
 BUCKETS = 64
+#: Rows beyond those wanted that a draw's bound lets pass: so many deviations, and so many more.
+DEVIATIONS, MORE = 8, 16
 
 
 def cluster_draws(spark: SparkSession, clusters: DataFrame, draws: int, salt: str) -> DataFrame:
@@ -198,3 +202,50 @@ def subset_draws(df: DataFrame, unit: str, size: int, draws: int, salt: str) ->
     long = units.crossJoin(F.broadcast(df.sparkSession.range(draws).toDF("draw")))
     h = hash_int(F.concat_ws(":", F.lit(salt), "draw", F.col(unit).cast("string")))
     return long.withColumn("_k", F.row_number().over(Window.partitionBy("draw").orderBy(h, unit))).where(F.col("_k") <= size).drop("_k")
+
+
+def first_of_draws(df: DataFrame, key: str, by: str, wanted: dict[str, int], there: dict[str, int], draws: int, salt: str) -> DataFrame:
+    """(draw, by, x, y, rank) of the ``wanted`` rows of each group that come first in each draw, in the order of md5(salt || draw:key), ties by key.
+
+    ``there`` are the rows of each group; groups with fewer than are wanted give all of theirs. Rows are hashed where they are, once
+    for each draw, and only hashes below a bound go on: about ``wanted`` and DEVIATIONS beyond of each group. If that leaves a group of a
+    draw with too few, all is done again with a bound of four times as much, so the ranks are exact.
+    """
+    spark = df.sparkSession
+    scratch = Scratch(spark, "first")
+    suffix = F.concat_ws(":", F.lit(""), key)  # the key of a draw is draw:key
+    rows = df.select(suffix.cast("binary").alias("suffix"), by, "x", "y")
+    n = sum(there.values())
+    rows = rows.repartition(max(min(2 * spark.sparkContext.defaultParallelism, n // 500 + 1), n // 50_000))  # for the hashes, tasks of even length
+    kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in (by, "x", "y"))
+    spare = 1
+    while True:
+        share = {c: min(1.0, spare * (m + DEVIATIONS * m**0.5 + MORE) / there[c]) if m and there.get(c) else 0.0 for c, m in wanted.items()}
+        bounds = {c: int(s * 2**32) for c, s in share.items()}
+
+        def near(batches: Iterator[pa.RecordBatch], bounds: dict = bounds) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for s in range(0, batch.num_rows, md5.CHUNK):
+                    part = batch.slice(s, md5.CHUNK)
+                    suffixes = md5.Suffixes(part.column(0))
+                    bound = np.array([bounds[c] for c in part.column(1).to_pylist()], np.int64)
+                    found = []
+                    for d in range(draws):
+                        h = suffixes.heads(f"{salt}{d}".encode()).astype(np.int64)
+                        at = np.flatnonzero(h < bound)
+                        found.append((np.full(len(at), d), at, h[at]))
+                        if d == draws - 1 or sum(len(f[1]) for f in found) > 100_000:
+                            draw, at, h = (np.concatenate(c) for c in zip(*found, strict=True))
+                            yield pa.RecordBatch.from_arrays([pa.array(draw), pa.array(h), *part.take(pa.array(at)).columns], ["draw", "h", "suffix", by, "x", "y"])
+                            found = []
+
+        kept = scratch.keep(rows.mapInArrow(near, f"draw bigint, h bigint, suffix binary, {kinds}"))
+        need = {c: min(m, there.get(c, 0)) for c, m in wanted.items()}
+        enough = F.create_map(*[F.lit(x) for c, m in need.items() for x in (c, m)])[F.col(by)]
+        full = {r[by]: r["n"] for r in kept.groupBy(by, "draw").count().where(F.col("count") >= enough).groupBy(by).agg(F.count(F.lit(1)).alias("n")).collect()}
+        if all(full.get(c, 0) == draws for c, m in need.items() if m):
+            break
+        scratch.drop(kept)
+        spare *= 4
+    order = Window.partitionBy("draw", by).orderBy("h", "suffix")  # as many as the bound leaves
+    return kept.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= F.create_map(*[F.lit(x) for c, m in wanted.items() for x in (c, m)])[F.col(by)]).select("draw", by, "x", "y", "rank")

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -467,7 +469,28 @@ def _dealt(df: DataFrame, sizes: tuple, n_draws: int, salt: str) -> DataFrame:
 
 
 def image_grid(df: DataFrame, sizes: tuple, n_draws: int) -> DataFrame:
-    rho = ranks.spearman(_dealt(df, sizes, n_draws, "images:").where("picked"), "x", "y", "size", "draw")
+    df = Scratch(df.sparkSession, "images").keep(df.select("key", F.coalesce(F.col("category").cast("string"), F.lit("")).alias("category"), "x", "y"))
+    held_by = {r["category"]: r["count"] for r in df.groupBy("category").count().collect()}
+    names = sorted(held_by) or [""]
+    of_each = lambda n: [n // len(names) + (i < n % len(names)) for i in range(len(names))]  # noqa: E731  as _dealt has them
+    wanted = {c: max(col) for c, col in zip(names, zip(*map(of_each, sizes), strict=True), strict=True)}
+    first = resample.first_of_draws(df, "key", "category", wanted, held_by, n_draws, "images:")
+    quotas = {n: dict(zip(names, of_each(n), strict=True)) for n in sizes}
+
+    def of_sizes(t: pa.Table) -> pa.Table:
+        category, rank, x, y = t["category"].to_pylist(), t["rank"].to_numpy(), t["x"], t["y"]
+        both = np.asarray(pc.and_(x.is_valid(), y.is_valid()).to_numpy(), bool)
+        x, y, found = x.to_numpy(), y.to_numpy(), []
+        for size, quota in quotas.items():
+            at = both & (rank <= np.array([quota[c] for c in category]))
+            n = float(at.sum())
+            if n:
+                rx, ry = held.centred_ranks(x[at], np.ones(int(n))), held.centred_ranks(y[at], np.ones(int(n)))
+                found.append((size, held.correlation(float(rx @ rx), float(ry @ ry), float(rx @ ry), n)))
+        return pa.table({"size": pa.array([f[0] for f in found], pa.int32()), "rho": pa.array([f[1] for f in found], pa.float64())})
+
+    # a draw has the rows of the largest size at most
+    rho = first.select("draw", "category", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), "rank").groupBy("draw").applyInArrow(of_sizes, "size int, rho double")
     full = ranks.spearman(df, "x", "y").select(F.col("rho").alias("full_rho"))
     q = F.percentile("rho", [0.025, 0.5, 0.975])
     out = rho.groupBy(F.col("size").alias("n")).agg(F.count("rho").alias("n_draws"), q[1].alias("rho"), F.stddev_pop("rho").alias("std"), q[0].alias("low"), q[2].alias("high"))
